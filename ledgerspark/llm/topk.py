@@ -37,7 +37,7 @@ def nra(queries: np.ndarray, rows: np.ndarray, k: int, own: np.ndarray | None =
         has = np.flatnonzero(own >= 0)
         alive[has, own[has]] = False
     floor = plus @ ascending[0] + minus @ ascending[-1]
-    depth = max(k, n // 4)
+    depth = min(n, max(k, n // 4))
     while True:
         top, bottom = rank >= n - depth, rank < depth
         seen_top, seen_bottom = np.where(top, rows, 0.0), np.where(bottom, rows, 0.0)
