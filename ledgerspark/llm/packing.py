@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import os
 import re
 import zlib
 from bisect import bisect_left, insort
@@ -15,7 +17,7 @@ from tokenizers import Tokenizer
 from .common import checkpoint, ship
 
 #: Words whose ids a worker remembers, about 200 bytes each; forgotten when full.
-REMEMBERED = 400_000
+REMEMBERED = 700_000
 _RUN = re.compile(r" (?:\s|$)")
 _loaded: dict[str, "Ids"] = {}
 
@@ -23,22 +25,39 @@ _loaded: dict[str, "Ids"] = {}
 class Ids:
     """Token ids of texts by a tokenizers file, with a memory of words.
 
-    With a byte-level pre-tokenizer a word never starts before, and always starts at, a space that isn't
-    followed by white space. Texts where all spaces are such are cut there, and only words not met before
-    go to the tokenizer, many at a time. All other texts go to it whole. The ids are the same either way.
+    With a byte-level pre-tokenizer a word always starts at a space that isn't followed by white space. Texts
+    where all spaces are such are cut there, and only words not met before go to the tokenizer, many in one
+    text; the ids of each start where a token starts with a space. Other texts go to it whole. The ids are the
+    same either way.
     """
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
-        pre = self.tokenizer.to_str()
-        self.by_words = '"ByteLevel"' in pre and '"add_prefix_space":true' not in pre.replace(" ", "")
+        made = json.loads(self.tokenizer.to_str())
+        pre = made["pre_tokenizer"] or {}
+        self.by_words = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and not made["normalizer"]
         self.memory: dict[str, bytes] = {}
-
-    def _run(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        vocabulary = self.tokenizer.get_vocab()
+        self.spaced = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.spaced[[i for t, i in vocabulary.items() if t.startswith("\u0120")]] = True  # how byte-level vocabularies spell a space
+
+    def _run(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, words: list[str]) -> None:
+        """Remember the ids of words, which have no space in them, as they are after a space."""
+        for at in range(0, len(words), 500):
+            part = words[at:at + 500]
+            ids = self._run([" " + " ".join(part)])[0]
+            starts = np.flatnonzero(self.spaced[ids])
+            if len(starts) != len(part):
+                raise ValueError("the vocabulary spells spaces in another way")
+            data, ends = ids.tobytes(), [*(4 * starts[1:]).tolist(), 4 * len(ids)]
+            self.memory.update(zip(part, [data[a:b] for a, b in zip((4 * starts).tolist(), ends)]))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
@@ -46,18 +65,17 @@ class Ids:
             self.memory.clear()
         memory, cut, new, whole = self.memory, [], set(), []
         for t in texts:
-            if self.by_words and t and not _RUN.search(t):
-                head, *rest = t.split(" ")
-                words = [head, *[" " + w for w in rest]]
-                new.update(w for w in words if w not in memory)
+            if self.by_words and not _RUN.search(t):
+                head, *words = t.split(" ")
+                new.update([w for w in words if w not in memory])
                 cut.append(words)
+                whole.append(head)
             else:
                 whole.append(t)
-                cut.append(None)
-        missing = list(new)
-        memory.update(zip(missing, self._run(missing)))
-        others = iter(self._run(whole))
-        return [next(others) if words is None else b"".join([memory[w] for w in words]) for words in cut]
+                cut.append(())
+        self._learn(list(new))
+        look = memory.__getitem__
+        return [b"".join([first.tobytes(), *map(look, words)]) for first, words in zip(self._run(whole), cut)]
 
 
 def pieces(docs: DataFrame, path: str, id_col: str, text_col: str, capacity: int, end_id: int) -> DataFrame:
