@@ -314,3 +314,31 @@ def orphan_edges(edges: DataFrame, documents: DataFrame, invoices: DataFrame) ->
     ends = edges.select("edge_id", F.explode(F.array(F.struct(F.col("origen_tipo").alias("t"), F.col("origen_id").alias("i")), F.struct(F.col("destino_tipo").alias("t"), F.col("destino_id").alias("i")))).alias("e"))
     known = documents.select(F.lit("documento").alias("t"), F.col("id").alias("i")).union(invoices.select(F.lit("factura").alias("t"), F.col("id").alias("i")))
     return ends.select("edge_id", "e.t", "e.i").join(known, ["t", "i"], "left_anti").select("edge_id").distinct()
+
+
+def sync_names(entries: DataFrame) -> DataFrame:
+    """(id, antes, despues) of entries whose spelling is not their id's canonical one and is surely the same supplier."""
+    names = canonical_names(entries)
+    rows = entries.where("emisor is not null and nif_emisor is not null").select("id", "emisor", nif.normalize(F.col("nif_emisor")).alias("nif")).join(names, "nif").where("emisor != canonico")
+    same = jaro_winkler_column(text.clean_name(F.col("emisor")), text.clean_name(F.col("canonico")))
+    return rows.withColumn("s", supplier_score(F.col("nif"), F.col("nif"), same)).where(F.col("s.probabilidad") >= schema.MENTION).select("id", F.col("emisor").alias("antes"), F.col("canonico").alias("despues"))
+
+
+def backfill(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(invoices, edges) for entries without an invoice: one each, and its document as evidence."""
+    bare = entries.where("factura_id is null")
+    invoices = bare.select("id", "actividad_id", "nif_emisor", "emisor", text.normalize_issuer(F.col("emisor")).alias("emisor_norm"), text.normalize_number(F.col("numero_factura")).alias("numero_norm"), "total_c")
+    edges = bare.select(F.lit("documento").alias("origen_tipo"), F.col("documento_id").alias("origen_id"), F.lit("factura").alias("destino_tipo"), F.col("id").alias("destino_id"), F.lit("evidencia").alias("tipo"))
+    return invoices, edges
+
+
+def correct_numbers(entries: DataFrame, corrections: DataFrame) -> DataFrame:
+    """(id, resultado, otro_id) of corrected numbers (id, numero_nuevo): 'libre' if no other entry has the number with its id or issuer, 'fusion' with the
+    first one of a compatible total, else 'conflicto' with the first."""
+    rows = keyed(entries)
+    new = rows.join(corrections.select("id", text.normalize_number(F.col("numero_nuevo")).alias("n")), "id").alias("d")
+    f = rows.alias("f")
+    same = F.when(F.col("d.nif").isNotNull() & F.col("f.nif").isNotNull(), F.col("d.nif") == F.col("f.nif")).otherwise(F.col("d.emisor_norm") == F.col("f.emisor_norm"))
+    hits = new.join(f, (F.col("d.actividad_id") == F.col("f.actividad_id")) & (F.col("d.n") == F.col("f.numero")) & (F.col("f.id") != F.col("d.id")) & same)
+    best = hits.groupBy(F.col("d.id").alias("h")).agg(F.min(F.struct((~totals_compatible(F.col("d.total_c"), F.col("f.total_c"))).alias("no"), F.col("f.id").alias("o"))).alias("b"))
+    return corrections.select("id").join(best, F.col("id") == F.col("h"), "left").select("id", F.when(F.col("b").isNull(), "libre").when(F.col("b.no"), "conflicto").otherwise("fusion").alias("resultado"), F.col("b.o").alias("otro_id"))

@@ -208,3 +208,28 @@ def new_codes(names: DataFrame, existing: DataFrame, size: int = 24) -> DataFram
     taken = existing.select(F.regexp_replace("codigo", "[0-9]+$", "").alias("b")).groupBy("b").agg(F.count("*").alias("ya"))
     r = F.row_number().over(Window.partitionBy("b").orderBy("nombre")) + F.coalesce("ya", F.lit(0))
     return rows.join(taken, "b", "left").select("nombre", F.when(r == 1, F.col("b")).otherwise(F.concat("b", r.cast("string"))).alias("codigo"))
+
+
+def without_lines(entries: DataFrame, lines: DataFrame) -> DataFrame:
+    """Entries that have no line yet, whose lines a backfill has to make."""
+    return entries.join(lines, F.col("id") == F.col("asiento_id"), "left_anti").select("id")
+
+
+def diverged(entries: DataFrame, invoices: DataFrame, columns: list[str]) -> DataFrame:
+    """(id, campos): names of the fields in which an entry differs from its invoice (null differs from a value)."""
+    f = invoices.select(F.col("id").alias("_f"), *[F.col(c).alias(f"_{c}") for c in columns])
+    names = F.filter(F.array(*[F.when(~F.col(c).eqNullSafe(F.col(f"_{c}")), F.lit(c)) for c in columns]), lambda x: x.isNotNull())
+    return entries.join(f, F.col("factura_id") == F.col("_f")).select("id", F.array_join(names, ",").alias("campos")).where("campos != ''")
+
+
+def vat_label(lines: DataFrame) -> DataFrame:
+    """(asiento_id, etiqueta) of the VAT column's head: with the rate if all active lines have one."""
+    rates = lines.where("not eliminada").groupBy("asiento_id").agg(F.min("iva_tipo").alias("a"), F.max("iva_tipo").alias("b"))
+    return rates.select("asiento_id", F.when(F.col("a") == F.col("b"), F.concat(F.lit("IVA ("), F.col("a").cast("string"), F.lit(" %)"))).otherwise("IVA").alias("etiqueta"))
+
+
+def box_kind(boxes: DataFrame) -> DataFrame:
+    """Kind of entry that a tax box holds, and the code prefix of its accounts."""
+    kind = F.when(F.col("casilla") == "ingresos", "ingreso").when(F.col("casilla") == "mejoras", "mejora").when(F.col("casilla") == "amortizacion", "amortizacion").otherwise("gasto")
+    prefix = F.when(kind == "ingreso", "CI.ING").when(kind == "mejora", "CI.MEJ").when(kind == "amortizacion", "CI.AMO").otherwise("CI.GAS")
+    return boxes.select("casilla", kind.alias("tipo"), prefix.alias("prefijo"))
