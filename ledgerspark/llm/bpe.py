@@ -5,6 +5,8 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+import sys
+from array import array
 from itertools import islice
 
 import ahocorasick
@@ -16,8 +18,11 @@ from pyspark.sql import functions as F
 
 from .common import ship
 
+if array("I").itemsize != 4 or sys.byteorder != "little":
+    raise ImportError("ids are written as little-endian 32-bit integers")
+
 #: Entries of a worker's memory of encoded words, about 200 bytes each; it is emptied when full.
-REMEMBERED = 400_000
+REMEMBERED = 700_000
 #: Characters of a text whose matches are held at a time.
 LONG = 1 << 20
 #: A space before white space or at the end: only then may a match of the pattern go on over a space.
@@ -38,27 +43,54 @@ class Codec:
             self.automaton.add_word(t.decode("latin-1"), (len(t), r))
         self.automaton.make_automaton()
         self.compatible: dict[tuple[int, int], bool] = {}
+        self.made_of: dict[int, tuple[int, int]] = {}
         self.words: dict[str, bytes] = {}
-        self.first: dict[str, bytes] = {}
+        self.matches: dict[str, bytes] = {}
 
-    def merge(self, data: bytes) -> list[int]:
-        """The defining procedure: the pair of lowest rank is merged, leftmost first, until none is left."""
+    def merge(self, data: bytes, under: int = 1 << 60) -> list[int]:
+        """The defining procedure: the pair of lowest rank (of those under a rank) is merged, leftmost first, until none is left."""
         parts = [data[i:i + 1] for i in range(len(data))]
         while len(parts) > 1:
             low = min((self.rank.get(a + b, 1 << 60), i) for i, (a, b) in enumerate(zip(parts, parts[1:])))
-            if low[0] == 1 << 60:
+            if low[0] >= under or low[0] == 1 << 60:
                 break
             parts[low[1]:low[1] + 2] = [parts[low[1]] + parts[low[1] + 1]]
         return [self.rank[p] for p in parts]
 
+    def halves(self, token: int) -> tuple[int, int]:
+        """The two tokens whose merge makes a token; a byte is twice itself. Remembered for each token."""
+        if (known := self.made_of.get(token)) is None:
+            data = self.token[token]
+            known = (token, token)
+            if len(data) > 1:
+                known = self.made_of[token] = tuple(self.merge(data, token))
+            self.made_of[token] = known
+        return known
+
     def fits(self, left: int, right: int) -> bool:
-        """Whether the merges of both tokens' bytes give these two tokens; remembered by pair."""
+        """Whether the merges of both tokens' bytes give these two tokens; remembered by pair.
+
+        Merges are taken back from the newest one. What then stands at the border must not be a pair that would
+        have been merged before the merge taken back last.
+        """
         key = (left, right)
-        if (known := self.compatible.get(key)) is None:
-            if len(self.compatible) > REMEMBERED:
-                self.compatible.clear()
-            known = self.compatible[key] = self.merge(self.token[left] + self.token[right]) == [left, right]
-        return known
+        if (known := self.compatible.get(key)) is not None:
+            return known
+        if len(self.compatible) > REMEMBERED:
+            self.compatible.clear()
+        token, rank, limit, ok = self.token, self.rank, 1 << 60, None
+        a, b = left, right
+        while ok is None:
+            if rank.get(token[a] + token[b], 1 << 60) < limit:
+                ok = False
+            elif len(token[a]) == 1 and len(token[b]) == 1:
+                ok = True
+            elif len(token[b]) == 1 or (len(token[a]) > 1 and a > b):
+                limit, a = a, self.halves(a)[1]
+            else:
+                limit, b = b + 1, self.halves(b)[0]  # of equal merges the left one comes first
+        self.compatible[key] = ok
+        return ok
 
     def encode_match(self, data: bytes) -> list[int]:
         """Tokens of one match of the pattern.
@@ -96,11 +128,18 @@ class Codec:
                 out.pop()
         return out
 
-    def _remember(self, memory: dict[str, bytes], word: str, text: str) -> bytes:
-        if len(memory) >= REMEMBERED:
-            memory.clear()
-        ids = [i for m in self.pattern.findall(text) for i in self.encode_match(m.encode("utf-8"))]
-        memory[word] = got = np.array(ids, "<u4").tobytes()
+    def _match(self, m: str) -> bytes:
+        got = self.matches.get(m)
+        if got is None:
+            if len(self.matches) >= REMEMBERED:
+                self.matches.clear()
+            got = self.matches[m] = array("I", self.encode_match(m.encode("utf-8"))).tobytes()
+        return got
+
+    def _word(self, w: str) -> bytes:
+        if len(self.words) >= REMEMBERED:
+            self.words.clear()
+        got = self.words[w] = b"".join([self._match(m) for m in self.pattern.findall(" " + w)])
         return got
 
     def encode(self, text: str) -> bytes:
@@ -112,20 +151,15 @@ class Codec:
         if self.spaced and not _RUN.search(text):
             head, *rest = text.split(" ")
             words = self.words
-            out = [self._look(self.first, head, head)] if head else []
+            out = [self._match(m) for m in self.pattern.findall(head)]
             for w in rest:
-                got = words.get(w)
-                out.append(self._remember(words, w, " " + w) if got is None else got)
+                out.append(words.get(w) or self._word(w))
             return b"".join(out)
         out, matches = [], (m.group() for m in self.pattern.finditer(text))
         while part := list(islice(matches, LONG)):
-            out.append(b"".join([self._look(self.first, m, m) for m in part]))
+            out.append(b"".join([self._match(m) for m in part]))
         return b"".join(out)
 
-    def _look(self, memory: dict[str, bytes], word: str, text: str) -> bytes:
-        got = memory.get(word)
-        return self._remember(memory, word, text) if got is None else got
-
     def decode(self, ids: bytes) -> bytes:
         token = self.token
         return b"".join([token[i] for i in np.frombuffer(ids, "<u4").tolist()])

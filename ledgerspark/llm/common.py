@@ -2,35 +2,20 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
-import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import session
+
 #: Rows of one Arrow batch that reach Python; a batch of ordinary documents is then a few MB.
 ARROW_ROWS = 2000
 
-_shipped: set[str] = set()
-
-
 def ship(spark: SparkSession) -> None:
-    """Give the executors' Python this package, for sessions whose workers don't inherit PYTHONPATH."""
-    sc = spark.sparkContext
-    if sc.applicationId in _shipped:
-        return
-    top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    path = os.path.join(tempfile.mkdtemp(prefix="ledgerspark"), "ledgerspark.zip")
-    with zipfile.ZipFile(path, "w") as z:
-        for folder, _, names in os.walk(top):
-            for name in names:
-                if name.endswith(".py"):
-                    full = os.path.join(folder, name)
-                    z.write(full, os.path.join("ledgerspark", os.path.relpath(full, top)))
-    sc.addPyFile(path)
+    """Give the executors' Python this package, in small batches."""
+    session.ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
-    _shipped.add(sc.applicationId)
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
@@ -47,6 +32,11 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def sized(df: DataFrame, rows: int) -> DataFrame:
+    """df, to be broadcast if it has at most so many rows, else to be joined by a shuffle. df should be cheap to read again."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components by alternating large and small stars.
 
