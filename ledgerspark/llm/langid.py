@@ -107,19 +107,19 @@ def document_frequencies(docs: DataFrame, s: Settings) -> tuple[int, np.ndarray]
 
 
 def sample(docs: DataFrame, s: Settings) -> pd.DataFrame:
-    """(lang, at, n): n-gram counts of at most s.sample rows of each language, chosen by a hash of the text."""
+    """(lang, at, n): n-gram counts of about s.sample different texts of each language, chosen by a hash of the text."""
     counts = {r.lang: r["count"] for r in docs.groupBy("lang").count().collect()}
     share = F.lit(0.0)
     for lang, n in counts.items():
         share = F.when(F.col("lang") == lang, F.lit(min(1.0, s.sample / n))).otherwise(share)
-    chosen = docs.where(F.pmod(F.xxhash64("t"), F.lit(1 << 20)) < share * (1 << 20))
+    chosen = docs.where(F.pmod(F.xxhash64("t"), F.lit(1 << 20)) < share * (1 << 20)).select("lang", "t").distinct()  # copies count once
 
     def run(batches):
         for b in batches:
             at, n = zip(*(_counts(t, s) for t in b.column(1).to_pylist())) if b.num_rows else ((), ())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(at), pa.list_(pa.int64())), pa.array(list(n), pa.list_(pa.int64()))], ["lang", "at", "n"])
 
-    return (chosen.select("lang", "t").mapInArrow(run, "lang string, at array<long>, n array<long>")
+    return (chosen.mapInArrow(run, "lang string, at array<long>, n array<long>")
             .limit(2 * s.sample * max(1, len(counts))).toPandas())
 
 
