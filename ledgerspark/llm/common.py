@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import session
@@ -70,3 +71,64 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     else:
         raise RuntimeError("components did not settle")
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
+
+
+#: Members of a bucket that are all paired with each other.
+SMALL = 16
+
+
+def _split(banded: DataFrame, broadcast: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b) of the members of buckets (band, k1), and the ends (band, low, high) of the buckets that give only a part of theirs.
+
+    Buckets of up to SMALL members give all pairs; in a larger one each member is paired with the smallest and the largest
+    key. Buckets of two need no members again.
+    """
+    ends = checkpoint(banded.groupBy("band").agg(F.count("*").alias("n"), F.min("k1").alias("low"), F.max("k1").alias("high")).where("low < high"))
+    two = ends.where("n = 2").select(F.col("low").alias("a"), F.col("high").alias("b"))
+    members = (banded.join(sized(ends.where(f"n between 3 and {SMALL}").select("band"), broadcast), "band")
+               .groupBy("band").agg(F.array_sort(F.collect_set("k1")).alias("m")))
+    some = (members.select(F.explode(F.flatten(F.transform("m", lambda x, i: F.transform(F.slice("m", i + 2, SMALL), lambda y: F.struct(x.alias("a"), y.alias("b")))))).alias("p"))
+            .select("p.a", "p.b"))
+    large = ends.where(f"n > {SMALL}").drop("n")
+    star = (banded.join(sized(large, broadcast), "band").select(F.explode(F.array(
+        F.struct(F.col("low").alias("a"), F.col("k1").alias("b")), F.struct(F.col("k1").alias("a"), F.col("high").alias("b")))).alias("p"))
+            .select("p.a", "p.b").where("a < b"))
+    return two.union(some).union(star), large
+
+
+def links(banded: DataFrame, shingles: Callable[[DataFrame], DataFrame], alike: Callable[[DataFrame], DataFrame], similarity: float, broadcast: int) -> DataFrame:
+    """Edges (a, b) that connect any two keys that share a band and are alike.
+
+    banded has (k1, band); shingles(keys) gives (k1, h), the different shingles of the listed keys; alike(pairs) keeps the
+    pairs with a Jaccard similarity of at least `similarity`.
+
+    Members of a large bucket also meet by their rarest shingles: two similar sets of n shingles share one of
+    the first n - ceil(similarity * n) + 1 in any common order. A shingle frequent even among these gives a large bucket
+    again; of its members those that the links found so far leave in different components are compared, all with all.
+    """
+    pairs, large = _split(banded, broadcast)
+    if not large.limit(1).count():
+        return checkpoint(alike(checkpoint(pairs.distinct())))
+    keys = checkpoint(banded.join(sized(large.select("band"), broadcast), "band", "left_semi").select("k1").distinct())
+    sh = checkpoint(shingles(keys))
+    common = checkpoint(sh.groupBy("h").agg(F.count("*").alias("n")).where(f"n > {SMALL}"))
+    sizes = sh.groupBy("k1").agg(F.count("*").alias("size"))
+    ranked = (sh.join(sized(common, broadcast), "h", "left").join(sizes, "k1")
+              .withColumn("at", F.row_number().over(Window.partitionBy("k1").orderBy(F.coalesce("n", F.lit(0)), "h"))))
+    # a little is added before rounding so that 0.8 * 5 is 4, and the prefix never too short
+    prefix = checkpoint(ranked.where(F.col("at") <= F.col("size") - F.ceil(similarity * F.col("size") - 1e-6) + 1)
+                        .select("k1", F.col("h").alias("band"), "size"))
+    more, rest = _split(prefix.select("k1", "band"), broadcast)
+    found = checkpoint(alike(checkpoint(pairs.union(more).distinct())))
+    if not rest.limit(1).count():
+        return found
+    roots = components(found)
+    members = (prefix.join(sized(rest.select("band"), broadcast), "band", "left_semi").join(roots, F.col("k1") == F.col("node"), "left")
+               .select("band", "k1", "size", F.coalesce("root", "k1").alias("root")))
+    mixed = members.groupBy("band").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("band")
+    members = checkpoint(members.join(sized(checkpoint(mixed), broadcast), "band", "left_semi"))
+    a, b = members.alias("a"), members.alias("b")
+    left = (a.join(b, F.col("a.band") == F.col("b.band")).where("a.k1 < b.k1 and a.root != b.root")
+            .where(F.least("a.size", "b.size") >= similarity * F.greatest("a.size", "b.size") - 1e-6)
+            .select(F.col("a.k1").alias("a"), F.col("b.k1").alias("b")).distinct())
+    return found.union(checkpoint(alike(checkpoint(left))))

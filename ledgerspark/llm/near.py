@@ -1,0 +1,93 @@
+"""Near copies by exact Jaccard similarity of word shingles; MinHash bands only find the pairs to be compared."""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import checkpoint, components, links, ship, sized
+
+#: Bands of ROWS minima each: a pair at similarity 0.8 shares one with probability 1 - (1 - 0.8**4)**20 = 0.99997.
+BANDS, ROWS = 20, 4
+_SALTS = np.array([(k * 0x9E3779B97F4A7C15 ^ 0x2545F4914F6CDD1D) % 2**64 for k in range(1, BANDS * ROWS + 1)], dtype=np.uint64)
+#: Rows of a list of ids or keys (8 bytes each) that is broadcast at most; longer lists are joined by a shuffle.
+BROADCAST = 1_000_000
+
+
+def shingles(text: str | None, words: int = 5) -> np.ndarray:
+    """Sorted different XXH64 hashes (seed 42) of all word shingles; a shorter text is one shingle, none without words."""
+    w = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.array([digest(b" ".join(w[i:i + words]), 42) for i in range(max(1, len(w) - words + 1))] if w else [], np.uint64))
+
+
+def key(hashes: np.ndarray) -> int:
+    """64-bit key of a set of hashes, as a signed long."""
+    return int(np.uint64(xxhash.xxh64_intdigest(hashes.tobytes(), 7)).view(np.int64))
+
+
+def bands(hashes: np.ndarray) -> list[int]:
+    """Band keys of a set of hashes, as signed longs; none for an empty set."""
+    if not len(hashes):
+        return []
+    low = np.full(len(_SALTS), 2**64 - 1, np.uint64)
+    for at in range(0, len(hashes), 4096):  # a block of shingles at a time: memory doesn't follow the text
+        low = np.minimum(low, (hashes[at:at + 4096, None] ^ _SALTS).min(axis=0))
+    keys = [xxhash.xxh64_intdigest(low[i * ROWS:(i + 1) * ROWS].tobytes(), i) for i in range(BANDS)]
+    return np.array(keys, np.uint64).view(np.int64).tolist()
+
+
+def signatures(rows: DataFrame, words: int) -> DataFrame:
+    """(id, k1, bands) of rows (id, t)."""
+    def run(batches):
+        for b in batches:
+            sets = [shingles(t, words) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([key(h) for h in sets], pa.int64()), pa.array([bands(h) for h in sets], pa.list_(pa.int64()))], ["id", "k1", "bands"])
+
+    return rows.mapInArrow(run, "id long, k1 long, bands array<long>")
+
+
+def shingle_sets(rows: DataFrame, words: int) -> DataFrame:
+    """(k1, hashes) of rows (id, t)."""
+    def run(batches):
+        for b in batches:
+            sets = [shingles(t, words) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([key(h) for h in sets], pa.int64()), pa.array([h.view(np.int64) for h in sets], pa.list_(pa.int64()))], ["k1", "hashes"])
+
+    return rows.mapInArrow(run, "k1 long, hashes array<long>")
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(doc_id, component_id) of every row with an id: documents are linked if their shingle sets have at least that Jaccard similarity.
+
+    Equal sets collapse first; texts without words are equal. Rows that share an id are one document. component_id is the
+    component's smallest id. An empty table gives an empty result.
+    """
+    ship(docs.sparkSession)
+    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t"))
+    signed = checkpoint(signatures(rows, words))
+    distinct = checkpoint(signed.groupBy("k1").agg(F.min("id").alias("id"), F.first("bands").alias("bands")))
+
+    def sets(keys: DataFrame) -> DataFrame:
+        wanted = checkpoint(distinct.select("k1", "id").join(sized(keys, BROADCAST), "k1", "left_semi"))
+        texts = rows.join(sized(wanted.select("id").distinct(), BROADCAST), "id", "left_semi")
+        return checkpoint(shingle_sets(texts, words).join(sized(wanted.select("k1"), BROADCAST), "k1", "left_semi").dropDuplicates(["k1"]))
+
+    def alike(pairs: DataFrame) -> DataFrame:
+        s = sets(checkpoint(pairs.select(F.explode(F.array("a", "b")).alias("k1")).distinct()))
+        both = (pairs.join(s.select(F.col("k1").alias("a"), F.col("hashes").alias("sa")), "a")
+                .join(s.select(F.col("k1").alias("b"), F.col("hashes").alias("sb")), "b"))
+        sizes = both.select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("shared"))
+        return sizes.where(F.col("shared") >= similarity * (F.col("na") + F.col("nb") - F.col("shared"))).select("a", "b")
+
+    found = links(distinct.select("k1", F.explode("bands").alias("band")),
+                  lambda keys: sets(keys).select("k1", F.explode("hashes").alias("h")), alike, similarity, BROADCAST)
+    shared = signed.groupBy("id").agg(F.min("k1").alias("a"), F.collect_set("k1").alias("ks")).where(F.size("ks") > 1).select("a", F.explode("ks").alias("b"))
+    roots = components(found.union(shared))
+    named = distinct.select("k1", "id").join(roots, F.col("k1") == F.col("node"), "left").withColumn("root", F.coalesce("root", "k1"))
+    firsts = named.groupBy("root").agg(F.min("id").alias("component_id"))
+    return (signed.select("id", "k1").join(named.select("k1", "root"), "k1").join(firsts, "root")
+            .select(F.col("id").alias("doc_id"), "component_id"))
