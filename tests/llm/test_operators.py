@@ -330,6 +330,33 @@ def test_lines_against_brute_force(docs, hard, empty):
     assert lines.decide(hard).where("kept").count() >= 5
 
 
+def passage_pairs(n, seed=5):
+    """2 * n lines of one passage of 300 characters and 80 of their own: similar within a pair, under 0.8 between pairs."""
+    rng = np.random.default_rng(seed)
+    word = lambda k: "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), k))
+    passage, own = word(300), [word(50) for _ in range(n)]
+    return [(2 * i + j, passage + own[i] + word(30)) for i in range(n) for j in range(2)]
+
+
+def test_lines_of_a_frequent_passage_meet_their_like(spark):
+    rows = passage_pairs(100)
+    got = {r.doc_id: r.keep_doc_id for r in lines.decide(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: i - i % 2 for i, _ in rows}
+
+
+def test_links_in_a_bucket_whose_shingles_are_all_frequent(spark):
+    # sets of ten shingles out of twelve frequent ones: no rare shingle separates them
+    rng = np.random.default_rng(3)
+    sets = {i: frozenset(rng.choice(14, 10, replace=False).tolist()) for i in range(60)}
+    sh = spark.createDataFrame([(k, h) for k, x in sets.items() for h in x], "k1 long, h long")
+    likeness = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in sets for b in sets if a < b}
+    alike = lambda pairs: spark.createDataFrame([(r.a, r.b) for r in pairs.collect() if likeness[r.a, r.b] >= 0.8], "a long, b long")
+    banded = spark.createDataFrame([(k, 1) for k in sets], "k1 long, band long")
+    found = common.links(banded, lambda keys: sh.join(keys, "k1", "left_semi"), alike, 0.8, 1000)
+    every = spark.createDataFrame([p for p, x in likeness.items() if x >= 0.8], "a long, b long")
+    assert sorted(common.components(found).collect()) == sorted(common.components(every).collect())
+
+
 def test_lines_dedup_keeps_columns(hard):
     out = lines.dedup(hard)
     assert out.columns == hard.columns
