@@ -18,6 +18,8 @@ from .common import checkpoint, ship
 
 #: Words whose ids a worker remembers, about 200 bytes each; forgotten when full.
 REMEMBERED = 700_000
+#: Characters of a word that is remembered at most; a text with a longer one goes to the tokenizer whole.
+WORD = 64
 _RUN = re.compile(r" (?:\s|$)")
 _loaded: dict[str, "Ids"] = {}
 
@@ -65,7 +67,7 @@ class Ids:
             self.memory.clear()
         memory, cut, new, whole = self.memory, [], set(), []
         for t in texts:
-            if self.by_words and not _RUN.search(t):
+            if self.by_words and not _RUN.search(t) and max(map(len, t.split(" "))) <= WORD:
                 head, *words = t.split(" ")
                 new.update([w for w in words if w not in memory])
                 cut.append(words)
@@ -107,38 +109,40 @@ def pieces(docs: DataFrame, path: str, id_col: str, text_col: str, capacity: int
 
 
 def plan(sizes: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int]]:
-    """Best fit by rounds: (size, first rank, count, first sequence, offset) of runs of equal pieces.
+    """Best fit decreasing by rounds: (size, first rank, count, first sequence, offset) of runs of equal pieces.
 
     sizes has the number of pieces of each size; there are at most `capacity` sizes, however many pieces.
-    A round takes the largest size not yet placed. Gaps lie sorted by size as runs of sequences with the
-    same gap. A sweep finds the smallest gap that the size fits; its sequences and the pieces are matched
-    by rank, one piece to a sequence; the gaps shrink and are sorted in anew; and so on until pieces or
-    fitting gaps run out. Pieces left over open sequences, each filled as often as the size goes into it.
+    A round takes the largest size not yet placed. Gaps lie sorted by size as runs of sequences with the same gap. A sweep
+    finds the smallest gap that the size fits; its sequences and the pieces are matched by rank. A sequence is filled as
+    often as the size goes into its gap before the next one is begun, since what is left of a gap is the smallest that
+    fits. The gaps shrink and are sorted in anew; and so on until pieces or fitting gaps run out. Pieces left over open
+    sequences. The number of sequences is that of one-by-one best fit.
     """
     runs, gaps, opened = [], [], 0  # gaps: sorted (gap, first sequence, count)
     for size in sorted(sizes, reverse=True):
         left, rank = sizes[size], 0
-        while left and (k := bisect_left(gaps, (size, -1, -1))) < len(gaps):
-            gap, first, count = gaps.pop(k)
-            n = min(left, count)
-            runs.append((size, rank, n, first, capacity - gap))
-            rank, left = rank + n, left - n
-            if gap > size:
-                insort(gaps, (gap - size, first, n))
-            if count > n:
-                insort(gaps, (gap, first + n, count - n))
-        if left:
-            insort(gaps, (capacity, opened, -(-left // (capacity // size))))
-            opened += gaps[-1][2]
-            while left:
-                gap, first, count = gaps.pop(bisect_left(gaps, (size, -1, -1)))
-                n = min(left, count)
-                runs.append((size, rank, n, first, capacity - gap))
-                rank, left = rank + n, left - n
-                if gap > size:
-                    insort(gaps, (gap - size, first, n))
-                if count > n:
-                    insort(gaps, (gap, first + n, count - n))
+        while left:
+            k = bisect_left(gaps, (size, -1, -1))
+            if k < len(gaps):
+                gap, first, count = gaps.pop(k)
+            else:
+                gap, first, count = capacity, opened, -(-left // (capacity // size))
+                opened += count
+            times = gap // size
+            full = min(count, left // times)
+            for j in range(times if full else 0):
+                runs.append((size, rank + j * full, full, first, capacity - gap + j * size))
+            rank, left = rank + full * times, left - full * times
+            if full and gap > size * times:
+                insort(gaps, (gap - size * times, first, full))
+            if full < count and left < times:  # one more sequence takes the rest
+                for j in range(left):
+                    runs.append((size, rank + j, 1, first + full, capacity - gap + j * size))
+                if left and gap > size * left:
+                    insort(gaps, (gap - size * left, first + full, 1))
+                full, left = full + (left > 0), 0
+            if full < count:
+                insort(gaps, (gap, first + full, count - full))
     return runs
 
 
