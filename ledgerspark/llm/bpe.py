@@ -23,8 +23,12 @@ if array("I").itemsize != 4 or sys.byteorder != "little":
 
 #: Entries of a worker's memory of encoded words, about 200 bytes each; it is emptied when full.
 REMEMBERED = 700_000
-#: Characters of a text whose matches are held at a time.
+#: Matches of a text that are held at a time.
 LONG = 1 << 20
+#: Bytes of one match for which the tokens at each place are held at a time: memory besides this is 20 bytes for each of the match.
+WINDOW = 1 << 16
+#: Characters of a word or match that is remembered at most.
+WORD = 64
 #: A space before white space or at the end: only then may a match of the pattern go on over a space.
 _RUN = re.compile(r" (?:\s|$)")
 
@@ -42,6 +46,7 @@ class Codec:
         for t, r in self.rank.items():
             self.automaton.add_word(t.decode("latin-1"), (len(t), r))
         self.automaton.make_automaton()
+        self.longest = self.most = max(map(len, self.rank))
         self.compatible: dict[tuple[int, int], bool] = {}
         self.made_of: dict[int, tuple[int, int]] = {}
         self.words: dict[str, bytes] = {}
@@ -101,34 +106,47 @@ class Codec:
         """
         if (whole := self.rank.get(data)) is not None:
             return [whole]
-        size = len(data)
-        at: list[list[tuple[int, int]]] = [[] for _ in range(size)]
-        for end, (length, r) in self.automaton.iter(data.decode("latin-1")):
-            at[end + 1 - length].append((length, r))  # ends ascend, so lengths do
-        out: list[int] = []
-        path: list[tuple[int, int]] = []  # place, next candidate's number
-        dead = [False] * (size + 1)
+        size, base, at = len(data), 0, self._starts(data, 0)
+        out, places, nexts = array("I"), array("q"), array("h")  # tokens; where each begins; number of its next candidate
+        dead = bytearray(size + 1)
         place, k = 0, len(at[0]) - 1
         while place < size:
+            if not base <= place < base + WINDOW:
+                base = place - place % WINDOW
+                at = self._starts(data, base)
+            here = at[place - base]
+            k = min(k, len(here) - 1)
             while k >= 0:
-                length, r = at[place][k]
+                length, r = here[k]
                 if not dead[place + length] and (not out or self.fits(out[-1], r)):
                     break
                 k -= 1
             if k >= 0:
-                path.append((place, k - 1))
+                places.append(place)
+                nexts.append(k - 1)
                 out.append(r)
                 place += length
-                k = len(at[place]) - 1 if place < size else 0
+                k = self.most
             else:
-                if not path:
+                if not out:
                     raise ValueError("the vocabulary lacks a byte")
-                dead[place] = True
-                place, k = path.pop()
+                dead[place] = 1
+                place, k = places.pop(), nexts.pop()
                 out.pop()
-        return out
+        return out.tolist()
+
+    def _starts(self, data: bytes, base: int) -> list[list[tuple[int, int]]]:
+        """(length, token) of the tokens that begin at each place of a window, by length."""
+        n = min(WINDOW, len(data) - base)
+        at: list[list[tuple[int, int]]] = [[] for _ in range(n)]
+        for end, (length, r) in self.automaton.iter(data[base:base + n + self.longest].decode("latin-1")):
+            if end + 1 - length < n:
+                at[end + 1 - length].append((length, r))  # ends ascend, so lengths do
+        return at
 
     def _match(self, m: str) -> bytes:
+        if len(m) > WORD:
+            return array("I", self.encode_match(m.encode("utf-8"))).tobytes()
         got = self.matches.get(m)
         if got is None:
             if len(self.matches) >= REMEMBERED:
@@ -137,6 +155,8 @@ class Codec:
         return got
 
     def _word(self, w: str) -> bytes:
+        if len(w) > WORD:
+            return b"".join([self._match(m) for m in self.pattern.findall(" " + w)])
         if len(self.words) >= REMEMBERED:
             self.words.clear()
         got = self.words[w] = b"".join([self._match(m) for m in self.pattern.findall(" " + w)])
