@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -11,23 +12,27 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, ship
+from .common import checkpoint, ship, sized
 
 
 @dataclass(frozen=True)
 class Settings:
     """share: weight of presentation in a node's importance; the rest is its content's.
 
-    Branches under `threshold` go, on hosts where at least `pages` different pages have the branch.
+    A node's importance is first shrunk towards 1 as if `prior` more pages had other content there, then weighed by its
+    markup: by `aside` outside the article of a page that has one (or else its main element), by `noise` in elements
+    that say they aren't main text. Branches under `threshold` go.
     """
 
     share: float = 0.1
     threshold: float = 0.25
-    pages: int = 8
+    prior: float = 4.0
+    aside: float = 0.2
+    noise: float = 0.1
 
 
 #: Elements that never hold main text, those that are main text's containers, and blocks.
-RAW = "script|style|noscript|template|iframe|svg|object|canvas|title|textarea|select|math"
+RAW = "script|style|noscript|template|iframe|svg|title|textarea|select"
 NOISE_TAGS = {"nav", "footer", "aside", "form", "button", "dialog", "menu", "head"}
 NOISE_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "menu", "menubar", "form"}
 NOISE_NAME = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|nav\w*|menu\w*|breadcrumbs?|sidebar|side|footer|masthead|"
@@ -58,22 +63,19 @@ def _describe(tag: str, attrs: str, inside: bool) -> tuple[str, bool]:
     return f"{tag}.{'.'.join(sorted(got.get('class', '').lower().split()))}", noise
 
 
-def blocks(page: str | None) -> list[tuple[str, str]]:
-    """(path, text) of a page's blocks, in order, without those that their own markup rules out.
-
-    If there is an article (or else a main element), only blocks inside one are listed.
-    """
+def blocks(page: str | None, settings: Settings | None = None) -> list[tuple[str, str, float]]:
+    """(path, text, weight of its markup) of a page's blocks, in order."""
+    s = settings or Settings()
     page = page or ""
-    out: list[tuple[str, str, int]] = []
+    out: list[tuple[str, str, int, bool]] = []
     stack: list[tuple[str, str, bool, int]] = []  # tag, path, noise, 2 in an article, 1 in a main element
     buffer: list[str] = []
 
     def flush():
         if buffer:
-            if not (stack and stack[-1][2]):
-                text = _SPACE.sub(" ", entities.unescape("".join(buffer))).strip(" ")
-                if text:
-                    out.append((stack[-1][1] if stack else "", text, stack[-1][3] if stack else 0))
+            text = _SPACE.sub(" ", entities.unescape("".join(buffer))).strip(" ")
+            if text:
+                out.append((stack[-1][1], text, stack[-1][3], stack[-1][2]) if stack else ("", text, 0, False))
             buffer.clear()
 
     def pop_to(tags: set[str], limit: set[str]):
@@ -111,8 +113,20 @@ def blocks(page: str | None) -> list[tuple[str, str]]:
         rest = page[at:]
         buffer.append(rest[:rest.rfind("<")] if re.search(r"<[a-zA-Z/!][^>]*\Z", rest) else rest)  # a tag that the page's end cuts off
     flush()
-    best = max((o[2] for o in out), default=0)
-    return [(p, t) for p, t, where in out if where == best]
+    best = max((where for _, _, where, noise in out if not noise), default=0)
+    return [(p, t, (s.noise if noise else 1.0) * (1.0 if where == best else s.aside)) for p, t, where, noise in out]
+
+
+def nodes(found: list[tuple[str, str, float]]) -> dict[str, list[str]]:
+    """The texts under each node (a block's path or a path above it) of a page."""
+    by: dict[str, list[str]] = {}
+    for path, text, _ in found:
+        while True:
+            by.setdefault(path, []).append(text)
+            if not path:
+                break
+            path = path[:path.rfind("/")]
+    return by
 
 
 def host_of(url: Column) -> Column:
@@ -120,39 +134,38 @@ def host_of(url: Column) -> Column:
     return F.coalesce(F.lower(F.regexp_extract(url.cast("string"), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/:?#]+)", 1)), F.lit(""))
 
 
-def tree(pages: DataFrame) -> DataFrame:
-    """(host, path, pages, importance) of the merged trees of all hosts; pages has (host, html).
+def tree(pages: DataFrame, s: Settings) -> DataFrame:
+    """(host, path, pages, importance) of all nodes of the merged trees of all hosts; pages has (host, html).
 
-    Pages of one host with the same text count once. For a branch, c pages of m with one content add
-    c/m * log(c)/log(m) to the content's entropy over pages; importance is 1 less that. The entropy of the
-    branch's presentations (the sequence of its blocks' sizes) counts by settings.share. Tasks send a
-    row for each branch of a page, and sums meet before the shuffle, so no task holds a host.
+    Pages of one host with the same main text by markup alone count once, so copied articles aren't taken for templates. For a node on m pages, c pages with one content add
+    c/m * log(c)/log(m) to what is common to the pages; importance is 1 less that. The node's presentations (how many blocks of
+    text are under it) count by s.share, its contents by the rest. Importance is shrunk towards 1 by s.prior pages,
+    so what few pages show weighs little. Tasks send a row for each node of a page, and sums meet before the shuffle, so
+    no task holds a host.
     """
     def run(batches):
         for b in batches:
-            rows = []
-            for host, page in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                by: dict[str, list[str]] = {}
-                got = blocks(page)
-                for path, text in got:
-                    by.setdefault(path, []).append(text)
-                whole = _hash("\n".join(t for _, t in got))
-                rows += [(host, path, _hash("\n".join(ts)), len(ts), whole) for path, ts in by.items()]
-            cols = list(zip(*rows)) if rows else [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64()))],
-                                             ["host", "path", "content", "style", "page"])
-
-    nodes = checkpoint(pages.mapInArrow(run, "host string, path string, content long, style long, page long").distinct())
-    c = F.col("c").cast("double")
+            for at in range(0, b.num_rows, 64):
+                rows, part = [], b.slice(at, 64)
+                for host, page in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                    got = blocks(page, s)
+                    whole = _hash("\n".join(t for _, t, w in got if w == 1.0))
+                    rows += [(host, path, _hash("\n".join(ts)), len(ts), whole) for path, ts in nodes(got).items()]
+                cols = list(zip(*rows)) if rows else [()] * 5
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64()))],
+                                                 ["host", "path", "content", "style", "page"])
+
+    found = checkpoint(pages.mapInArrow(run, "host string, path string, content long, style long, page long").distinct())
+    c, m = F.col("c").cast("double"), F.col("pages").cast("double")
 
     def entropy(by: str) -> DataFrame:
-        return (nodes.groupBy("host", "path", by).agg(F.count("*").alias("c")).groupBy("host", "path")
+        sums = (found.groupBy("host", "path", by).agg(F.count("*").alias("c")).groupBy("host", "path")
                 .agg(F.sum("c").alias("pages"), F.sum(c * F.log(c)).alias("s")))
+        return sums.select("host", "path", "pages", F.when(m > 1, 1 - F.col("s") / (m * F.log(m))).otherwise(1.0).alias(by))
 
-    m = F.col("pages").cast("double")
-    content = entropy("content").select("host", "path", "pages", F.when(m > 1, 1 - F.col("s") / (m * F.log(m))).otherwise(1.0).alias("content"))
-    styles = entropy("style").select("host", "path", F.when(m > 1, 1 - F.col("s") / (m * F.log(m))).otherwise(1.0).alias("style"))
-    return content.join(styles, ["host", "path"])
+    both = entropy("content").join(entropy("style").drop("pages"), ["host", "path"])
+    plain = s.share * F.col("style") + (1 - s.share) * F.col("content")
+    return both.select("host", "path", "pages", ((m * plain + s.prior) / (m + s.prior)).alias("importance"))
 
 
 def _hash(text: str) -> int:
@@ -163,28 +176,41 @@ def _hash(text: str) -> int:
 BROADCAST_HOSTS = 50_000
 
 
+def main_text(page: str | None, low: Iterable[str], s: Settings) -> str:
+    """The text of a page's blocks, without those under a branch of the host's list and those that their markup alone makes unimportant."""
+    gone, kept = set(low), []
+    for path, text, weight in blocks(page, s):
+        while weight >= s.threshold and path and gone and path not in gone:
+            path = path[:path.rfind("/")]
+        if weight >= s.threshold and not (gone and path in gone):
+            kept.append(text)
+    return "\n".join(kept)
+
+
+def branches(pages: DataFrame, s: Settings) -> DataFrame:
+    """(host, path, pages, importance) of the branches that go: nodes under the threshold."""
+    return tree(pages, s).where((F.col("importance") < s.threshold) & (F.col("path") != ""))
+
+
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", settings: Settings | None = None) -> DataFrame:
     """(page_id, url, text, n_chars) of every page.
 
     Null and empty pages, and those without main text, have an empty text. Pages without an address are
-    merged as one host. Repeated rows are returned each. An empty table gives an empty result.
+    merged as one host. Very long pages are read whole. Repeated rows are returned each. An empty table gives an empty
+    result; other columns are ignored, whatever their names.
     """
     s = settings or Settings()
     ship(pages.sparkSession)
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), host_of(F.col(url_col)).alias("host"), F.col(html_col).cast("string").alias("html"))
-    weight = s.share * F.col("style") + (1 - s.share) * F.col("content")
-    low = (tree(rows.select("host", "html")).where((F.col("pages") >= s.pages) & (weight < s.threshold))
-           .groupBy(F.col("host").alias("h")).agg(F.collect_list("path").alias("low")))
-    low = checkpoint(low)
-    few = low.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS
-    joined = rows.join(F.broadcast(low) if few else low, F.col("host") == F.col("h"), "left").select("page_id", "url", "html", "low")
+    low = checkpoint(branches(rows.select("host", "html"), s).groupBy(F.col("host").alias("h")).agg(F.collect_list("path").alias("low")))
+    joined = rows.join(sized(low, BROADCAST_HOSTS), F.col("host") == F.col("h"), "left").select("page_id", "url", "html", "low")
 
     def run(batches):
         for b in batches:
-            texts = []
-            for page, out in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
-                drop = tuple(out or ())
-                texts.append("\n".join(t for p, t in blocks(page) if not (drop and any(p == d or p.startswith(d + "/") for d in drop))))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
+            for at in range(0, b.num_rows, 64):
+                part = b.slice(at, 64)
+                texts = [main_text(page, out or (), s) for page, out in zip(part.column(2).to_pylist(), part.column(3).to_pylist())]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
+                                                 ["page_id", "url", "text", "n_chars"])
 
     return joined.mapInArrow(run, "page_id long, url string, text string, n_chars long")
