@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import session
@@ -20,10 +20,13 @@ def ship(spark: SparkSession) -> None:
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; only a session without one gets a local folder of its own."""
+    """The cluster's shared checkpoint folder; only a session on one machine without one gets a local folder of its own."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint"))
+        shared = sc.getConf().get("spark.checkpoint.dir")
+        if not shared and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="checkpoint"))
     return sc._jsc.sc().getCheckpointDir().get()
 
 
@@ -35,7 +38,15 @@ def checkpoint(df: DataFrame) -> DataFrame:
 
 def sized(df: DataFrame, rows: int) -> DataFrame:
     """df, to be broadcast if it has at most so many rows, else to be joined by a shuffle. df should be cheap to read again."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    return F.broadcast(df) if df.count() <= rows else df
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -73,62 +84,75 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
+Near = Callable[[Column], Column]
+
 #: Members of a bucket that are all paired with each other.
 SMALL = 16
 
 
-def _split(banded: DataFrame, broadcast: int) -> tuple[DataFrame, DataFrame]:
-    """Pairs (a, b) of the members of buckets (band, k1), and the ends (band, low, high) of the buckets that give only a part of theirs.
+def _split(banded: DataFrame, broadcast: int, near: Near) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b) of the members of buckets (band, k1, sketch), and the ends (band, low, high) of the buckets that give only a part of theirs.
 
     Buckets of up to SMALL members give all pairs; in a larger one each member is paired with the smallest and the largest
-    key. Buckets of two need no members again.
+    key. Buckets of two need no members again. Pairs whose sketches aren't near are left out.
     """
-    ends = checkpoint(banded.groupBy("band").agg(F.count("*").alias("n"), F.min("k1").alias("low"), F.max("k1").alias("high")).where("low < high"))
-    two = ends.where("n = 2").select(F.col("low").alias("a"), F.col("high").alias("b"))
+    ends = checkpoint(banded.groupBy("band").agg(F.count("*").alias("n"), F.min("k1").alias("low"), F.max("k1").alias("high"), F.bit_xor("sketch").alias("apart")).where("low < high"))
+    two = ends.where((F.col("n") == 2) & near(F.col("apart"))).select(F.col("low").alias("a"), F.col("high").alias("b"))
     members = (banded.join(sized(ends.where(f"n between 3 and {SMALL}").select("band"), broadcast), "band")
-               .groupBy("band").agg(F.array_sort(F.collect_set("k1")).alias("m")))
-    some = (members.select(F.explode(F.flatten(F.transform("m", lambda x, i: F.transform(F.slice("m", i + 2, SMALL), lambda y: F.struct(x.alias("a"), y.alias("b")))))).alias("p"))
-            .select("p.a", "p.b"))
-    large = ends.where(f"n > {SMALL}").drop("n")
-    star = (banded.join(sized(large, broadcast), "band").select(F.explode(F.array(
-        F.struct(F.col("low").alias("a"), F.col("k1").alias("b")), F.struct(F.col("k1").alias("a"), F.col("high").alias("b")))).alias("p"))
-            .select("p.a", "p.b").where("a < b"))
+               .groupBy("band").agg(F.array_sort(F.collect_set(F.struct("k1", "sketch"))).alias("m")))
+    some = (members.select(F.explode(F.flatten(F.transform("m", lambda x, i: F.transform(F.slice("m", i + 2, SMALL), lambda y: F.struct(x.alias("x"), y.alias("y")))))).alias("p"))
+            .where(near(F.col("p.x.sketch").bitwiseXOR(F.col("p.y.sketch")))).select(F.col("p.x.k1").alias("a"), F.col("p.y.k1").alias("b")))
+    large = ends.where(f"n > {SMALL}").select("band", "low", "high")
+    inside = banded.join(sized(large, broadcast), "band")
+    tips = inside.where("k1 = low or k1 = high").select("band", F.col("k1").alias("tip"), F.col("sketch").alias("tip_sketch")).distinct()
+    star = (inside.join(sized(checkpoint(tips), broadcast), "band").where("k1 != tip").where(near(F.col("sketch").bitwiseXOR(F.col("tip_sketch"))))
+            .select(F.least("k1", "tip").alias("a"), F.greatest("k1", "tip").alias("b")))
     return two.union(some).union(star), large
 
 
-def links(banded: DataFrame, shingles: Callable[[DataFrame], DataFrame], alike: Callable[[DataFrame], DataFrame], similarity: float, broadcast: int) -> DataFrame:
-    """Edges (a, b) that connect any two keys that share a band and are alike.
+#: Members of a band that still holds several components, up to which they are compared all with all by their sketches.
+WIDE = 1024
 
-    banded has (k1, band); shingles(keys) gives (k1, h), the different shingles of the listed keys; alike(pairs) keeps the
-    pairs with a Jaccard similarity of at least `similarity`.
 
-    Members of a large bucket also meet by their rarest shingles: two similar sets of n shingles share one of
-    the first n - ceil(similarity * n) + 1 in any common order. A shingle frequent even among these gives a large bucket
-    again; of its members those that the links found so far leave in different components are compared, all with all.
+def links(banded: DataFrame, shingles: Callable[[DataFrame], DataFrame], alike: Callable[[DataFrame], DataFrame], similarity: float, broadcast: int, near: Near) -> DataFrame:
+    """Edges (a, b) that connect any two keys that share a band, have near sketches and are alike.
+
+    banded has (k1, band, sketch); shingles(keys) gives (k1, h), the different shingles of the listed keys; alike(pairs) keeps the
+    pairs with a Jaccard similarity of at least `similarity`. near(bits in which two 64-bit sketches differ) tells the pairs
+    that are to be compared.
+
+    In a band of more than SMALL members these first meet its two ends only. Where that leaves several components, members of
+    different ones are compared by their sketches. In a band of more than WIDE members they meet by their rarest shingles before
+    that: two similar sets of n shingles share one of the first n - ceil(similarity * n) + 1 in any common order.
     """
-    pairs, large = _split(banded, broadcast)
+    pairs, large = _split(banded, broadcast, near)
+    found = checkpoint(alike(checkpoint(pairs.distinct())))
     if not large.limit(1).count():
-        return checkpoint(alike(checkpoint(pairs.distinct())))
-    keys = checkpoint(banded.join(sized(large.select("band"), broadcast), "band", "left_semi").select("k1").distinct())
-    sh = checkpoint(shingles(keys))
-    common = checkpoint(sh.groupBy("h").agg(F.count("*").alias("n")).where(f"n > {SMALL}"))
-    sizes = sh.groupBy("k1").agg(F.count("*").alias("size"))
-    ranked = (sh.join(sized(common, broadcast), "h", "left").join(sizes, "k1")
-              .withColumn("at", F.row_number().over(Window.partitionBy("k1").orderBy(F.coalesce("n", F.lit(0)), "h"))))
-    # a little is added before rounding so that 0.8 * 5 is 4, and the prefix never too short
-    prefix = checkpoint(ranked.where(F.col("at") <= F.col("size") - F.ceil(similarity * F.col("size") - 1e-6) + 1)
-                        .select("k1", F.col("h").alias("band"), "size"))
-    more, rest = _split(prefix.select("k1", "band"), broadcast)
-    found = checkpoint(alike(checkpoint(pairs.union(more).distinct())))
-    if not rest.limit(1).count():
         return found
     roots = components(found)
-    members = (prefix.join(sized(rest.select("band"), broadcast), "band", "left_semi").join(roots, F.col("k1") == F.col("node"), "left")
-               .select("band", "k1", "size", F.coalesce("root", "k1").alias("root")))
-    mixed = members.groupBy("band").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("band")
-    members = checkpoint(members.join(sized(checkpoint(mixed), broadcast), "band", "left_semi"))
-    a, b = members.alias("a"), members.alias("b")
-    left = (a.join(b, F.col("a.band") == F.col("b.band")).where("a.k1 < b.k1 and a.root != b.root")
-            .where(F.least("a.size", "b.size") >= similarity * F.greatest("a.size", "b.size") - 1e-6)
-            .select(F.col("a.k1").alias("a"), F.col("b.k1").alias("b")).distinct())
-    return found.union(checkpoint(alike(checkpoint(left))))
+
+    def mixed(members: DataFrame) -> DataFrame:
+        """Members (band, k1, ...) of the bands that hold several components, with their root and their band's members."""
+        members = checkpoint(members.join(roots, F.col("k1") == F.col("node"), "left").withColumn("root", F.coalesce("root", "k1")).drop("node"))
+        several = members.groupBy("band").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("n")).where("x < y").select("band", "n")
+        return checkpoint(members.join(sized(checkpoint(several), broadcast), "band"))
+
+    def across(members: DataFrame, fits: Column | None = None) -> DataFrame:
+        a, b = members.alias("a"), members.alias("b")
+        both = a.join(b, F.col("a.band") == F.col("b.band")).where("a.k1 < b.k1 and a.root != b.root").where(near(F.col("a.sketch").bitwiseXOR(F.col("b.sketch"))))
+        return (both if fits is None else both.where(fits)).select(F.col("a.k1").alias("a"), F.col("b.k1").alias("b"))
+
+    left = mixed(banded.join(sized(large.select("band"), broadcast), "band", "left_semi"))
+    pairs, wide = across(left.where(F.col("n") <= WIDE)), left.where(F.col("n") > WIDE)
+    if wide.limit(1).count():
+        keys = checkpoint(wide.select("k1", "sketch").distinct())
+        sh = checkpoint(shingles(keys.select("k1")))
+        common = checkpoint(sh.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"))
+        sizes = sh.groupBy("k1").agg(F.count("*").alias("size"))
+        ranked = (sh.join(sized(common, broadcast), "h", "left").join(sizes, "k1")
+                  .withColumn("at", F.row_number().over(Window.partitionBy("k1").orderBy(F.coalesce("n", F.lit(1)), "h"))))
+        # a little is added before rounding so that 0.8 * 5 is 4, and the prefix never too short
+        prefix = ranked.where((F.col("n") > 1) & (F.col("at") <= F.col("size") - F.ceil(similarity * F.col("size") - 1e-6) + 1)).select("k1", F.col("h").alias("band"), "size")
+        fits = F.least("a.size", "b.size") >= similarity * F.greatest("a.size", "b.size") - 1e-6
+        pairs = pairs.union(across(mixed(prefix.join(keys, "k1")), fits))
+    return found.union(checkpoint(alike(checkpoint(pairs.distinct()))))
