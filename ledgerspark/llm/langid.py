@@ -11,11 +11,11 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ship
+from .common import checkpoint, ship, unused
 
 #: Code points of a text that are hashed at a time.
 BLOCK = 1 << 18
@@ -23,9 +23,10 @@ BLOCK = 1 << 18
 
 @dataclass(frozen=True)
 class Settings:
-    """sample: labelled rows a language is fitted on at most (the bound of the fit's sample)."""
+    """sample: labelled texts a language is fitted on at most; labels: languages that are learned at most, the most frequent ones (the bounds of the fit's sample)."""
 
-    sample: int = 1500
+    sample: int = 600
+    labels: int = 200
     buckets: int = 1 << 15
     orders: tuple[int, ...] = (1, 2, 3)
     epochs: int = 3
@@ -44,18 +45,20 @@ class Model:
 
 
 def _grams(text: str, s: Settings):
-    """Bucket numbers of the character n-grams of a text, block by block.
+    """Bucket numbers of the character n-grams of a text, block by block; each n-gram belongs to the block in which it ends.
 
     The text is lower-cased, and everything but letters counts as a space; runs of spaces stay runs.
     """
-    step = max(s.orders) - 1
+    step, text = max(s.orders) - 1, text.lower()
     for at in range(0, len(text), BLOCK):
-        x = np.frombuffer(text[max(0, at - step):at + BLOCK].lower().encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        lead = min(at, step)
+        x = np.frombuffer(text[at - lead:at + BLOCK].encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
         x = np.where(_letter(x), x, np.uint64(32))
         for n in s.orders:
-            h = np.full(max(0, len(x) - n + 1), n, np.uint64)
+            y = x[max(0, lead - (n - 1)):]
+            h = np.full(max(0, len(y) - n + 1), n, np.uint64)
             for k in range(n):
-                h = (h ^ x[k:len(x) - n + 1 + k]) * np.uint64(0x9E3779B97F4A7C15)
+                h = (h ^ y[k:len(y) - n + 1 + k]) * np.uint64(0x9E3779B97F4A7C15)
                 h ^= h >> np.uint64(29)
             yield (h % np.uint64(s.buckets)).astype(np.int64)
 
@@ -106,21 +109,28 @@ def document_frequencies(docs: DataFrame, s: Settings) -> tuple[int, np.ndarray]
     return int(rows[rows.g < 0].n.sum()), df
 
 
-def sample(docs: DataFrame, s: Settings) -> pd.DataFrame:
-    """(lang, at, n): n-gram counts of about s.sample different texts of each language, chosen by a hash of the text."""
-    counts = {r.lang: r["count"] for r in docs.groupBy("lang").count().collect()}
-    share = F.lit(0.0)
-    for lang, n in counts.items():
-        share = F.when(F.col("lang") == lang, F.lit(min(1.0, s.sample / n))).otherwise(share)
-    chosen = docs.where(F.pmod(F.xxhash64("t"), F.lit(1 << 20)) < share * (1 << 20)).select("lang", "t").distinct()  # copies count once
+def sample(docs: DataFrame, s: Settings) -> list[tuple[str, np.ndarray, np.ndarray]]:
+    """(language, buckets, counts) of about s.sample different texts of each language, chosen by a hash of the text, in a fixed order.
+
+    Shares follow from the number of different texts, so a language of many copies isn't left out. Rows come as packed
+    numbers, a partition at a time: the driver holds little besides the sample.
+    """
+    n = F.approx_count_distinct("t", 0.02)
+    shares = (docs.groupBy("lang").agg(n.alias("n")).orderBy(F.col("n").desc(), "lang").limit(s.labels)
+              .select(F.col("lang").alias("l"), F.least(F.lit(1.0), F.lit(float(s.sample)) / F.col("n")).alias("share")))
+    chosen = (docs.join(F.broadcast(shares), F.col("lang") == F.col("l"))  # at most s.labels rows
+              .where(F.pmod(F.xxhash64("t"), F.lit(1 << 20)) < F.col("share") * (1 << 20)).select("lang", "t").distinct())  # copies count once
 
     def run(batches):
         for b in batches:
-            at, n = zip(*(_counts(t, s) for t in b.column(1).to_pylist())) if b.num_rows else ((), ())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(at), pa.list_(pa.int64())), pa.array(list(n), pa.list_(pa.int64()))], ["lang", "at", "n"])
+            for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                at, n = _counts(text, s)
+                packed = [at.astype("<i4").tobytes(), n.astype("<i4").tobytes()]
+                yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([packed[0]], pa.binary()), pa.array([packed[1]], pa.binary())], ["lang", "at", "n"])
 
-    return (chosen.mapInArrow(run, "lang string, at array<long>, n array<long>")
-            .limit(2 * s.sample * max(1, len(counts))).toPandas())
+    made = checkpoint(chosen.mapInArrow(run, "lang string, at binary, n binary"))
+    got = [(r.lang, np.frombuffer(bytes(r.at), "<i4"), np.frombuffer(bytes(r.n), "<i4")) for r in made.toLocalIterator()]
+    return sorted(got, key=lambda r: (zlib.crc32(r[1].tobytes()), r[0], r[2].tobytes()))
 
 
 def ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]], classes: int, s: Settings) -> tuple[np.ndarray, np.ndarray]:
@@ -157,15 +167,11 @@ def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", setti
     total, df = document_frequencies(rows.select("t"), s)
     idf = np.log((1 + total) / (1 + df)) + 1
     got = sample(rows, s)
-    langs = sorted(set(got["lang"]))
+    langs = sorted({lang for lang, _, _ in got})
     if not langs:
         return Model([], np.zeros((s.buckets, 0)), np.zeros(0), 1.0)
-    order = [zlib.crc32(np.asarray(a).tobytes()) for a in got["at"]]  # a fixed order, whatever order the rows came in
-    data = []
-    for lang, at, n, _ in sorted(zip(got["lang"], got["at"], got["n"], order), key=lambda r: (r[3], r[0])):
-        if len(at):
-            at, n = np.asarray(at), np.asarray(n, float)
-            data.append((at, SCALE * n / n.sum() * idf[at], langs.index(lang)))
+    data = [(at, (SCALE * n / n.sum() * idf[at]).astype(np.float32), langs.index(lang)) for lang, at, n in got if len(at)]
+    del got
     check, fit = data[::5], [d for i, d in enumerate(data) if i % 5] or data
     w, bias = ftrl(fit, len(langs), s)
     scores = np.array([x @ w[at] + bias for at, x, _ in check])
@@ -198,24 +204,31 @@ def predict_text(text: str | None, model: Model, s: Settings) -> tuple[str, floa
     return model.langs[int(p.argmax())], float(p.max())
 
 
-def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", settings: Settings | None = None, keep: bool = False) -> DataFrame:
-    """(id, lang_pred, score) of every row, by its whole text alone; with `keep`, all columns of docs and the last two."""
+def language_of(text: Column, model: Model, settings: Settings | None = None) -> Column:
+    """Struct (lang_pred, score) of a text. Texts alone reach Python, by Arrow batches."""
     s = settings or Settings()
-    box = docs.sparkSession.sparkContext.broadcast(model)  # buckets x languages numbers
+    box = SparkSession.active().sparkContext.broadcast(model)  # buckets x languages numbers
 
-    def run(batches):
-        m = box.value
-        for b in batches:
-            out = [predict_text(t, m, s) for t in b.column("_text").to_pylist()]
-            left = [n for n in b.schema.names if n != "_text"]
-            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in left), pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.float64())],
-                                             [*left, "lang_pred", "score"])
+    @F.pandas_udf(T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
+    def found(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([predict_text(t, box.value, s) for t in texts], columns=["lang_pred", "score"])
+
+    return found(text.cast("string"))
 
-    rows = docs if keep else docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("_text"))
-    if keep:
-        rows = docs.drop("lang_pred", "score").withColumn("_text", F.col(text_col).cast("string"))
-    schema = T.StructType([f for f in rows.schema if f.name != "_text"] + [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return rows.mapInArrow(run, schema)
+
+def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", settings: Settings | None = None) -> DataFrame:
+    """(id, lang_pred, score) of every row, by its whole text alone."""
+    return docs.select(F.col(id_col).cast("long").alias("id"), language_of(F.col(text_col), model, settings).alias("found")).select("id", "found.lang_pred", "found.score")
+
+
+def accepted(docs: DataFrame, model: Model, least: float, text_col: str = "text", settings: Settings | None = None) -> DataFrame:
+    """The rows of docs whose text has a recognised language of at least that probability; columns stay as they were, whatever their names.
+
+    Null texts, texts without letters and unclear ones go. Each repeat of a row is judged alike. An empty table gives an empty result.
+    """
+    found = unused(docs, "found")
+    judged = docs.withColumn(found, language_of(F.col(text_col), model, settings))
+    return judged.where((F.col(f"{found}.lang_pred") != "und") & (F.col(f"{found}.score") >= least)).select(*docs.columns)
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -227,7 +240,8 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     """(doc_id, held_out, lang_pred, score) of every row, with a model learned from the rows that aren't held out.
 
     Null texts and texts without a letter are 'und' with score 0, as is everything if no row has a
-    language. Repeated rows are returned each. An empty table gives an empty result.
+    language. Very long texts are read block by block. Repeated rows are returned each. An empty table gives an empty result;
+    other columns are ignored, whatever their names.
     """
     ship(docs.sparkSession)
     model = train(docs.where(~held_out(id_col)), lang_col, text_col, settings)
