@@ -3,7 +3,7 @@
 import random
 
 import corpus_pipeline as pipeline
-from ledgerspark.llm import near
+from ledgerspark.llm import simhash
 from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.001"
@@ -44,7 +44,7 @@ def _words(seed, n):
 
 
 def _jaccard(x, y):
-    x, y = (set(near.shingles(t).tolist()) for t in (x, y))
+    x, y = (set(simhash.shingles(t).tolist()) for t in (x, y))
     return len(x & y) / max(1, len(x | y))
 
 
@@ -67,15 +67,15 @@ def test_near_copies_in_a_common_passage(spark):
     own = {i: _words(10 + i, 40) for i in range(60)}
     texts = {2 * i + j: " ".join(passage + own[i] + _words(500 + 2 * i + j, 6)) for i in range(60) for j in range(2)}
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
-    got = {r.doc_id: r.component_id for r in near.near_copies(docs).collect()}
+    got = {r.doc_id: r.component_id for r in simhash.near_texts(docs).collect()}
     assert got == {i: i - i % 2 for i in texts}
 
 
 def test_near_copies_by_brute_force(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id is not null")
     texts = {r.doc_id: r.text for r in docs.collect()}
-    got = {r.doc_id: r.component_id for r in near.near_copies(docs).collect()}
-    sets = {i: set(near.shingles(t).tolist()) for i, t in texts.items()}
+    got = {r.doc_id: r.component_id for r in simhash.near_texts(docs).collect()}
+    sets = {i: set(simhash.shingles(t).tolist()) for i, t in texts.items()}
     root = {i: i for i in texts}
     for a in sorted(texts):
         for b in sorted(texts):
