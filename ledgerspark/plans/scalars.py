@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import money, nif, text
-from ..operators import evals, extract
+from ..operators import evals, extract, items
 from .matching import CIF_OK
 from .registry import query
 
@@ -173,12 +173,53 @@ def _(l):
     return out.select("asiento_id", (F.col("p") + 1).alias("linea"), F.col("s.base").alias("base"), F.col("s.importe").alias("importe"))
 
 
-@query("item_lines", "select asiento_id, count(*) as n, sum(base_c)::bigint as importe from lineas where posicion <= 40 group by 1 having count(distinct codigo) = count(*)", "lineas")
+@query("item_lines", """select asiento_id, row_number() over (partition by asiento_id order by posicion)::int as linea, codigo, base_c as importe from lineas where posicion <= 40""", "lineas")
 def _(l):
     line = F.concat(F.col("codigo"), F.lit(" Articulo "), F.translate(F.col("posicion").cast("string"), "0123456789", "abcdefghij"), F.lit("\n"), F.replace(money.format_euro(F.col("base_c")), F.lit(" €"), F.lit("")))
-    docs = l.lineas.where("posicion <= 40").groupBy("asiento_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("posicion", line.alias("t")))), lambda s: s["t"]), "\n").alias("t"), F.countDistinct("codigo").alias("d"), F.count("*").alias("n"))
-    got = docs.where("d = n").select("asiento_id", extract.items(F.col("t")).alias("i"))
-    return got.select("asiento_id", F.size("i").cast("bigint").alias("n"), F.aggregate("i", F.lit(0).cast("bigint"), lambda a, x: a + x["importe_c"]).alias("importe"))
+    docs = l.lineas.groupBy("asiento_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("posicion", line.alias("t")))), lambda s: s["t"]), "\n").alias("t"))
+    got = docs.select("asiento_id", F.explode(extract.items(F.col("t"))).alias("i"))
+    return got.select("asiento_id", F.col("i.posicion").alias("linea"), F.col("i.codigo").alias("codigo"), F.col("i.importe_c").alias("importe"))
+
+
+NAMED = "select asiento_id as doc_id, posicion::int as orden, codigo, 'Articulo ' || translate(posicion::varchar, '0123456789', 'abcdefghij') as nombre"
+
+
+@query("reference_pairs", f"{NAMED} from lineas", "lineas")
+def _(l):
+    return items.reference_pairs(items.article_region(items.kinds(items.render(l.lineas, "blocks")))).select("doc_id", "orden", "codigo", "nombre")
+
+
+@query("numbered_lines", f"{NAMED} from lineas where posicion <= 40", "lineas")
+def _(l):
+    return items.numbered_lines(items.article_region(items.kinds(items.render(l.lineas, "columns")))).select("doc_id", "orden", "codigo", "nombre")
+
+
+@query("block_prices", "select asiento_id as doc_id, posicion::int as orden, base_c + iva_c as importe_c from lineas", "lineas")
+def _(l):
+    lines = items.kinds(items.render(l.lineas, "blocks"))
+    return items.reference_pairs(lines).join(items.block_prices(lines), ["doc_id", "pos"]).select("doc_id", "orden", "importe_c")
+
+
+@query("column_runs", """with x as (select asiento_id as doc_id, count(*)::int as n, sum(base_c + iva_c)::bigint as suma_c, string_agg((base_c + iva_c)::varchar, ',' order by posicion) as importes from lineas group by 1) select * from x""", "lineas")
+def _(l):
+    # every price is written as one unit price and its double, which count as one line
+    twice = items.render(l.lineas.withColumn("base_c", F.col("base_c") + F.col("iva_c")).withColumn("iva_c", F.lit(0).cast("bigint")), "columns")
+    price = r"(?<=\n)([\d.]+,\d{2})(?=\n(?!Total TTI))"
+    runs = items.column_runs(items.kinds(twice.withColumn("texto", F.regexp_replace("texto", price, "$1\n$1")))).where("con_cabecera")
+    return runs.select("doc_id", "n", "suma_c", F.array_join(F.transform("importes", lambda x: x.cast("string")), ",").alias("importes"))
+
+
+@query("find_items_blocks", f"{NAMED}, base_c + iva_c as importe_c, 'bloque' as origen from lineas", "lineas")
+def _(l):
+    docs = items.render(l.lineas, "blocks")
+    return items.find_items(docs, docs)
+
+
+@query("find_items_beside", """select asiento_id as doc_id, posicion::int as orden, null::varchar as codigo, 'Articulo ' || translate(posicion::varchar, '0123456789', 'abcdefghij') as nombre, base_c + iva_c as importe_c, 'linea' as origen from lineas
+where asiento_id in (select asiento_id from lineas group by 1 having count(*) > 1)""", "lineas")
+def _(l):
+    docs = items.render(l.lineas, "beside")
+    return items.find_items(docs, docs)
 
 
 TOK = "tk as (select item_id as case_id, unnest(string_split(text, ' ')) as token from benchmark), tx as (select doc_id as case_id, upper(text) as t from documents where doc_id < (select count(*) from benchmark))"
