@@ -91,12 +91,41 @@ def perceptual_pairs(hashes: DataFrame, most: int = 10, bits: int = 64, bands: i
             .select(F.col("a.id").alias("id"), F.col("b.id").alias("otro_id"), d.alias("distancia")).distinct())
 
 
-def cascade(entries: DataFrame) -> DataFrame:
-    """(id, nivel, otro_id, motivo): the first of the searches that finds an original, with the smallest id."""
-    found = [(fiscal_duplicates(entries), 1, 2, "clave fiscal"), (number_duplicates(entries), 2, 2, "número, fecha y total"),
-             (id_window_duplicates(entries), 3, 3, "NIF y total cercanos"), (issuer_window_duplicates(entries), 4, 3, "emisor y total cercanos")]
-    rows = reduce(DataFrame.unionByName, [d.select("id", F.struct(F.lit(p).alias("p"), "otro_id", F.lit(n).alias("nivel"), F.lit(m).alias("motivo")).alias("s")) for d, p, n, m in found])
-    return rows.groupBy("id").agg(F.min("s").alias("s")).select("id", "s.nivel", "s.otro_id", "s.motivo")
+#: The searches of the cascade in their order: level, motive, and the days around a date in which an original is looked for.
+SEARCHES = ((2, "clave fiscal", 0), (2, "número, fecha y total", 0), (3, "NIF y total cercanos", 3), (3, "emisor y total cercanos", 3))
+
+
+def cascade(entries: DataFrame, hashes: DataFrame | None = None) -> DataFrame:
+    """(id, nivel, otro_id, motivo): the first of the searches that finds an original, with the smallest id.
+
+    Only the smallest id of a key (and date) can be an original, so each key is one row of an aggregation, and entries look
+    it up, on seven dates where some days may lie between: no key gives pairs of its rows. hashes has (id, otro_id) of
+    documents whose pictures are alike; that search comes last.
+    """
+    rows = keyed(entries)
+
+    def key(p: int, first: str, second: str | None, ok: Column, dates: Column) -> Column:
+        """One search's keys of an entry, none if a part is missing."""
+        whole = F.struct(F.lit(p).alias("p"), "actividad_id", F.col(first).alias("k1"), (F.col(second) if second else F.lit("")).alias("k2"), "total_c")
+        known = reduce(lambda a, c: a & c, [F.col(c).isNotNull() for c in ("actividad_id", first, *([second] if second else []), "fecha", "total_c")]) & ok
+        return F.when(known, F.transform(dates, lambda d: F.struct(whole.alias("k"), d.alias("dia"))))
+
+    def keys(around: bool) -> Column:
+        one = F.array("fecha")
+        more = F.transform(F.sequence(F.lit(-SEARCHES[2][2]), F.lit(SEARCHES[2][2])), lambda d: F.date_add("fecha", d)) if around else one
+        valid = F.lit(True) if around else F.col("estado") != "rechazado"
+        found = [key(0, "nif", "numero", valid, one), key(1, "numero", None, valid & (F.length("numero") >= 4), one),
+                 key(2, "nif", None, F.lit(True), more), key(3, "emisor_norm", None, F.lit(True), more)]
+        return F.explode(F.flatten(F.filter(F.array(*found), lambda x: x.isNotNull())))
+
+    first = rows.select("id", keys(False).alias("s")).groupBy("s").agg(F.min("id").alias("otro_id"))
+    hit = rows.select("id", keys(True).alias("s")).join(first, "s").where("otro_id < id").select("id", F.struct(F.col("s.k.p").alias("p"), "otro_id").alias("h"))
+    if hashes is not None:
+        hit = hit.union(hashes.where("otro_id < id").select("id", F.struct(F.lit(len(SEARCHES)).alias("p"), "otro_id").alias("h")))
+    best = hit.groupBy("id").agg(F.min("h").alias("h"))
+    names = [*SEARCHES, (3, "imagen parecida", 0)]
+    pick = lambda i: F.element_at(F.array(*[F.lit(x[i]) for x in names]), F.col("h.p") + 1)
+    return best.select("id", pick(0).alias("nivel"), "h.otro_id", pick(1).alias("motivo"))
 
 
 def state_from_hit(entries: DataFrame, hits: DataFrame) -> DataFrame:
@@ -188,36 +217,59 @@ def supplier_score(nif_a: Column, nif_b: Column, similarity: Column, by_hand: bo
     return F.struct(w.alias("peso"), p.alias("probabilidad"), band(p).alias("banda"))
 
 
-def block_pairs(rows: DataFrame, rules: list[list[str]]) -> DataFrame:
-    """(a, b) ids, a < b, of rows that agree on all keys of any rule: one equi-join a rule, each pair once."""
-    def pairs(keys):
+def block_pairs(rows: DataFrame, rules: list) -> DataFrame:
+    """(a, b) ids, a < b, of rows that agree on all keys of any rule: one equi-join a rule, each pair once.
+
+    A rule is a list of keys, or (keys, condition): then one row of the pair must meet the condition."""
+    def pairs(rule):
+        keys, only = rule if isinstance(rule, tuple) else (rule, None)
         known = rows.where(reduce(lambda x, y: x & y, [F.col(k).isNotNull() for k in keys]))
-        l, r = known.alias("l"), known.alias("r")
-        on = reduce(lambda x, y: x & y, [F.col(f"l.{k}") == F.col(f"r.{k}") for k in keys]) & (F.col("l.id") < F.col("r.id"))
-        return l.join(r, on).select(F.col("l.id").alias("a"), F.col("r.id").alias("b"))
+        l, r = (known if only is None else known.where(only)).alias("l"), known.alias("r")
+        same = reduce(lambda x, y: x & y, [F.col(f"l.{k}") == F.col(f"r.{k}") for k in keys])
+        order = F.col("l.id") < F.col("r.id") if only is None else F.col("l.id") != F.col("r.id")
+        return l.join(r, same & order).select(F.least("l.id", "r.id").alias("a"), F.greatest("l.id", "r.id").alias("b"))
 
     return reduce(DataFrame.union, [pairs(k) for k in rules]).distinct()
 
 
+def supplier_pairs(entries: DataFrame) -> DataFrame:
+    """(id_a, id_b, nif_a, nif_b, jw) of different suppliers (tax id and clean name, named by their first entry) that share the id or
+    the name's first word."""
+    rows = keyed(entries).select("id", "nif", text.clean_name(F.col("emisor")).alias("nombre")).where("nombre != ''")
+    known = rows.groupBy("nif", "nombre").agg(F.min("id").alias("id")).withColumn("palabra", F.split("nombre", " ")[0])
+    l, r = known.alias("l"), known.alias("r")
+    both = block_pairs(known, [["nif"], ["palabra"]]).join(l, F.col("a") == F.col("l.id")).join(r, F.col("b") == F.col("r.id"))
+    return both.select(F.col("a").alias("id_a"), F.col("b").alias("id_b"), F.col("l.nif").alias("nif_a"), F.col("r.nif").alias("nif_b"), jaro_winkler_column(F.col("l.nombre"), F.col("r.nombre")).alias("jw"))
+
+
 def invoice_pairs(entries: DataFrame, least: float = schema.MENTION, scope: str | None = "actividad_id", linked: DataFrame | None = None) -> DataFrame:
     """(id_a, id_b, peso, probabilidad, desglose) of live entries that are probably one purchase.
 
-    Candidates share an id, a number or a total. Pairs of one invoice, and those in `linked` (a, b), are left out."""
+    With the weights of schema.PAIR_LEVELS a pair that shares the id needs its number or its total too, or lacks one of
+    them and shares the date or week; without an id or a number in common it needs total and date. So candidates share
+    such pairs of keys, or a number. Pairs of one invoice, and those in `linked` (a, b), are left out. Names are compared
+    only where the rest leaves the result open."""
     live = entries.where(~F.col("estado").isin(*schema.LIVE_EXCLUDES))
     rows = keyed(live).select("id", "actividad_id", "factura_id", "nif", "numero", "fecha", F.col("total_c").alias("importe"),
                               F.nullif(text.clean_name(F.col("emisor")), F.lit("")).alias("nombre"), text.iso_week(F.col("fecha")).alias("semana"))
     own = [scope] if scope else []
-    pairs = block_pairs(rows, [[*own, "nif"], [*own, "numero"], [*own, "importe"]])
+    no_total = F.col("importe").isNull()
+    pairs = block_pairs(rows, [[*own, "numero"], [*own, "nif", "importe"], [*own, "importe", "fecha"], ([*own, "nif", "fecha"], no_total | F.col("numero").isNull()),
+                               ([*own, "nif"], no_total)])
     if linked is not None:
         pairs = pairs.join(linked, ["a", "b"], "left_anti")
     l, r = rows.alias("l"), rows.alias("r")
     both = pairs.join(l, F.col("a") == F.col("l.id")).join(r, F.col("b") == F.col("r.id")).where(~F.col("l.factura_id").eqNullSafe(F.col("r.factura_id")) | F.col("l.factura_id").isNull())
-    both = both.withColumn("jw", jaro_winkler_column(F.col("l.nombre"), F.col("r.nombre")))
     same = lambda c: F.col(f"l.{c}") == F.col(f"r.{c}")
     null = lambda c: F.col(f"l.{c}").isNull() | F.col(f"r.{c}").isNull()
-    conditions = {"nif": [same("nif")], "numero": [same("numero")], "fecha": [same("fecha"), same("semana")], "importe": [same("importe")], "nombre": [F.col("jw") >= 0.95, F.col("jw") >= 0.85]}
-    parts = {c: bits(schema.PAIR_LEVELS[c], cond, null(c)) for c, cond in conditions.items()}
+    conditions = {"nif": [same("nif")], "numero": [same("numero")], "fecha": [same("fecha"), same("semana")], "importe": [same("importe")]}
     base = log2(schema.PAIR_PRIOR / (1 - schema.PAIR_PRIOR))
+    rest = reduce(lambda x, y: x + y, [bits(schema.PAIR_LEVELS[c], cond, null(c)) for c, cond in conditions.items()])
+    names = max(log2(m / u) for m, u in schema.PAIR_LEVELS["nombre"])
+    both = both.where(probability(F.lit(base + max(names, 0.0)) + rest) >= least)
+    both = both.withColumn("jw", jaro_winkler_column(F.col("l.nombre"), F.col("r.nombre")))
+    conditions["nombre"] = [F.col("jw") >= 0.95, F.col("jw") >= 0.85]
+    parts = {c: bits(schema.PAIR_LEVELS[c], cond, null(c)) for c, cond in conditions.items()}
     both = both.select("a", "b", *[w.alias(c) for c, w in parts.items()])
     w = F.lit(base) + reduce(lambda x, y: x + y, [F.col(c) for c in parts])
     why = F.array(F.struct(F.lit("base").alias("concepto"), F.lit(base).alias("bits")), *[F.struct(F.lit(c).alias("concepto"), F.col(c).alias("bits")) for c in parts])

@@ -35,13 +35,19 @@ def _kind(k: str) -> Column:
 
 
 def kpis(entries: DataFrame, conflicts: DataFrame | None = None) -> DataFrame:
-    """Totals and counts of a year; improvements do not lower the result, and rejected entries count as not validated."""
+    """Totals and counts of a year; improvements do not lower the result, and rejected entries count as not validated.
+
+    With conflicts (factura_id), n_conflictos counts the different invoices in conflict among all rows of the year."""
     out = entries.where("ejercicio is not null").groupBy(*SLICE).agg(
         _sum(live() & _kind("gasto")).alias("gastos_c"), _sum(live() & _kind("ingreso")).alias("ingresos_c"), _sum(live() & _kind("mejora")).alias("mejoras_c"),
         F.count_if(live()).alias("n_asientos"), F.count_if(F.col("estado") == "duplicado").alias("n_duplicados"),
         F.count_if(live() & (F.col("estado") == "pendiente")).alias("n_pendientes"), F.count_if(live() & low_confidence()).alias("n_baja"),
         F.count_if("validado").alias("n_validados"), F.count_if((F.col("estado") != "duplicado") & ~F.col("validado")).alias("n_sin_validar"))
-    return out.withColumn("resultado_c", F.col("ingresos_c") - F.col("gastos_c"))
+    out = out.withColumn("resultado_c", F.col("ingresos_c") - F.col("gastos_c"))
+    if conflicts is None:
+        return out
+    hit = entries.where("ejercicio is not null").join(conflicts.select("factura_id").distinct(), "factura_id", "left_semi").groupBy(*SLICE).agg(F.countDistinct("factura_id").alias("n_conflictos"))
+    return out.join(hit, SLICE, "left").na.fill(0, ["n_conflictos"])
 
 
 def by_month(entries: DataFrame) -> DataFrame:

@@ -48,21 +48,42 @@ def by_default(b: Column) -> Column:
     return F.when(any_of(b, schema.SOCIAL_SECURITY), _result("AE.GAS.SS", "regla", 800, "gasto"))
 
 
+#: Characters at the end of a pattern by which texts find it.
+TAIL = 6
+
+
+def pattern_hits(rows: DataFrame, patterns: DataFrame) -> DataFrame:
+    """(id, por_patron) of rows (id, actividad_id, blob): their case file's first pattern (smallest rule id) that occurs in the text.
+
+    patterns has (regla_id, actividad_id, patron, cuenta_codigo, tipo_cuenta). Texts and patterns meet in an equi-join by the
+    pattern's last TAIL characters, or the whole of a shorter one; so the list of patterns may be of any size.
+    """
+    known = patterns.select(F.col("actividad_id").alias("pa"), "patron", F.least(F.length("patron"), F.lit(TAIL)).alias("n"), F.struct("regla_id", "cuenta_codigo", "tipo_cuenta").alias("s"))
+    known = known.groupBy("pa", "patron", "n").agg(F.min("s").alias("s")).withColumn("cola", F.expr("right(patron, n)"))
+    sizes = sorted(r.n for r in known.select("n").distinct().collect())  # TAIL numbers at most
+
+    def parts(n: int) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("blob") - (n - 1))), lambda i: F.substring(F.col("blob"), i, F.lit(n)))
+
+    grams = F.flatten(F.array(*map(parts, sizes))) if sizes else F.array(F.lit(""))
+    spread = rows.select("id", "actividad_id", "blob", F.explode(F.array_distinct(grams)).alias("cola"))
+    hits = spread.join(known.drop("n"), (F.col("actividad_id") == F.col("pa")) & (spread["cola"] == known["cola"])).where(F.contains("blob", "patron"))
+    return hits.groupBy("id").agg(F.min("s").alias("por_patron"))
+
+
 def classify(rows: DataFrame, rules: DataFrame, accounts: DataFrame) -> DataFrame:
     """(id, cuenta, origen, confianza_m, tipo) of rows (id, actividad_id, nif, blob, propiedad boolean).
 
     A learned rule for the id wins, then the first learned pattern (smallest rule id) that occurs, then the fixed rules of
-    the regime. rules has (regla_id, actividad_id, nif_emisor, patron, cuenta_codigo) with empty text for unused parts: a
-    user's list, small against the rows; id rules are an equi-join, patterns are compared within their case file.
+    the regime. rules has (regla_id, actividad_id, nif_emisor, patron, cuenta_codigo) with empty text for unused parts; both kinds
+    are equi-joins.
     """
     known = rules.join(F.broadcast(accounts.select("codigo", F.col("tipo").alias("tipo_cuenta"))), F.col("cuenta_codigo") == F.col("codigo"))
     ids = known.where("nif_emisor != ''").groupBy(F.col("actividad_id").alias("ia"), F.col("nif_emisor").alias("in")).agg(
         F.min(F.struct("regla_id", "cuenta_codigo", "tipo_cuenta")).alias("por_nif"))
     by_id = rows.join(ids, (F.col("actividad_id") == F.col("ia")) & (F.col("nif") == F.col("in")), "left")
-    patterns = known.where("patron != ''").groupBy(F.col("actividad_id").alias("pa")).agg(F.sort_array(F.collect_list(F.struct("regla_id", "patron", "cuenta_codigo", "tipo_cuenta"))).alias("patrones"))
-    j = by_id.join(F.broadcast(patterns), F.col("actividad_id") == F.col("pa"), "left")
-    hit = F.try_element_at(F.filter("patrones", lambda p: F.contains(F.col("blob"), p["patron"])), F.lit(1))
-    j = j.withColumn("por_patron", hit)
+    hits = pattern_hits(rows, known.where("patron != ''"))
+    j = by_id.join(hits.withColumnRenamed("id", "hid"), F.col("id") == F.col("hid"), "left")
 
     def learned(c: str, m: int) -> Column:
         return F.when(F.col(c).isNotNull(), F.struct(F.col(f"{c}.cuenta_codigo").alias("cuenta"), F.lit("aprendida").alias("origen"), F.lit(m).alias("confianza_m"), F.col(f"{c}.tipo_cuenta").alias("tipo")))

@@ -130,29 +130,25 @@ def _(l):
 
 
 _SB = log2(schema.SUPPLIER_PRIOR / (1 - schema.SUPPLIER_PRIOR))
-SUPPLIERS = f"""s as (select id, nif, {CLEAN} as nombre from k where id % 2 = 0 and id < 10000000), t as (select a.id, a.nif as nif_a, b.nif as nif_b, jaro_winkler_similarity(a.nombre, b.nombre) as jw from s a join s b on b.id = a.id + 2)"""
-
-
-def _supplier_pairs(l):
-    s = matching.keyed(l.asientos).where("id % 2 = 0 and id < 10000000").select("id", "nif", text.clean_name(F.col("emisor")).alias("nombre"))
-    a, b = s.alias("a"), s.alias("b")
-    return a.join(b, F.col("b.id") == F.col("a.id") + 2).select(F.col("a.id").alias("id"), F.col("a.nif").alias("nif_a"), F.col("b.nif").alias("nif_b"), matching.jaro_winkler_column(F.col("a.nombre"), F.col("b.nombre")).alias("jw"))
+SUPPLIERS = f"""s as (select nif, {CLEAN} as nombre, min(id) as id from k where {CLEAN} <> '' group by all), p as (select a.id as id_a, b.id as id_b from s a join s b on a.nif = b.nif and a.id < b.id
+union select a.id, b.id from s a join s b on split_part(a.nombre, ' ', 1) = split_part(b.nombre, ' ', 1) and a.id < b.id),
+t as (select id_a, id_b, a.nif as nif_a, b.nif as nif_b, jaro_winkler_similarity(a.nombre, b.nombre) as jw from p join s a on id_a = a.id join s b on id_b = b.id)"""
 
 
 def _scored(l, by_hand):
-    d = _supplier_pairs(l).withColumn("s", matching.supplier_score(F.col("nif_a"), F.col("nif_b"), F.col("jw"), by_hand))
-    return d.select("id", F.round("s.peso", 6).alias("peso"), F.round("s.probabilidad", 6).alias("probabilidad"), "s.banda")
+    d = matching.supplier_pairs(l.asientos).withColumn("s", matching.supplier_score(F.col("nif_a"), F.col("nif_b"), F.col("jw"), by_hand))
+    return d.select("id_a", "id_b", F.round("s.peso", 6).alias("peso"), F.round("s.probabilidad", 6).alias("probabilidad"), "s.banda")
 
 
-_BAND = "select id, round(peso, 6) as peso, round(1 / (1 + pow(2.0, -peso)), 6) as probabilidad, case when 1 / (1 + pow(2.0, -peso)) >= 0.9 then 'auto' when 1 / (1 + pow(2.0, -peso)) >= 0.5 then 'revisar' else 'rechazar' end as banda from w"
+_BAND = "select id_a, id_b, round(peso, 6) as peso, round(1 / (1 + pow(2.0, -peso)), 6) as probabilidad, case when 1 / (1 + pow(2.0, -peso)) >= 0.9 then 'auto' when 1 / (1 + pow(2.0, -peso)) >= 0.5 then 'revisar' else 'rechazar' end as banda from w"
 
 
-@query("supplier_score_lib", f"with {K}, {SUPPLIERS}, w as (select id, {_SB!r}::double + {_bits_sql(schema.SUPPLIER_LEVELS['nif'], ['nif_a = nif_b'], 'nif_a is null or nif_b is null')} + {_bits_sql(schema.SUPPLIER_LEVELS['nombre'], ['jw >= 0.95', 'jw >= 0.85', 'jw >= 0.70'], 'jw is null')} as peso from t) {_BAND}")
+@query("supplier_score_lib", f"with {K}, {SUPPLIERS}, w as (select id_a, id_b, {_SB!r}::double + {_bits_sql(schema.SUPPLIER_LEVELS['nif'], ['nif_a = nif_b'], 'nif_a is null or nif_b is null')} + {_bits_sql(schema.SUPPLIER_LEVELS['nombre'], ['jw >= 0.95', 'jw >= 0.85', 'jw >= 0.70'], 'jw is null')} as peso from t) {_BAND}")
 def _(l):
     return _scored(l, False)
 
 
-@query("supplier_score_hand", f"""with {K}, {SUPPLIERS}, w as (select id, (-8.0 + case when nif_a is null or nif_b is null then 0 when nif_a = nif_b then 18 else -18 end + case when jw >= 0.95 then 10 when jw >= 0.85 then 8 when jw >= 0.70 then 5 else -8 end)::double as peso from t) {_BAND}""")
+@query("supplier_score_hand", f"""with {K}, {SUPPLIERS}, w as (select id_a, id_b, (-8.0 + case when nif_a is null or nif_b is null then 0 when nif_a = nif_b then 18 else -18 end + case when jw >= 0.95 then 10 when jw >= 0.85 then 8 when jw >= 0.70 then 5 else -8 end)::double as peso from t) {_BAND}""")
 def _(l):
     return _scored(l, True)
 
@@ -225,18 +221,19 @@ def _(l):
     return rules.classify(_texts(l), none, l.cuentas)
 
 
-LEARNED = """ru as (select id as regla_id, actividad_id, case when id % 2 = 0 then coalesce(nif_emisor, '') else '' end as nif_emisor, case when id % 2 = 1 then substr(coalesce(numero_factura, ''), 1, 11) else '' end as patron, cuenta_codigo
-from asientos where id % 200 in (0, 1) and cuenta_codigo is not null and id < 10000000)"""
+LEARNED = """ru as (select id as regla_id, actividad_id, coalesce(nif_emisor, '') as nif_emisor, case when nif_emisor is null then lower(coalesce(numero_factura, '')) else '' end as patron, cuenta_codigo
+from asientos where validado and cuenta_codigo is not null)"""
 
 
 def _learned(l):
-    i = F.col("id")
-    return l.asientos.where("id % 200 in (0, 1) and cuenta_codigo is not null and id < 10000000").select(
-        i.alias("regla_id"), "actividad_id", F.when(i % 2 == 0, F.coalesce("nif_emisor", F.lit(""))).otherwise("").alias("nif_emisor"),
-        F.when(i % 2 == 1, F.lower(F.substring(F.coalesce("numero_factura", F.lit("")), 1, 11))).otherwise("").alias("patron"), "cuenta_codigo")
+    """Rules learned from every validated entry: by its id, or by its number where it has none."""
+    no_id = F.col("nif_emisor").isNull()
+    return l.asientos.where("validado and cuenta_codigo is not null").select(
+        F.col("id").alias("regla_id"), "actividad_id", F.coalesce("nif_emisor", F.lit("")).alias("nif_emisor"),
+        F.when(no_id, F.lower(F.coalesce("numero_factura", F.lit("")))).otherwise("").alias("patron"), "cuenta_codigo")
 
 
-@query("classify_learned", f"""with {TEXTS}, {LEARNED.replace("substr(coalesce(numero_factura, ''), 1, 11)", "lower(substr(coalesce(numero_factura, ''), 1, 11))")}, rc as (select ru.*, c.tipo as tc from ru join cuentas c on cuenta_codigo = codigo),
+@query("classify_learned", f"""with {TEXTS}, {LEARNED}, rc as (select ru.*, c.tipo as tc from ru join cuentas c on cuenta_codigo = codigo),
 n as (select x.id, arg_min(cuenta_codigo || '|aprendida|950|' || tc, regla_id) as c from x join rc on x.actividad_id = rc.actividad_id and x.nif = rc.nif_emisor and rc.nif_emisor <> '' group by x.id),
 p as (select x.id, arg_min(cuenta_codigo || '|aprendida|850|' || tc, regla_id) as c from x join rc on x.actividad_id = rc.actividad_id and rc.patron <> '' and contains(blob, rc.patron) group by x.id),
 y as (select x.id, coalesce(n.c, p.c, {_KW}) as c from x left join n on x.id = n.id left join p on x.id = p.id) select id, {_SPLIT} from y""", "asientos cuentas")
@@ -252,11 +249,11 @@ def _(l):
     return l.asientos.select("id", rules.transition(F.col("estado"), action).alias("estado_nuevo"), rules.state_after_account(F.col("estado"), F.col("conf_clase_m")).alias("por_cuenta"))
 
 
-@query("propagate_rule", f"""with {K}, r as (select actividad_id, nif, min(cuenta_codigo) as cuenta_nueva from k where id % 10 = 0 and nif is not null and cuenta_codigo is not null group by all)
+@query("propagate_rule", f"""with {K}, r as (select actividad_id, nif, min(cuenta_codigo) as cuenta_nueva from k where validado and nif is not null and cuenta_codigo is not null group by all)
 select id, cuenta_codigo as antes, cuenta_nueva as despues, 900 as confianza_m, 'aprendida' as origen from k join r on k.actividad_id = r.actividad_id and k.nif = r.nif where estado = 'pendiente' and not validado""")
 def _(l):
     rows = l.asientos.withColumn("nif", F.nullif(nif.normalize(F.col("nif_emisor")), F.lit("")))
-    learned = rows.where("id % 10 = 0 and nif is not null and cuenta_codigo is not null").groupBy("actividad_id", "nif").agg(F.min("cuenta_codigo").alias("cuenta_nueva"))
+    learned = rows.where("validado and nif is not null and cuenta_codigo is not null").groupBy("actividad_id", "nif").agg(F.min("cuenta_codigo").alias("cuenta_nueva"))
     return rules.propagate(l.asientos, learned)
 
 
