@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint
+from .common import checkpoint, sized
 
 
 @dataclass(frozen=True)
@@ -21,6 +21,8 @@ class Settings:
     threshold: float = 0.5
     #: Rows that a parent's rate counts for at least and at most when a site is shrunk towards it.
     strength: tuple[float, float] = (2.0, 1e6)
+    #: Sites (about 100 bytes each) that are broadcast at most; beyond, they are joined by a shuffle that AQE splits for hot hosts.
+    sites: int = 200_000
     #: Share of the site's log odds that is added to the document's.
     weight: float = 0.25
 
@@ -101,7 +103,8 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
     Null hosts and paths are sites of their own. Null and empty texts get what the regression gives their
     features. Labels for unknown ids and null labels are ignored; a repeated label counts once. Without
-    labels of both kinds all rows get the smoothed rate. An empty table gives an empty result.
+    labels of both kinds all rows get the smoothed rate. Very long texts are read whole, repeated rows are returned each. An empty
+    table gives an empty result; other columns are ignored, whatever their names.
     """
     s = settings or Settings()
     host = F.lit("") if host is None else host
@@ -136,7 +139,7 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     host_post = (F.col("hs") - F.col("p") + a * rate) / (F.col("hn") - 1 + a)
     path_post = (F.col("ps") - F.col("p") + b * F.col("host_posterior")) / (F.col("pn") - 1 + b)
     odds = lambda c: F.log(c / (F.lit(1.0) - c))
-    joined = scored.join(sites, F.col("host").eqNullSafe(F.col("h")) & F.col("path").eqNullSafe(F.col("q")))
+    joined = scored.join(sized(checkpoint(sites), s.sites), F.col("host").eqNullSafe(F.col("h")) & F.col("path").eqNullSafe(F.col("q")))
     out = joined.withColumn("host_posterior", host_post).withColumn("path_posterior", path_post)
     within = lambda c: F.least(F.greatest(c, F.lit(1e-4)), F.lit(1 - 1e-4))
     z = odds(within(F.col("p"))) + s.weight * (odds(within(F.col("path_posterior"))) - float(np.log(rate / (1 - rate))))
