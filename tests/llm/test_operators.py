@@ -385,18 +385,23 @@ def test_licence_templates():
 def test_topk_by_brute_force(spark):
     rng = np.random.default_rng(2)
     rows = [(i, [float(x) for x in rng.integers(-6, 7, 5) / 8]) for i in range(400)]
-    rows += [(400, None), (450, [1.0, None, 1.0, 1.0, 1.0]), (451, [float("nan")] * 5), (452, [float("inf")] * 5), (453, []), (None, [1.0] * 5), (0, rows[0][1])]
+    rows += [(400, None), (450, [1.0, None, 1.0, 1.0, 1.0]), (451, [float("nan")] * 5), (452, [float("inf")] * 5), (453, []), (None, [1.0] * 5), (7, rows[7][1])]
     got = defaultdict(list)
     for r in topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), lambda i: i % 50 == 0).collect():
         got[r.query_id].append((r["rank"], r.vec_id, r.score))
-    v = {i: [int(np.floor(256 * x)) for x in e] for i, e in rows[:400]}
+    v = [(i, [int(np.floor(256 * x)) for x in e]) for i, e in rows[:400] + rows[-2:]]
     assert set(got) == set(range(0, 400, 50))
     for q in got:
-        best = sorted((-sum(a * b for a, b in zip(v[q], v[c])), c) for c in v if c != q)[:5]
-        assert sorted(got[q]) == [(k + 1, c, -s) for k, (s, c) in enumerate(best)]
+        own = next(x for i, x in v if i == q)
+        best = sorted((-sum(a * b for a, b in zip(own, x)), i is None, i or 0) for i, x in v if i != q)[:5]
+        assert sorted(got[q], key=repr) == [(k + 1, None if none else c, -s) for k, (s, none, c) in enumerate(best)]
     few = spark.createDataFrame([(0, [1.0]), (1, [2.0])], "vec_id long, embedding array<float>")
     assert [tuple(r) for r in topk.top_k(few, lambda i: i == 0).collect()] == [(0, 1, 1, 131072)]
     assert topk.top_k(few.limit(0), lambda i: i == 0).count() == 0
+    # a repeated query row asks twice and is its twin's candidate; scores stay exact beyond 2**53
+    big = spark.createDataFrame([(0, [2.0**20, 1.0]), (0, [2.0**20, 1.0]), (1, [2.0**20, 2.0]), (2, [2.0**-8, 0.0])], "vec_id long, embedding array<double>")
+    want = [(0, 1, 1, 2**56 + 131072), (0, 2, 0, 2**56 + 65536), (0, 3, 2, 2**28)]
+    assert sorted(tuple(r) for r in topk.top_k(big, lambda i: i == 0).collect()) == sorted(want * 2)
 
 
 # 9
