@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpoint, components, links, ship, sized
@@ -74,29 +74,57 @@ def masks(max_bits: int = 2) -> list[int]:
     return [(1 << _BITS) - 1 - sum(blocks[i] for i in out) for out in combinations(range(k), max_bits)]
 
 
-def forest(fps: np.ndarray, max_bits: int) -> list[tuple[int, int]]:
+def tables(fp: Column) -> Column:
+    """Row of the pivot distance table: the fingerprint's Hamming distance to each reference."""
+    return F.array(*[F.bit_count(fp.bitwiseXOR(F.lit(int(p) - (2**64 if p >= 2**63 else 0)))).cast("byte") for p in PIVOTS])
+
+
+#: Fingerprints of a block over which its links are looked up bit by bit instead of compared.
+CROWDED = 20_000
+
+
+def crowded(fps: np.ndarray, max_bits: int) -> list[tuple[int, int]]:
+    """Edges (node, smallest node of its component) of a large block: each value with up to max_bits of the block's varying bits flipped is looked up.
+
+    A block leaves few bits open, so the work is linear in its size.
+    """
+    order = np.argsort(fps)
+    known = fps[order]
+    open_bits = int(np.bitwise_or.reduce(known ^ known[0]))
+    bits = [np.uint64(1 << i) for i in range(_BITS) if open_bits >> i & 1]
+    flips = [np.bitwise_xor.reduce(c) for k in range(1, max_bits + 1) for c in map(list, combinations(bits, k))]
+    low, before = np.arange(len(known)), None
+    while before is None or (low != before).any():
+        before = low.copy()
+        for flip in flips:
+            other = known ^ flip
+            at = np.minimum(np.searchsorted(known, other), len(known) - 1)
+            hit = known[at] == other
+            low[hit] = np.minimum(low[hit], low[at[hit]])
+        while (low[low] != low).any():
+            low = low[low]
+    return [(int(order[i]), int(order[low[i]])) for i in np.flatnonzero(low != np.arange(len(low)))]
+
+
+def forest(fps: np.ndarray, max_bits: int, table: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Spanning forest (as index pairs) of the links within one block of distinct fingerprints.
 
-    The block's table of distances to the pivots is made first. From each fingerprint reached, those not
+    table holds their distances to the pivots. From each fingerprint reached, those not
     yet reached are compared: a difference over max_bits in any coordinate rules a pair out, and only
     survivors have their bits compared.
     """
-    if len(fps) == 2:
-        x, y = int(fps[0]), int(fps[1])
-        if any(abs((x ^ p).bit_count() - (y ^ p).bit_count()) > max_bits for p in _PIVOT_INTS):
-            return []
-        return [(1, 0)] if (x ^ y).bit_count() <= max_bits else []
-    table = np.bitwise_count(fps[:, None] ^ PIVOTS[None, :]).astype(np.int8)
+    if len(fps) > CROWDED:
+        return crowded(fps, max_bits)
+    if table is None:
+        table = np.bitwise_count(fps[:, None] ^ PIVOTS[None, :]).astype(np.int8)
     left, found = np.arange(len(fps)), []
     while len(left):
         queue, left = [left[0]], left[1:]
         while queue and len(left):
             i = queue.pop()
-            near = np.abs(table[left, 0] - table[i, 0]) <= max_bits
-            survivors = left[near]
+            survivors = left[np.abs(table[left, 0] - table[i, 0]) <= max_bits]
             if len(survivors):
-                ok = (np.abs(table[survivors] - table[i]) <= max_bits).all(axis=1)
-                survivors = survivors[ok]
+                survivors = survivors[(np.abs(table[survivors] - table[i]) <= max_bits).all(axis=1)]
                 hit = survivors[np.bitwise_count(fps[survivors] ^ fps[i]) <= max_bits]
                 if len(hit):
                     found += [(int(j), int(i)) for j in hit]
@@ -105,27 +133,28 @@ def forest(fps: np.ndarray, max_bits: int) -> list[tuple[int, int]]:
     return found
 
 
-_PIVOT_INTS = [int(p) for p in PIVOTS[:4]]
-
-
 def link(distinct: DataFrame, max_bits: int = 2) -> DataFrame:
-    """Edges (a, b) between the ids of distinct fingerprints (fp, id) at most max_bits apart.
+    """Edges (a, b) between the ids of distinct fingerprints (fp, id, pivots) at most max_bits apart; pivots is their row of the distance table.
 
     Fingerprints that agree under a mask form a block. A block holds at most 2**(bits left out), for two
-    bits 2**22, different values, 64 MB, whatever the corpus, so one task can always hold it. A block
-    yields a spanning forest of its links, not all its pairs: the components are the same.
+    bits 2**22, different values, 64 MB, whatever the corpus, so one task can always hold it. A block of two is settled by
+    the table and the bits at once; a larger one yields a spanning forest of its links, not all its pairs: the components
+    are the same.
     """
     keys = [F.struct(F.lit(k).alias("k"), F.col("fp").bitwiseAND(F.lit(m - 2**64 if m >= 2**63 else m)).alias("v"))
             for k, m in enumerate(masks(max_bits))]
-    blocks = (distinct.where("id is not null").select("fp", "id", F.explode(F.array(*keys)).alias("key"))
-              .groupBy("key").agg(F.collect_list(F.struct("fp", "id")).alias("members")).where(F.size("members") > 1)
-              .select(F.col("members.fp").alias("fps"), F.col("members.id").alias("ids")))
+    blocks = (distinct.where("id is not null").select("fp", "id", "pivots", F.explode(F.array(*keys)).alias("key"))
+              .groupBy("key").agg(F.collect_list(F.struct("fp", "id", "pivots")).alias("m")).where(F.size("m") > 1))
+    x, y = F.col("m")[0], F.col("m")[1]
+    widest = F.greatest(*[F.abs(x["pivots"][i].cast("int") - y["pivots"][i].cast("int")) for i in range(len(PIVOTS))])
+    open_ = (F.size("m") > 2) | ((widest <= max_bits) & (F.bit_count(x["fp"].bitwiseXOR(y["fp"])) <= max_bits))
+    blocks = blocks.where(open_).select(F.col("m.fp").alias("fps"), F.col("m.id").alias("ids"), F.flatten("m.pivots").alias("table"))
 
     def run(batches):
         for pdf in batches:
             a, b = [], []
-            for fps, ids in zip(pdf["fps"], pdf["ids"]):
-                for i, j in forest(np.asarray(fps, np.int64).view(np.uint64), max_bits):
+            for fps, ids, table in zip(pdf["fps"], pdf["ids"], pdf["table"]):
+                for i, j in forest(np.asarray(fps, np.int64).view(np.uint64), max_bits, np.asarray(table, np.int8).reshape(len(fps), len(PIVOTS))):
                     a.append(int(ids[i]))
                     b.append(int(ids[j]))
             yield pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
@@ -144,8 +173,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     ship(docs.sparkSession)
     fps = checkpoint(fingerprints(docs, id_col, text_col, words))
-    distinct = fps.groupBy("fp").agg(F.min("id").alias("id"))
-    distinct = checkpoint(distinct)
+    distinct = checkpoint(fps.groupBy("fp").agg(F.min("id").alias("id")).withColumn("pivots", tables(F.col("fp"))))
     roots = components(link(distinct, max_bits))
     named = (distinct.join(roots, F.col("id") == F.col("node"), "left")
              .select("fp", F.coalesce("root", "id").alias("component_id")))
@@ -223,9 +251,8 @@ def near_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ship(docs.sparkSession)
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t"))
     signed = checkpoint(signatures(rows, words))
-    signs = [F.lit(int(p) - (2**64 if p >= 2**63 else 0)) for p in PIVOTS]
     distinct = checkpoint(signed.groupBy("k1").agg(F.min("id").alias("id"), F.min("fp").alias("fp"), F.first("bands").alias("bands"))
-                          .withColumn("pivots", F.array(*[F.bit_count(F.col("fp").bitwiseXOR(p)).cast("byte") for p in signs])))
+                          .withColumn("pivots", tables(F.col("fp"))))
 
     def sets(keys: DataFrame) -> DataFrame:
         wanted = checkpoint(distinct.select("k1", "id").join(sized(keys, BROADCAST), "k1", "left_semi"))
