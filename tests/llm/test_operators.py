@@ -347,6 +347,12 @@ def test_simhash_forest_and_masks():
         root[max(a, b)] = min(a, b)
     want = closure(fps, 2)
     assert len({find(i) for i in root}) == len(set(want)) and len(got) == len(fps) - len(set(want))
+    # a crowded block gives the same components
+    crowd = np.array(sorted({(base & ~0xFFF) | int(x) for x in rng.integers(0, 4096, 200)}), np.uint64)
+    root = list(range(len(crowd)))
+    for i, j in simhash.crowded(crowd, 2):
+        root[i] = j
+    assert [int(crowd[i]) for i in root] == [int(crowd[i]) for i in closure([int(x) for x in crowd], 2)]
     for a in range(0, 64, 7):
         for b in range(64):
             assert any((m & ((1 << a) | (1 << b))) == 0 for m in simhash.masks())
