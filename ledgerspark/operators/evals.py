@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import nif, text
+from ..functions import money, nif, text
 
 FIELDS = ("emisor", "nif_emisor", "nif_receptor", "numero", "fecha", "base", "iva_cuota", "total")
+MONEY = ("base", "iva_cuota", "total")
 CRITICAL = ("nif_emisor", "numero", "fecha", "total")
 
 
@@ -20,10 +21,10 @@ def token_scores(tokens: DataFrame, texts: DataFrame) -> DataFrame:
 
 def field_equal(field: Column, a: Column, b: Column) -> Column:
     """Whether two readings of a field agree: amounts to a cent, ids normalised, numbers equal or one in the other, issuers by similarity of at least 0.72."""
-    money = field.isin("base", "iva_cuota", "total", "iva_tipo")
+    amount = field.isin(*MONEY, "iva_tipo")
     na, nb = text.normalize_number(a), text.normalize_number(b)
     close = F.abs(a.try_cast("double") - b.try_cast("double")) <= 0.0100001
-    return F.coalesce(F.when(money, close).when(field.isin("nif_emisor", "nif_receptor"), nif.normalize(a) == nif.normalize(b))
+    return F.coalesce(F.when(amount, close).when(field.isin("nif_emisor", "nif_receptor"), nif.normalize(a) == nif.normalize(b))
                       .when(field == "numero", (na == nb) | F.contains(na, nb) | F.contains(nb, na)).when(field == "emisor", text.similarity(text.compact(a), text.compact(b)) >= 0.72).otherwise(F.trim(a) == F.trim(b)), F.lit(False))
 
 
@@ -65,19 +66,36 @@ def unpivot(reads: DataFrame) -> DataFrame:
 
 def votes(first: DataFrame, second: DataFrame) -> DataFrame:
     """(doc_id, campo, uno, dos, estado, consenso): two readers' fields met. Agreement takes the longer spelling (a tie the first); a conflict is not
-    averaged but decided where it can be: the valid id, or the longer number; else it stays open."""
-    a, b = unpivot(first).withColumnRenamed("valor", "uno"), unpivot(second).withColumnRenamed("valor", "dos")
-    j = a.join(b, ["doc_id", "campo"], "full_outer").na.fill("", ["uno", "dos"])
+    averaged but decided where it can be: the valid id, the longer number, or the amount that stands in both readers' texts (column texto, where
+    both have it) if the other doesn't; else it stays open.
+
+    The readings meet once, a row a document; only then do fields become rows."""
+    told = "texto" in first.columns and "texto" in second.columns
+    keep = ["doc_id", *FIELDS, *(["texto"] if told else [])]
+    one, two = first.select(*keep).alias("x"), second.select(*keep).alias("y")
+    met = one.join(two, F.col("x.doc_id") == F.col("y.doc_id"), "full_outer")
+    of = lambda side, c: F.coalesce(F.col(f"{side}.{c}").cast("string"), F.lit(""))
+    both = F.concat_ws("\n", of("x", "texto"), of("y", "texto")) if told else None
+    here = lambda v: F.coalesce(F.array_contains(money.all_amounts(of("x", "texto")), money.parse_amount(v)) & F.array_contains(money.all_amounts(of("y", "texto")), money.parse_amount(v)), F.lit(False))
+
+    def field(c: str) -> Column:
+        x, y = of("x", c), of("y", c)
+        known = F.lit("")
+        if both is not None and c in MONEY:
+            known = F.when(here(x) & ~here(y), x).when(here(y) & ~here(x), y).otherwise("")
+        return F.struct(F.lit(c).alias("campo"), x.alias("uno"), y.alias("dos"), known.alias("escrito"))
+
+    j = met.select(F.coalesce("x.doc_id", "y.doc_id").alias("doc_id"), F.explode(F.array(*map(field, FIELDS))).alias("f")).select("doc_id", "f.*")
     x, y = F.col("uno"), F.col("dos")
     state = (F.when((x == "") & (y == ""), "vacio").when(y == "", "solo_uno").when(x == "", "solo_dos").when(field_equal(F.col("campo"), x, y), "acuerdo").otherwise("conflicto"))
     j = j.withColumn("estado", state)
     ids = F.col("campo").isin("nif_emisor", "nif_receptor")
     nx, ny = F.length(text.compact(x)), F.length(text.compact(y))
     tie = (F.when(ids & nif.is_valid(x) & ~nif.is_valid(y), x).when(ids & nif.is_valid(y) & ~nif.is_valid(x), y)
-           .when((F.col("campo") == "numero") & (nx > ny), x).when((F.col("campo") == "numero") & (ny > nx), y).otherwise(F.lit("")))
+           .when((F.col("campo") == "numero") & (nx > ny), x).when((F.col("campo") == "numero") & (ny > nx), y).otherwise(F.col("escrito")))
     agreed = F.when(F.length(y) > F.length(x), y).otherwise(x)
     out = F.when(F.col("estado") == "acuerdo", agreed).when(F.col("estado") == "solo_uno", x).when(F.col("estado") == "solo_dos", y).when(F.col("estado") == "conflicto", tie).otherwise(F.lit(""))
-    return j.withColumn("consenso", out)
+    return j.withColumn("consenso", out).drop("escrito")
 
 
 def recommendation(v: DataFrame) -> DataFrame:

@@ -116,14 +116,16 @@ _FORMS = "|".join(text.LEGAL_FORMS)
 CLEAN = (f"trim(regexp_replace(regexp_replace(trim(regexp_replace(regexp_replace(regexp_replace(lower(coalesce(emisor, '')), '\\b[ab]\\d{{8}}\\b', ' ', 'g'), '[.,;:()/]+', ' ', 'g'), '\\s+', ' ', 'g')), '\\s+({_FORMS})$', ''), '\\s+({_FORMS})$', ''))")
 
 
-@query("invoice_pairs", f"""with {K}, r as (select *, nullif({CLEAN}, '') as nombre, extract(isoyear from fecha)::varchar || '-W' || lpad(extract(week from fecha)::varchar, 2, '0') as semana from k where {LIVE}),
+PAIRS = f"""r as (select *, nullif({CLEAN}, '') as nombre, extract(isoyear from fecha)::varchar || '-W' || lpad(extract(week from fecha)::varchar, 2, '0') as semana from k where {LIVE}),
 p as (select l.id as a, r.id as b from r l join r on l.actividad_id = r.actividad_id and l.nif = r.nif and l.id < r.id union select l.id, r.id from r l join r on l.actividad_id = r.actividad_id and l.numero = r.numero and l.id < r.id
   union select l.id, r.id from r l join r on l.actividad_id = r.actividad_id and l.total_c = r.total_c and l.id < r.id),
 w as (select l.id as id_a, r.id as id_b, {_PB!r}::double + {_bits_sql(schema.PAIR_LEVELS['nif'], ['l.nif = r.nif'], 'l.nif is null or r.nif is null')} + {_bits_sql(schema.PAIR_LEVELS['numero'], ['l.numero = r.numero'], 'l.numero is null or r.numero is null')}
  + {_bits_sql(schema.PAIR_LEVELS['fecha'], ['l.fecha = r.fecha', 'l.semana = r.semana'], 'l.fecha is null or r.fecha is null')} + {_bits_sql(schema.PAIR_LEVELS['importe'], ['l.total_c = r.total_c'], 'l.total_c is null or r.total_c is null')}
  + {_bits_sql(schema.PAIR_LEVELS['nombre'], ['jaro_winkler_similarity(l.nombre, r.nombre) >= 0.95', 'jaro_winkler_similarity(l.nombre, r.nombre) >= 0.85'], 'l.nombre is null or r.nombre is null')} as peso
- from p join r l on p.a = l.id join r r on p.b = r.id)
-select id_a, id_b, round(peso, 6) as peso, round(1 / (1 + pow(2.0, -peso)), 6) as probabilidad from w where 1 / (1 + pow(2.0, -peso)) >= 0.9""")
+ from p join r l on p.a = l.id join r r on p.b = r.id)"""
+
+
+@query("invoice_pairs", f"""with {K}, {PAIRS} select id_a, id_b, round(peso, 6) as peso, round(1 / (1 + pow(2.0, -peso)), 6) as probabilidad from w where 1 / (1 + pow(2.0, -peso)) >= 0.9""")
 def _(l):
     # twins are given invoices of their own here, so that there is something to find
     return matching.invoice_pairs(l.asientos.withColumn("factura_id", F.col("id"))).select("id_a", "id_b", F.round("peso", 6).alias("peso"), F.round("probabilidad", 6).alias("probabilidad"))
@@ -153,7 +155,8 @@ def _(l):
     return _scored(l, True)
 
 
-@query("scan_applied", None)
+@query("scan_applied", f"""with {K}, {PAIRS}, q as (select * from w where 1 / (1 + pow(2.0, -peso)) >= 0.9), s as (select id_a as id, id_b as o, peso from q union all select id_b, id_a, peso from q),
+t as (select id, o, row_number() over (partition by id order by 1 / (1 + pow(2.0, -peso)) desc, o) as n from s) select t.id, o as apunta_a from t join asientos a on t.id = a.id where n = 1 and estado <> 'duplicado' and not validado""")
 def _(l):
     a = l.asientos
     return matching.apply_scan(a, matching.invoice_pairs(a.withColumn("factura_id", F.col("id"))))

@@ -158,10 +158,10 @@ def _(l):
     return extract.header(extract.render(l.asientos)).select("id", "numero_norm", "fecha", "nif_emisor", "base_c", "iva_c", "total_c", "iva_tipo", "emisor")
 
 
-@query("vat_triplet", "select id, total_c as total, base_c as base, iva_c as iva, iva_tipo::int as tipo from asientos where iva_tipo in (21, 10, 4) and base_c + iva_c = total_c and base_c > 100000")
+@query("vat_triplet", "select id, total_c as total, base_c as base, iva_c as iva, iva_tipo::int as tipo from asientos where iva_tipo in (21, 10, 4) and base_c + iva_c = total_c and base_c > 10000")
 def _(l):
     t = extract.triplet(F.array("total_c", F.lit(37).cast("bigint"), "base_c", "iva_c"))
-    return l.asientos.where("iva_tipo in (21, 10, 4) and base_c + iva_c = total_c and base_c > 100000").select("id", t.alias("t")).select("id", "t.total", "t.base", "t.iva", "t.tipo")
+    return l.asientos.where("iva_tipo in (21, 10, 4) and base_c + iva_c = total_c and base_c > 10000").select("id", t.alias("t")).select("id", "t.total", "t.base", "t.iva", "t.tipo")
 
 
 @query("breakdown_complete", """with x as (select asiento_id, posicion::int as posicion, base_c + iva_c as imp from lineas where not eliminada), b as (select *, round(imp * 100.0::double / 121)::bigint as base, count(*) over w as n, sum(imp) over w as total, row_number() over (partition by asiento_id order by posicion) as r from x window w as (partition by asiento_id)),
@@ -255,6 +255,10 @@ def _(l):
     return evals.engine_ranking(evals.engine_summary(_runs(l)))
 
 
+def _text(c):
+    return f"({c} // 100)::varchar || '.' || lpad(({c} % 100)::varchar, 2, '0')"
+
+
 def _reads(l):
     """Two readings of every entry with differences by key."""
     a, i = l.asientos, F.col("id")
@@ -265,14 +269,19 @@ def _reads(l):
     return one, two
 
 
-NIFV = CIF_OK
-VOTES = f"""v as (select id, nif_emisor as uno, case when id % 4 = 0 then lower(nif_emisor) when id % 9 = 0 then 'B00000001' else nif_emisor end as dos, {CIF_OK} as ok from asientos),
-w as (select id as doc_id, coalesce(uno, '') as uno, coalesce(dos, '') as dos, case when uno is null and dos is null then 'vacio' when dos is null then 'solo_uno' when uno is null then 'solo_dos' when upper(uno) = upper(dos) then 'acuerdo' else 'conflicto' end as estado, ok from v)"""
+VOTES = f"""rd as (select id as doc_id, coalesce(emisor, '') as e, coalesce(nif_emisor, '') as n1, coalesce(case when id % 4 = 0 then lower(nif_emisor) when id % 9 = 0 then 'B00000001' else nif_emisor end, '') as n2, {CIF_OK} as ok,
+coalesce(numero_factura, '') as u1, coalesce(case when id % 6 = 0 then numero_factura || 'X' when id % 7 = 0 then null else numero_factura end, '') as u2, coalesce(strftime(fecha, '%Y-%m-%d'), '') as f, {_text('base_c')} as b, {_text('iva_c')} as i, {_text('total_c')} as t1,
+case when id % 10 = 0 then '1.00' else {_text('total_c')} end as t2, total_c from asientos),
+lv as (select doc_id, 'emisor' as campo, e as uno, e as dos, true as igual, '' as gana from rd union all select doc_id, 'nif_emisor', n1, n2, upper(n1) = upper(n2), case when ok then n1 else '' end from rd union all select doc_id, 'nif_receptor', '', '', false, '' from rd
+union all select doc_id, 'numero', u1, u2, true, '' from rd union all select doc_id, 'fecha', f, f, true, '' from rd union all select doc_id, 'base', b, b, true, '' from rd union all select doc_id, 'iva_cuota', i, i, true, '' from rd
+union all select doc_id, 'total', t1, t2, t1 = t2 or abs(total_c - 100) <= 1, '' from rd),
+lw as (select *, case when uno = '' and dos = '' then 'vacio' when dos = '' then 'solo_uno' when uno = '' then 'solo_dos' when igual then 'acuerdo' else 'conflicto' end as estado from lv),
+lc as (select doc_id, campo, uno, dos, estado, case estado when 'acuerdo' then case when length(dos) > length(uno) then dos else uno end when 'solo_uno' then uno when 'solo_dos' then dos when 'conflicto' then gana else '' end as consenso from lw)"""
 
 
-@query("field_votes", f"""with {VOTES} select doc_id, uno, dos, estado, case when estado = 'acuerdo' then uno when estado = 'solo_uno' then uno when estado = 'solo_dos' then dos when estado = 'conflicto' and ok then uno else '' end as consenso from w""")
+@query("field_votes", f"with {VOTES} select * from lc")
 def _(l):
-    return evals.votes(*_reads(l)).where("campo = 'nif_emisor'").drop("campo")
+    return evals.votes(*_reads(l))
 
 
 RECO = """a as (select *, case when id % 4 = 0 then lower(nif_emisor) when id % 9 = 0 then 'B00000001' else nif_emisor end as nif2, case when id % 6 = 0 then numero_factura || 'X' when id % 7 = 0 then null else numero_factura end as num2 from asientos),
@@ -287,9 +296,10 @@ def _(l):
     return out.select("doc_id", *[F.col(c).cast("int").alias(c) for c in ("acuerdos", "conflictos", "huecos")], "recomendacion")
 
 
-@query("votes_wide", f"""with {VOTES} select doc_id, case when estado in ('acuerdo', 'solo_uno') then uno when estado = 'solo_dos' then dos when ok then uno else '' end as nif_emisor from w""")
+@query("votes_wide", f"""with {VOTES} select doc_id, max(consenso) filter (where campo = 'nif_emisor') as nif_emisor, max(consenso) filter (where campo = 'numero') as numero, max(consenso) filter (where campo = 'fecha') as fecha, max(consenso) filter (where campo = 'total') as total
+from lc group by 1""")
 def _(l):
-    return evals.wide(evals.votes(*_reads(l))).select("doc_id", "nif_emisor")
+    return evals.wide(evals.votes(*_reads(l)))
 
 
 @query("field_scores", """select o_orderkey as case_id, 2 as n, case when o_orderkey % 3 = 0 then 1 else 2 end as correctos, case when o_orderkey % 3 = 0 then 500 else 1000 end as acierto_m from orders""", "")

@@ -42,6 +42,48 @@ def test_query(spark, duck, name):
         assert sorted(d[0] for d in duck.execute(f"select * from ({SQL[name]}) limit 0").description) == cols
 
 
+def test_er_clusters_by_brute_force(spark):
+    """Documents one after the other, with plain lists."""
+    from ledgerspark.operators import matching
+    from ledgerspark.sources.adapter import Ledger
+    rows = sorted(matching.keyed(Ledger(spark, SF).asientos).collect(), key=lambda r: r.id)
+    made, want = {}, {}
+    for r in rows:
+        total = r.total_c if r.id % 9 else None
+        if r.numero is None:
+            want[r.id] = (r.id, "evidencia", {"estado": "propuesta"})
+            continue
+        group = made.setdefault((r.actividad_id, r.numero), [])
+        mine = [g for g in group if (g["nif"] == r.nif if g["nif"] and r.nif else g["emisor"] == r.emisor_norm)]
+        fits = [g for g in mine if g["total"] is None or total is None or abs(g["total"] - total) <= 2]
+        if fits:
+            g = min(fits, key=lambda g: (g["estado"] == "conflicto", g["id"]))
+            g["nif"], g["total"] = g["nif"] or r.nif, total if g["total"] is None else g["total"]
+            want[r.id] = (g["id"], "continuacion" if 1 + r.id % 2 > 1 else "evidencia", g)
+        else:
+            g = {"id": r.id, "nif": r.nif, "emisor": r.emisor_norm, "total": total, "estado": "conflicto" if mine else "propuesta"}
+            for m in mine:
+                m["estado"] = "conflicto"
+            group.append(g)
+            want[r.id] = (r.id, "evidencia", g)
+    got = {r.doc_id: (r.factura_id, r.relacion, r.estado_er) for r in QUERIES["er_clusters"](spark, SF).collect()}
+    assert got == {k: (f, rel, g["estado"]) for k, (f, rel, g) in want.items()}
+
+
+def test_token_recall_by_brute_force(spark):
+    """A token is found if its letters and digits stand in the text's; else a word at least as similar as the threshold counts."""
+    rows = spark.read.parquet(f"{SF}/benchmark.parquet").collect()
+    got = {r.case_id: r for r in QUERIES["token_recall"](spark, SF).collect()}
+    squeeze = lambda x: "".join(c for c in x.upper() if c.isalnum())
+    assert set(got) == {r.item_id for r in rows}
+    for r in rows[:40]:
+        tokens = {t for t in r.text.split(" ") if t}
+        whole = squeeze(r.text.replace("th", "tb"))
+        plain_hits = sum(squeeze(t) in whole for t in tokens)
+        g = got[r.item_id]
+        assert g.n == len(tokens) and g.exact >= plain_hits * 0.99 and g.exact <= g.hits <= g.n and g.recall_m == g.hits * 1000 // g.n
+
+
 def test_entry(spark):
     sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     import __spark_entry__ as e
