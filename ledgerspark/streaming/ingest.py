@@ -23,20 +23,40 @@ def daily_counts(events: DataFrame, delay: str = "1 hour") -> DataFrame:
             .select(F.col("w.start").alias("dia"), "event_type", "n", "v"))
 
 
-def resolve(docs: DataFrame) -> DataFrame:
-    """(doc_id, factura_id, conflicto) as documents (doc_id, actividad_id, numero, total_c) arrive: a number's open invoices are its state."""
+#: A total that isn't known yet, in the state.
+UNKNOWN = -2**62
+
+
+def resolve(docs: DataFrame, keep: str | None = None) -> DataFrame:
+    """(doc_id, factura_id, conflicto) as documents (doc_id, actividad_id, numero, total_c and, if there, nif and emisor_norm) arrive.
+
+    The state is the open invoices of a number and its supplier (tax id, else issuer key); with `keep` ("400 days") it goes when no
+    document of theirs came for so long in processing time, which a stream that runs for ever should be given. A missing total is compatible with any, and the first known one is the invoice's.
+    """
+    who = F.coalesce(*[F.col(c).cast("string") for c in ("nif", "emisor_norm") if c in docs.columns], F.lit(""))
+    wait = int(pd.Timedelta(keep).total_seconds() * 1000) if keep else None
+
     def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        ids, totals = state.get if state.exists else ([], [])
-        ids, totals, out = list(ids), list(totals), []
+        if state.hasTimedOut:
+            state.remove()
+            return
+        ids, totals = map(list, state.get) if state.exists else ([], [])
+        out = []
         for rows in batches:
-            for r in rows.sort_values("doc_id").itertuples():
-                hit = next((i for i, t in zip(ids, totals) if t < 0 or abs(t - r.total_c) <= HEADER_TOLERANCE), None)
-                if hit is None:
-                    ids.append(int(r.doc_id))
-                    totals.append(int(r.total_c))
-                    hit = int(r.doc_id)
-                out.append((int(r.doc_id), hit, len(ids) > 1))
+            rows = rows.sort_values("doc_id")
+            for doc, total in zip(rows["doc_id"].tolist(), [UNKNOWN if pd.isna(t) else int(t) for t in rows["total_c"]]):
+                at = next((k for k, t in enumerate(totals) if UNKNOWN in (t, total) or abs(t - total) <= HEADER_TOLERANCE), None)
+                if at is None:
+                    at = len(ids)
+                    ids.append(int(doc))
+                    totals.append(total)
+                elif totals[at] == UNKNOWN:
+                    totals[at] = total
+                out.append((int(doc), ids[at], len(ids) > 1))
         state.update((ids, totals))
+        if wait:
+            state.setTimeoutDuration(wait)
         yield pd.DataFrame(out, columns=["doc_id", "factura_id", "conflicto"])
 
-    return docs.groupBy("actividad_id", "numero").applyInPandasWithState(step, "doc_id long, factura_id long, conflicto boolean", "ids array<long>, totals array<long>", "append", GroupStateTimeout.NoTimeout)
+    return docs.withColumn("quien", who).groupBy("actividad_id", "numero", "quien").applyInPandasWithState(
+        step, "doc_id long, factura_id long, conflicto boolean", "ids array<long>, totals array<long>", "append", GroupStateTimeout.ProcessingTimeTimeout if keep else GroupStateTimeout.NoTimeout)

@@ -173,3 +173,28 @@ def test_stream_resolution(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert {r.doc_id: r.factura_id for r in spark.sql("select * from er").collect()} == {1: 1, 2: 1, 3: 3}
+
+
+def test_stream_resolution_tells_suppliers_apart(spark, tmp_path):
+    from ledgerspark.streaming import ingest
+    docs = spark.createDataFrame([(1, 1, "S/N", "A", None, 100), (2, 1, "S/N", "B", None, 100), (3, 1, "S/N", None, "ACME SL", None), (4, 1, "S/N", None, "ACME SL", 700), (5, 1, "S/N", None, "ACME SL", 900)],
+                                 "doc_id long, actividad_id long, numero string, nif string, emisor_norm string, total_c long")
+    docs.write.parquet(str(tmp_path / "in"))
+    q = ingest.resolve(spark.readStream.schema(docs.schema).parquet(str(tmp_path / "in"))).writeStream.format("memory").queryName("er2").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).start()
+    q.processAllAvailable()
+    q.stop()
+    assert {r.doc_id: (r.factura_id, r.conflicto) for r in spark.sql("select * from er2").collect()} == {1: (1, False), 2: (2, False), 3: (3, False), 4: (3, False), 5: (5, True)}
+
+
+def test_line_items_in_columns_and_blocks(spark):
+    """Prices of a column with unit prices before line prices; prices in blocks with codes that end in a stop; nothing but a footer."""
+    from ledgerspark.operators import items
+    column = "Designacion y Referencia articulo\nLAMPARA MESA 40W\n10134110\nENCHUFE DOBLE\n25049368\nContribucion al SCRAP\n: 0,01\nTAPA REGISTRO\n4. 10757292\nImporte\nTTI (EUR)\n6,30\n1,90\nImporte\nTTI (EUR)\n0,70\n1,40\nTotal TTI (EUR)\n9,60"
+    block = "Designacion y Referencia articulo\nTUBO RIGIDO 1M\n10110884.\nUNID.\n1,99\n21.00\n2,41\n2,41\n2\nCODO 40MM\n10539431\nUNID.\n0,18\n21.00\n0,22\n0,22\nModos de pago\nTotal TTI (EUR)\n2,63"
+    docs = spark.createDataFrame([(1, column), (2, block), (3, "Base 10,00\nTotal 12,10"), (4, None)], "doc_id long, texto string")
+    heads = spark.createDataFrame([(1, None, None, 960), (2, 217, 46, 263), (3, 1000, 210, 1210), (4, None, None, None)], "doc_id long, base_c long, iva_c long, total_c long")
+    got = sorted((r.doc_id, r.orden, r.codigo, r.nombre, r.importe_c, r.origen) for r in items.find_items(docs, heads).collect())
+    assert got == [(1, 1, "10134110", "LAMPARA MESA 40W", 630, "columna"), (1, 2, "25049368", "ENCHUFE DOBLE", 190, "columna"), (1, 3, "10757292", "TAPA REGISTRO", 140, "columna"),
+                   (2, 1, "10110884", "TUBO RIGIDO 1M", 241, "bloque"), (2, 2, "10539431", "CODO 40MM", 22, "bloque")]
+    rates = items.block_prices(items.kinds(docs.where("doc_id = 2"))).collect()
+    assert {r.iva_tipo for r in rates} == {21}
