@@ -110,10 +110,6 @@ def _split(banded: DataFrame, broadcast: int, near: Near) -> tuple[DataFrame, Da
     return two.union(some).union(star), large
 
 
-#: Members of a band that still holds several components, up to which they are compared all with all by their sketches.
-WIDE = 1024
-
-
 def links(banded: DataFrame, shingles: Callable[[DataFrame], DataFrame], alike: Callable[[DataFrame], DataFrame], similarity: float, broadcast: int, near: Near) -> DataFrame:
     """Edges (a, b) that connect any two keys that share a band, have near sketches and are alike.
 
@@ -121,9 +117,12 @@ def links(banded: DataFrame, shingles: Callable[[DataFrame], DataFrame], alike:
     pairs with a Jaccard similarity of at least `similarity`. near(bits in which two 64-bit sketches differ) tells the pairs
     that are to be compared.
 
-    In a band of more than SMALL members these first meet its two ends only. Where that leaves several components, members of
-    different ones are compared by their sketches. In a band of more than WIDE members they meet by their rarest shingles before
-    that: two similar sets of n shingles share one of the first n - ceil(similarity * n) + 1 in any common order.
+    In a band of more than SMALL members these first meet its two ends only. Where that leaves several components, members
+    meet by shingles that at most SMALL of these keys have. Two similar sets share at least similarity * size of their
+    shingles; what the frequent ones can't make up of that, t, must come from the others. So, in any common order,
+    they share one of the first (number of the others) - t + 1. Only pairs that frequent shingles alone can make similar (the
+    lesser number of these is similarity / (1 + similarity) of both sizes) need none of the others: of these sets, those outside the main component of a band that still holds several are compared with the band's
+    members of other components, by size, sketch and then the sets themselves.
     """
     pairs, large = _split(banded, broadcast, near)
     found = checkpoint(alike(checkpoint(pairs.distinct())))
@@ -131,28 +130,41 @@ def links(banded: DataFrame, shingles: Callable[[DataFrame], DataFrame], alike:
         return found
     roots = components(found)
 
-    def mixed(members: DataFrame) -> DataFrame:
-        """Members (band, k1, ...) of the bands that hold several components, with their root and their band's members."""
-        members = checkpoint(members.join(roots, F.col("k1") == F.col("node"), "left").withColumn("root", F.coalesce("root", "k1")).drop("node"))
-        several = members.groupBy("band").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("n")).where("x < y").select("band", "n")
+    def mixed(members: DataFrame, roots: DataFrame) -> DataFrame:
+        """Members of the bands that hold several components, with their root and the band's main one (that of most members)."""
+        members = checkpoint(members.join(sized(roots, broadcast), F.col("k1") == F.col("node"), "left").withColumn("root", F.coalesce("root", "k1")).drop("node"))
+        several = members.groupBy("band", "root").agg(F.count("*").alias("n")).groupBy("band").agg(F.max_by("root", "n").alias("main"), F.count("*").alias("roots")).where("roots > 1").select("band", "main")
         return checkpoint(members.join(sized(checkpoint(several), broadcast), "band"))
 
-    def across(members: DataFrame, fits: Column | None = None) -> DataFrame:
-        a, b = members.alias("a"), members.alias("b")
-        both = a.join(b, F.col("a.band") == F.col("b.band")).where("a.k1 < b.k1 and a.root != b.root").where(near(F.col("a.sketch").bitwiseXOR(F.col("b.sketch"))))
-        return (both if fits is None else both.where(fits)).select(F.col("a.k1").alias("a"), F.col("b.k1").alias("b"))
-
-    left = mixed(banded.join(sized(large.select("band"), broadcast), "band", "left_semi"))
-    pairs, wide = across(left.where(F.col("n") <= WIDE)), left.where(F.col("n") > WIDE)
-    if wide.limit(1).count():
-        keys = checkpoint(wide.select("k1", "sketch").distinct())
-        sh = checkpoint(shingles(keys.select("k1")))
-        common = checkpoint(sh.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"))
-        sizes = sh.groupBy("k1").agg(F.count("*").alias("size"))
-        ranked = (sh.join(sized(common, broadcast), "h", "left").join(sizes, "k1")
-                  .withColumn("at", F.row_number().over(Window.partitionBy("k1").orderBy(F.coalesce("n", F.lit(1)), "h"))))
-        # a little is added before rounding so that 0.8 * 5 is 4, and the prefix never too short
-        prefix = ranked.where((F.col("n") > 1) & (F.col("at") <= F.col("size") - F.ceil(similarity * F.col("size") - 1e-6) + 1)).select("k1", F.col("h").alias("band"), "size")
-        fits = F.least("a.size", "b.size") >= similarity * F.greatest("a.size", "b.size") - 1e-6
-        pairs = pairs.union(across(mixed(prefix.join(keys, "k1")), fits))
-    return found.union(checkpoint(alike(checkpoint(pairs.distinct()))))
+    left = mixed(banded.join(sized(large.select("band"), broadcast), "band", "left_semi"), roots)
+    keys = checkpoint(left.select("k1", "sketch", "root").distinct())
+    sh = checkpoint(shingles(keys.select("k1")))
+    counts = sh.groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
+    own = Window.partitionBy("k1")
+    ranked = (sh.join(checkpoint(counts), "h", "left").withColumn("n", F.coalesce("n", F.lit(1)))
+              .withColumn("size", F.count("*").over(own)).withColumn("hot", F.count_if(F.col("n") > SMALL).over(own))
+              .withColumn("at", F.row_number().over(own.orderBy("n", "h"))))
+    # a little is taken off before rounding so that 0.8 * 5 is 4, and the prefix never too short
+    need = (F.ceil(similarity * F.col("size") - 1e-6) - F.col("hot")).cast("int")
+    ranked = checkpoint(ranked.withColumn("need", need).where((F.col("at") <= F.col("size") - F.col("hot") - F.greatest("need", F.lit(1)) + 1) & (F.col("n") > 1) & (F.col("n") <= SMALL)
+                                                              | ((F.col("need") <= 0) & (F.col("at") == 1))).select("k1", "h", "n", "size", "hot", "need"))
+    prefix = ranked.where((F.col("n") > 1) & (F.col("n") <= SMALL)).select("k1", F.col("h").alias("band")).join(keys.select("k1", "sketch"), "k1")
+    more, _ = _split(prefix, broadcast, near)
+    apart = keys.select("k1", "root")
+    more = (more.distinct().join(apart.select(F.col("k1").alias("a"), F.col("root").alias("ra")), "a").join(apart.select(F.col("k1").alias("b"), F.col("root").alias("rb")), "b")
+            .where("ra != rb").select("a", "b"))
+    found = checkpoint(found.union(alike(checkpoint(more))))
+    frequent = ranked.where("need <= 0").select("k1", "size", "hot").distinct()
+    if not frequent.limit(1).count():
+        return found
+    rest = mixed(left.drop("root", "main").join(sized(checkpoint(frequent), broadcast), "k1"), components(found))
+    sets = sh.join(sized(checkpoint(rest.select("k1").distinct()), broadcast), "k1", "left_semi").groupBy("k1").agg(F.collect_list("h").alias("hashes"))
+    rest = rest.join(sets, "k1")
+    a, b = rest.where("root != main").alias("a"), rest.alias("b")
+    shared = F.size(F.array_intersect("a.hashes", "b.hashes"))
+    last = (a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.root") != F.col("b.root")) & ((F.col("b.root") == F.col("b.main")) | (F.col("a.k1") < F.col("b.k1")))
+                   & (F.least("a.hot", "b.hot") >= similarity / (1 + similarity) * (F.col("a.size") + F.col("b.size")) - 1e-6)
+                   & (F.least("a.size", "b.size") >= similarity * F.greatest("a.size", "b.size") - 1e-6) & near(F.col("a.sketch").bitwiseXOR(F.col("b.sketch")))
+                   & (shared >= similarity * (F.col("a.size") + F.col("b.size") - shared)))
+            .select(F.least("a.k1", "b.k1").alias("a"), F.greatest("a.k1", "b.k1").alias("b")).distinct())
+    return found.union(checkpoint(last))
