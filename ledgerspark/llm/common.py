@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -36,6 +37,13 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df written as compressed Parquet into the checkpoint folder, and read from there."""
+    path = f"{checkpoint_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def sized(df: DataFrame, rows: int) -> DataFrame:
     """df, to be broadcast if it has at most so many rows, else to be joined by a shuffle. df should be cheap to read again."""
     return F.broadcast(df) if df.count() <= rows else df
