@@ -38,11 +38,11 @@ def features_sql(s: Settings) -> str:
     """SQL over texts(i, t): for each text with words (i, n_words, n_features, buckets, counts); buckets are its different ones, ascending."""
     runs = []
     for n in range(s.least, s.most + 1):
-        joined = " || ' ' || ".join(["w", *(f"lead(w, {k}) over (partition by i order by at)" for k in range(1, n))])
+        joined = " || ' ' || ".join(["w", *(f"lead(w, {k}) over (partition by i order by pos)" for k in range(1, n))])
         runs.append(f"select i, {joined} as f from words")
     return f"""
     with lists as (select i, {WORDS} as l from texts),
-    words as (select i, unnest(l) as w, generate_subscripts(l, 1) as at from lists),
+    words as (select i, unnest(l) as w, generate_subscripts(l, 1) as pos from lists),
     runs as ({' union all '.join(runs)}),
     known as (select f, crc32(f) % {s.buckets} as b from (select distinct f from runs where f is not null)),
     counted as (select i, b, count(*) as n from runs join known using (f) group by i, b),

@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import struct
 import uuid
 import zlib
@@ -21,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -31,75 +33,78 @@ MAGIC = b"TIDB"
 _HEAD = struct.Struct("<4s5Q")
 #: Ids after which a block is full (a longer document is a block alone), and blocks of a file.
 BLOCK, BLOCKS_A_FILE = 1_000_000, 8
-#: Words whose ids a worker remembers, about 150 bytes each; forgotten when full. Longer words aren't remembered.
+#: Words whose ids a worker remembers, about 200 bytes each; forgotten when full. Longer words aren't remembered.
 REMEMBERED, WORD = 700_000, 64
-#: White space that Python splits words at and the tokenizer doesn't; texts with it go to the tokenizer whole.
-_ODD = ("\x1c", "\x1d", "\x1e", "\x1f")
+#: Texts with one of these go to the tokenizer whole: control characters that only Python takes for white space, a capital that
+#: becomes two characters, and all from U+02B0 on, as combining marks and other scripts.
+_FAR = re.compile("[\x1c-\x1f\u0130\u02b0-\U0010ffff]")
 
 #: For each control byte, which of 16 bytes (four ids of 4 bytes) are stored; and how many.
 STORED = np.array([[j <= (c >> 2 * i & 3) for i in range(4) for j in range(4)] for c in range(256)])
 STORED_BYTES = STORED.sum(axis=1)
 
 
-class WordIds:
-    """Ids of texts by a tokenizers file, with a memory of words.
+class WordIds(dict):
+    """Ids of texts by a tokenizers file, with a memory of words (from words in lower case to bytes of ids).
 
-    A tokenizer that drops white space, and normalises and joins nothing across it, treats each word alone; so words met
-    before are looked up. New ones go to it together, apart by a special token. Texts with very long words, with odd white space
-    or with the special token's own spelling, and texts for any other tokenizer, go to it whole. The ids are the same.
+    A tokenizer that drops white space, and normalises and joins nothing across it, treats each word alone. So texts of Latin
+    letters are put in lower case and split; words met before are looked up, new ones are cut by the file's own pattern and given to
+    its model. Texts with other characters or with a special token's spelling, and texts for any other
+    tokenizer, go to the library whole. The ids are the same.
     """
 
     def __init__(self, path: str):
+        super().__init__()
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
-        self.whole, self.parted = (Tokenizer.from_file(path) for _ in range(2))
-        self.whole.encode_special_tokens = True
-        for t in (self.whole, self.parted):
-            t.no_padding()
-            t.no_truncation()
-        made = json.loads(self.whole.to_str())
-        special = [a for a in made["added_tokens"] if a["special"] and not a["normalized"] and not a["lstrip"] and not a["rstrip"]]
-        self.size = max(self.whole.get_vocab(with_added_tokens=True).values()) + 1
-        self.by_words = bool(special) and self._apart(made)
-        self.mark, self.mark_id = (special[0]["content"], special[0]["id"]) if special else ("", -1)
+        self.library = Tokenizer.from_file(path)
+        self.library.encode_special_tokens = True
+        self.library.no_padding()
+        self.library.no_truncation()
+        made = json.loads(self.library.to_str())
+        self.size = max(self.library.get_vocab(with_added_tokens=True).values()) + 1
+        self.kind = width(self.size)
         self.spellings = [a["content"] for a in made["added_tokens"]]
-        self.memory: dict[str, bytes] = {}
+        normal, pre = (self._parts(made[k], name) for k, name in (("normalizer", "normalizers"), ("pre_tokenizer", "pretokenizers")))
+        steps = [(n["type"], n.get("pattern"), n.get("content")) for n in normal]
+        cut = [(x["type"], x.get("behavior"), x.get("invert"), x.get("add_prefix_space"), x.get("use_regex")) for x in pre]
+        pattern = pre[0].get("pattern", {}).get("Regex", "") if pre else ""
+        self.by_words = (steps == [("NFC", None, None), ("Replace", {"Regex": r"\s+"}, " "), ("Lowercase", None, None)]
+                         and cut == [("Split", "Removed", True, None, None), ("ByteLevel", None, None, False, False)]
+                         and " " not in pattern and pattern.replace(r"[^\s", "[^").find(r"\s") < 0)
+        self.pattern = regex.compile(pattern) if self.by_words else None
+        self.letters = r"[\p{L}]+" in pattern
+        # how byte-level vocabularies spell bytes: printable Latin-1 characters as themselves, others from U+0100 on
+        printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+        others = [b for b in range(256) if b not in printable]
+        self.spelt = {b: 256 + i for i, b in enumerate(others)}
 
     @staticmethod
-    def _apart(made: dict) -> bool:
-        """Whether the tokenizer treats words between white space alone."""
-        parts = lambda x, name: x.get(name, [x]) if x else []
-        normal = parts(made["normalizer"], "normalizers")
-        pre = parts(made["pre_tokenizer"], "pretokenizers")
-        fine = all(n["type"] in ("NFC", "Lowercase") or n["type"] == "Replace" and n["pattern"] == {"Regex": r"\s+"} and n["content"] == " " for n in normal)
-        split = bool(pre) and pre[0]["type"] == "Split" and pre[0]["behavior"] == "Removed" and pre[0]["invert"]
-        pattern = pre[0]["pattern"].get("Regex", " ") if split else " "
-        return fine and split and " " not in pattern and r"\s" not in pattern.replace(r"[^\s", "[^") and r"[^\s" in pattern
-
-    def _learn(self, words: list[str]) -> None:
-        for at in range(0, len(words), 2000):
-            part = words[at:at + 2000]
-            ids = np.array(self.parted.encode_batch_fast([self.mark.join(part)], add_special_tokens=False)[0].ids, "<u4")
-            cuts = np.flatnonzero(ids == self.mark_id)
-            if len(cuts) != len(part) - 1:
-                raise ValueError("the special token does not part words")
-            data = ids.tobytes()
-            self.memory.update(zip(part, [data[a:b] for a, b in zip([0, *(4 * cuts + 4).tolist()], [*(4 * cuts).tolist(), len(data)])]))
+    def _parts(x: dict | None, name: str) -> list[dict]:
+        return x.get(name, [x]) if x else []
+
+    def __missing__(self, word: str) -> bytes:
+        parts = [word] if self.letters and word.isalpha() else self.pattern.findall(word)
+        if parts == [word]:
+            text = word if word.isascii() and word.isprintable() else word.encode().decode("latin-1").translate(self.spelt)
+            ids = np.array([t.id for t in self.library.model.tokenize(text)], self.kind).tobytes()
+        else:
+            ids = b"".join([self[p] for p in parts])
+        if len(word) <= WORD:
+            self[word] = ids
+        return ids
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit numbers."""
-        if len(self.memory) > REMEMBERED:
-            self.memory.clear()
-        memory, cut, new = self.memory, [], set()
-        for t in texts:
-            words = t.split() if self.by_words and not any(c in t for c in _ODD) and not any(s in t for s in self.spellings) else None
-            if words and max(map(len, words)) > WORD:
-                words = None
-            if words:
-                new.update([w for w in words if w not in memory])
-            cut.append(words)
-        self._learn(list(new))
-        look = memory.__getitem__
-        return [np.array(self.whole.encode(t, add_special_tokens=False).ids, "<u4").tobytes() if w is None else b"".join(map(look, w)) for t, w in zip(texts, cut)]
+        """Ids of each text as little-endian numbers of the vocabulary's width."""
+        if len(self) > REMEMBERED:
+            self.clear()
+        look = self.__getitem__
+        return [b"".join(map(look, t.lower().split())) if self.by_words and not _FAR.search(t) and not any(s in t for s in self.spellings)
+                else np.array(self.library.encode(t, add_special_tokens=False).ids, self.kind).tobytes() for t in texts]
+
+
+def width(size: int) -> str:
+    """The kind of number that holds any id below size."""
+    return "<u2" if size <= 65536 else "<u4"
 
 
 def pack(ranks: np.ndarray) -> tuple[bytes, bytes]:
@@ -164,12 +169,12 @@ def tokenised(docs: DataFrame, tokenizer: str, id_col: str, text_col: str, end_i
         if tokenizer not in _loaded:
             _loaded[tokenizer] = WordIds(tokenizer)
         ids = _loaded[tokenizer]
-        kind = "<u2" if ids.size <= 65536 else "<u4"
+        end = np.array([end_id], ids.kind).tobytes()
         for b in batches:
             for at in range(0, b.num_rows, 64):
                 part = b.slice(at, 64)
-                got = [np.append(np.frombuffer(x, "<u4"), np.uint32(end_id)).astype(kind) for x in ids.encode([t or "" for t in part.column(2).to_pylist()])]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(map(len, got), pa.int64()), pa.array([x.tobytes() for x in got], pa.binary())], ["doc_id", "row", "n", "ids"])
+                got = [x + end for x in ids.encode([t or "" for t in part.column(2).to_pylist()])]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([len(x) // len(end) for x in got], pa.int64()), pa.array(got, pa.binary())], ["doc_id", "row", "n", "ids"])
 
     ship(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.col(text_col).cast("string").alias("t"))
@@ -178,7 +183,7 @@ def tokenised(docs: DataFrame, tokenizer: str, id_col: str, text_col: str, end_i
 
 def frequency_ranks(made: DataFrame, size: int) -> np.ndarray:
     """All ids of the vocabulary, most frequent first, ties by id: counts over all rows, of which at most `size` reach the driver."""
-    kind = "<u2" if size <= 65536 else "<u4"
+    kind = width(size)
 
     def run(batches):
         total = np.zeros(size, np.int64)
@@ -216,7 +221,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", te
     number for each range. Blocks are written by Spark's text writer, so a lost task's files never count.
     """
     spark, size = docs.sparkSession, WordIds(tokenizer).size
-    kind = "<u2" if size <= 65536 else "<u4"
+    kind = width(size)
     made = tokenised(docs, tokenizer, id_col, text_col, end_id)
     by_rank = frequency_ranks(made, max(size, end_id + 1))
     rank_of = np.empty_like(by_rank)

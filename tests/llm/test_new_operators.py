@@ -45,7 +45,7 @@ def test_word_ids_are_the_library_s():
     ids = tokenids.WordIds(WORDS)
     assert ids.by_words and not tokenids.WordIds(public_tokenizers.path("byte_bpe_50k.json")).by_words
     for _ in range(2):
-        assert [np.frombuffer(x, "<u4").tolist() for x in ids.encode(texts)] == [t.encode(x, add_special_tokens=False).ids for x in texts]
+        assert [np.frombuffer(x, "<u2").tolist() for x in ids.encode(texts)] == [t.encode(x, add_special_tokens=False).ids for x in texts]
 
 
 def test_coding_round_trip_by_hand_and_by_chance():
