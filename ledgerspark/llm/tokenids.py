@@ -34,7 +34,7 @@ _HEAD = struct.Struct("<4s5Q")
 #: Ids after which a block is full (a longer document is a block alone), and blocks of a file.
 BLOCK, BLOCKS_A_FILE = 1_000_000, 8
 #: Words whose ids a worker remembers, about 200 bytes each; forgotten when full. Longer words aren't remembered.
-REMEMBERED, WORD = 700_000, 64
+REMEMBERED, WORD = 1_000_000, 64
 #: Texts with one of these go to the tokenizer whole: control characters that only Python takes for white space, a capital that
 #: becomes two characters, and all from U+02B0 on, as combining marks and other scripts.
 _FAR = re.compile("[\x1c-\x1f\u0130\u02b0-\U0010ffff]")
@@ -63,6 +63,9 @@ class WordIds(dict):
         made = json.loads(self.library.to_str())
         self.size = max(self.library.get_vocab(with_added_tokens=True).values()) + 1
         self.kind = width(self.size)
+        every = np.arange(self.size).astype(self.kind)
+        self.id_bytes = [x.tobytes() for x in every]
+        self.model = self.library.model
         self.spellings = [a["content"] for a in made["added_tokens"]]
         normal, pre = (self._parts(made[k], name) for k, name in (("normalizer", "normalizers"), ("pre_tokenizer", "pretokenizers")))
         steps = [(n["type"], n.get("pattern"), n.get("content")) for n in normal]
@@ -83,10 +86,16 @@ class WordIds(dict):
         return x.get(name, [x]) if x else []
 
     def __missing__(self, word: str) -> bytes:
-        parts = [word] if self.letters and word.isalpha() else self.pattern.findall(word)
+        if self.letters and word.isalpha():
+            parts = [word]
+        elif self.letters and word[:-1].isalpha() and not word[-1].isalnum():  # one sign behind letters
+            parts = [word[:-1], word[-1]]
+        else:
+            parts = self.pattern.findall(word)
         if parts == [word]:
             text = word if word.isascii() and word.isprintable() else word.encode().decode("latin-1").translate(self.spelt)
-            ids = np.array([t.id for t in self.library.model.tokenize(text)], self.kind).tobytes()
+            spell = self.id_bytes
+            ids = b"".join([spell[t.id] for t in self.model.tokenize(text)])
         else:
             ids = b"".join([self[p] for p in parts])
         if len(word) <= WORD:
