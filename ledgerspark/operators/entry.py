@@ -131,36 +131,7 @@ def line_gap(lines: DataFrame, entries: DataFrame) -> DataFrame:
     return j.select("id", F.when(F.col("s").isNull(), F.abs("total_c")).otherwise(F.abs(F.col("s") - F.col("total_c"))).alias("hueco_c"))
 
 
-# Edits.
-
-def change_set(entries: DataFrame, edits: DataFrame, accounts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(entries after the edits, audit rows (asiento_id, campo, antes, despues)).
-
-    edits has (id, duplicado_de, quitar_duplicado, emisor, total, rubro, mantener_estado), all but id may be null. What comes
-    first decides the state: a pointer to another entry makes a duplicate (never of itself), taking it away reopens, else an
-    account set by its visible name (case aside; blank takes it away, the same one changes nothing) with full confidence
-    confirms, unless the state is to be kept. Audit rows stand only for texts that differ.
-    """
-    e = edits.select(F.col("id").alias("eid"), F.col("duplicado_de").alias("d_"), F.coalesce("quitar_duplicado", F.lit(False)).alias("q_"), F.col("emisor").alias("e_"),
-                     F.col("total").alias("t_"), F.col("rubro").alias("r_"), F.coalesce("mantener_estado", F.lit(False)).alias("m_"))
-    names = accounts.groupBy(F.lower("nombre").alias("n_")).agg(F.min("codigo").alias("c_"))
-    j = entries.join(e, F.col("id") == F.col("eid"), "left").join(F.broadcast(names), F.lower(F.trim("r_")) == F.col("n_"), "left")
-    points = F.col("d_").isNotNull() & (F.col("d_") != F.col("id"))
-    unset = F.col("q_") & ~points
-    named = F.col("r_").isNotNull()
-    account = F.when(named & blank(F.col("r_")), F.lit(None).cast("string")).when(named & F.col("c_").isNotNull(), F.col("c_")).otherwise(F.col("cuenta_codigo"))
-    moved = named & ~account.eqNullSafe(F.col("cuenta_codigo"))
-    state = (F.when(F.coalesce(points, F.lit(False)), "duplicado").when(F.coalesce(unset, F.lit(False)) & (F.col("estado") == "duplicado"), "pendiente")
-             .when(F.coalesce(moved, F.lit(False)) & account.isNotNull() & ~F.col("m_") & (F.col("estado") != "duplicado"), "confirmado").otherwise(F.col("estado")))
-    new = {"estado": state, "duplicado_de_id": F.when(F.coalesce(points, F.lit(False)), F.col("d_")).when(F.coalesce(unset, F.lit(False)), F.lit(None)).otherwise(F.col("duplicado_de_id")),
-           "cuenta_codigo": account, "conf_clase_m": F.when(F.coalesce(moved, F.lit(False)) & account.isNotNull(), F.lit(1000)).otherwise(F.col("conf_clase_m")).cast("bigint"),
-           "emisor": F.coalesce(F.when(~blank(F.col("e_")), title(F.col("e_"))), F.col("emisor")), "total_c": F.coalesce(money_field(F.col("t_")), F.col("total_c"))}
-    shown = {"total_c": decimals}
-    as_text = lambda c, x: shown[c](x) if c in shown else F.coalesce(x.cast("string"), F.lit(""))
-    after = j.select(*[new[c].alias(c) if c in new else F.col(c) for c in entries.columns])
-    rows = j.where("eid is not null").select("id", F.explode(F.array(*[F.struct(F.lit(c).alias("campo"), as_text(c, F.col(c)).alias("antes"), as_text(c, x).alias("despues")) for c, x in new.items()])).alias("a"))
-    return after, rows.select(F.col("id").alias("asiento_id"), "a.*").where("antes != despues")
-
+# Audit and evidence. Edits and merges are in `edits`.
 
 def latest_audit(audit: DataFrame, most: int = 8) -> DataFrame:
     """The newest few audit rows of each entry, newest (largest audit id) first."""
@@ -172,19 +143,6 @@ def name_audit(renamed: DataFrame) -> DataFrame:
     return renamed.select(F.col("id").alias("asiento_id"), F.lit("emisor").alias("campo"), "antes", "despues", F.lit("modelo").alias("fuente"))
 
 
-def merge_invoices(edges: DataFrame, entries: DataFrame, merges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(edges, entries) after merges (origen, destino): the source's evidence points to the destination, the destination's empty
-    fields are filled from the source, and the source is a duplicate of it."""
-    m = merges.groupBy(F.col("origen").alias("o_")).agg(F.min("destino").alias("d_"))
-    moved = edges.join(m, F.col("destino_id") == F.col("o_"), "left").select(*[F.coalesce("d_", "destino_id").alias(c) if c == "destino_id" else F.col(c) for c in edges.columns])
-    fill = [c for c in ("numero_factura", "fecha", "emisor", "nif_emisor", "total_c") if c in entries.columns]
-    given = entries.join(m, F.col("id") == F.col("o_")).groupBy(F.col("d_").alias("t_")).agg(F.count("*").alias("n_"), *[F.min_by(c, F.when(F.col(c).isNotNull(), F.col("id"))).alias(f"g_{c}") for c in fill])
-    j = entries.join(m, F.col("id") == F.col("o_"), "left").join(given, F.col("id") == F.col("t_"), "left")
-    put = {**{c: F.coalesce(F.col(c), F.col(f"g_{c}")) for c in fill}, "estado": F.when(F.col("o_").isNotNull(), "duplicado").otherwise(F.col("estado")),
-           "duplicado_de_id": F.coalesce("d_", "duplicado_de_id")}
-    return moved, j.select(*[put[c].alias(c) if c in put else F.col(c) for c in entries.columns])
-
-
 def evidence_documents(edges: DataFrame, documents: DataFrame) -> DataFrame:
     """(factura_id, documento_id) of the documents that exist among an invoice's evidence."""
     own = edges.where("origen_tipo = 'documento' and tipo in ('evidencia', 'continuacion')").select(F.col("destino_id").alias("factura_id"), F.col("origen_id").alias("documento_id")).distinct()

@@ -72,49 +72,6 @@ def _(l):
     return entry.evidence_documents(edges.union(edges), a.where("id % 3 != 0").select("id"))
 
 
-@query("merge_evidence", "select id as edge_id, case when factura_id % 5 = 0 then factura_id + 1 else factura_id end as destino_id from asientos")
-def _(l):
-    a = l.asientos
-    return entry.merge_invoices(a.select(F.col("id").alias("edge_id"), F.col("factura_id").alias("destino_id")), a.select("id", "estado", "duplicado_de_id"), a.where("factura_id % 5 = 0").select(F.col("factura_id").alias("origen"), (F.col("factura_id") + 1).alias("destino")))[0]
-
-
-@query("merge_entries", """with m as (select factura_id as o, min(id) as d from asientos where id >= 10000000 group by 1), g as (select d, arg_min(numero_factura, id) as n, arg_min(fecha, id) as f from asientos join m on id = o group by d)
-select a.id, coalesce(a.numero_factura, g.n) as numero_factura, coalesce(a.fecha, g.f) as fecha, case when m.o is not null then 'duplicado' else estado end as estado, coalesce(m.d, duplicado_de_id) as duplicado_de_id from asientos a left join m on a.id = m.o left join g on a.id = g.d""")
-def _(l):
-    a = l.asientos
-    merges = a.where("id >= 10000000").select(F.col("factura_id").alias("origen"), F.col("id").alias("destino"))
-    return entry.merge_invoices(a.select(F.col("id").alias("edge_id"), F.col("factura_id").alias("destino_id")), a.select("id", "numero_factura", "fecha", "estado", "duplicado_de_id"), merges)[1]
-
-
-EDITS = """e as (select id as eid, case when id % 7 = 1 then id % 3 * id end as d_, id % 7 = 2 as q_, case when id % 4 = 0 then '  Nuevo   nombre ' || id when id % 4 = 1 then '—' end as e_, case when id % 5 = 0 then '1.234,50' when id % 5 = 1 then '' end as t_,
-case id % 11 when 0 then (select upper(min(nombre)) from cuentas) when 1 then '' when 2 then 'sin tal nombre' end as r_, id % 2 = 0 as m_ from asientos),
-j as (select a.*, e.*, (select arg_min(codigo, nombre) from cuentas) as c1, d_ is not null and d_ <> id as pt from asientos a join e on id = eid),
-x as (select *, case when r_ = '' then null when id % 11 = 0 then c1 else cuenta_codigo end as cc from j),
-y as (select *, r_ is not null and cc is distinct from cuenta_codigo as mv from x),
-z as (select id, case when pt then 'duplicado' when q_ and estado = 'duplicado' then 'pendiente' when mv and cc is not null and not m_ and estado <> 'duplicado' then 'confirmado' else estado end as estado, estado as estado0,
-case when pt then d_ when q_ then null else duplicado_de_id end as duplicado_de_id, cc as cuenta_codigo, cuenta_codigo as cuenta0, case when mv and cc is not null then 1000 else conf_clase_m end as conf_clase_m,
-case when id % 4 = 0 then 'Nuevo nombre ' || id else emisor end as emisor, case when id % 5 = 0 then 123450 else total_c end as total_c, total_c as total0 from y)"""
-
-
-def _edited(l):
-    i = F.col("id")
-    top = l.cuentas.agg(F.upper(F.min("nombre")).alias("top"))
-    edits = l.asientos.crossJoin(F.broadcast(top)).select("id", F.when(i % 7 == 1, i % 3 * i).alias("duplicado_de"), (i % 7 == 2).alias("quitar_duplicado"), F.when(i % 4 == 0, F.concat(F.lit("  Nuevo   nombre "), i.cast("string"))).when(i % 4 == 1, "—").alias("emisor"),
-                                                          F.when(i % 5 == 0, "1.234,50").when(i % 5 == 1, "").alias("total"), F.when(i % 11 == 0, F.col("top")).when(i % 11 == 1, "").when(i % 11 == 2, "sin tal nombre").alias("rubro"), (i % 2 == 0).alias("mantener_estado"))
-    return entry.change_set(l.asientos, edits, l.cuentas)
-
-
-@query("edit_entries", f"with {EDITS} select id, estado, duplicado_de_id, cuenta_codigo, conf_clase_m, emisor, total_c from z", "asientos cuentas")
-def _(l):
-    return _edited(l)[0].select("id", "estado", "duplicado_de_id", "cuenta_codigo", "conf_clase_m", "emisor", "total_c")
-
-
-@query("edit_audit", f"""with {EDITS} select id as asiento_id, 'estado' as campo, estado0 as antes, estado as despues from z where estado <> estado0 union all select id, 'cuenta_codigo', coalesce(cuenta0, ''), coalesce(cuenta_codigo, '') from z where cuenta0 is distinct from cuenta_codigo
-union all select id, 'total_c', {DEC('total0')}, {DEC('total_c')} from z where total0 <> total_c""", "asientos cuentas")
-def _(l):
-    return _edited(l)[1].where("campo in ('estado', 'cuenta_codigo', 'total_c')")
-
-
 @query("replace_lines", """with n as (select asiento_id, row_number() over (partition by asiento_id order by posicion) as posicion, nullif(case when posicion % 3 = 0 then '' else codigo end, '') as codigo, case when posicion % 4 = 0 then '' else descripcion end as descripcion, case when posicion % 6 <> 0 then base_c end as importe_c
 from lineas where asiento_id % 2 = 0 and not (posicion % 12 = 0))
 select asiento_id, posicion, codigo, descripcion, importe_c from n union all select asiento_id, posicion, codigo, descripcion, base_c from lineas where asiento_id % 2 <> 0""", "lineas")

@@ -6,7 +6,7 @@ import os
 import tempfile
 import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
@@ -26,3 +26,14 @@ def ship(spark: SparkSession) -> None:
                     z.write(full, os.path.join("ledgerspark", os.path.relpath(full, top)))
     sc.addPyFile(path)
     _shipped.add(sc.applicationId)
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """df written to the folder that spark.checkpoint.dir names, and read from there; a session on one machine without one gets a folder of its own."""
+    sc = df.sparkSession.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        shared = sc.getConf().get("spark.checkpoint.dir")
+        if not shared and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="checkpoint"))
+    return df.checkpoint()
