@@ -12,8 +12,8 @@ from ..functions import money
 from ..schema import LINE_TOLERANCE, VAT_RATES
 
 # Words of lines that are no articles, and of the head over a column of prices or of articles.
-FOOTER_WORDS = ("total", "base", "iva", "igic", "ipsi", "nif", "cif", "fecha", "factura", "cliente", "pag", "pág", "original", "ticket", "cuota", "cambio", "visa",
-                "mastercard", "efectivo", "importe", "duplicado", "ejemplar", "observacion", "modos", "unid", "scrap", "razon")
+FOOTER_WORDS = ("total", "base", "iva", "igic", "ipsi", "nif", "cif", "fecha", "factura", "cliente", "pag", "pág", "pagina", "página", "original", "ticket", "cuota", "cambio", "visa",
+                "mastercard", "efectivo", "importe", "duplicado", "ejemplar", "observacion", "observaciones", "modos", "unid", "scrap", "razon", "razón", "precio")
 PRICE_HEADS = ("tti", "tii", "ti (eur)")
 ARTICLE_HEADS = ("designacion", "designación", "referencia art")
 
@@ -31,6 +31,11 @@ def _starts(line: Column, words: tuple[str, ...]) -> Column:
     return F.exists(F.array(*[F.lit(w) for w in words]), lambda w: F.startswith(line, w))
 
 
+def _first_word(line: Column, words: tuple[str, ...]) -> Column:
+    """Whether a line begins with one of the words, and the word ends there."""
+    return F.exists(F.array(*[F.lit(w) for w in words]), lambda w: F.startswith(line, w) & ~F.substring(line, F.length(w) + 1, F.lit(1)).rlike(r"[\p{L}0-9]"))
+
+
 def _holds(line: Column, words: tuple[str, ...]) -> Column:
     return F.exists(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(line, w))
 
@@ -49,7 +54,7 @@ def kinds(docs: DataFrame, text_col: str = "texto") -> DataFrame:
     name = F.trim(F.regexp_replace(F.regexp_replace(line, r"\s+-?[\d.]*\d[.,]\d{2}\s*(?:€|EUR)?$", ""), r"^\d{1,2}[.)]?\s+(?=\D{3})", ""))
     kind = (F.when((F.size(amounts) == 1) & (bare == ""), "precio").when(line.rlike(r"^(?:\d{1,2}\.?\s+)?\d{7,8}[.,:;]?$"), "codigo")
             .when(line.rlike(r"^(?:[1-9]|[1-3]\d|40)$"), "indice").when(_starts(low, ARTICLE_HEADS), "articulos")
-            .when(_holds(low, PRICE_HEADS) & ~F.contains(low, F.lit("total")), "cabecera").when(_starts(low, FOOTER_WORDS), "pie")
+            .when(_holds(low, PRICE_HEADS) & ~F.contains(low, F.lit("total")), "cabecera").when(_first_word(low, FOOTER_WORDS), "pie")
             .when(F.length(F.regexp_replace(name, r"[^\p{L}]", "")) >= 3, "nombre").otherwise("otra"))
     out = rows.withColumn("clase", kind)
     return out.select("doc_id", "pos", "linea", "clase", F.when(F.col("clase").isin("precio", "nombre"), F.try_element_at(amounts, F.lit(-1))).alias("importe_c"),
@@ -184,6 +189,27 @@ def find_items(docs: DataFrame, headers: DataFrame, text_col: str = "texto") ->
     return every.join(best, ["doc_id", "rango"]).select("doc_id", "orden", "codigo", "nombre", "importe_c", "origen")
 
 
+def with_base_and_vat(found: DataFrame, headers: DataFrame) -> DataFrame:
+    """(doc_id, orden, codigo, nombre, base_c, iva_c, importe_c, origen) of `find_items`: amounts hold VAT unless they sum to the header's base.
+
+    headers also has iva_tipo; without one, or for items without amounts, base and VAT are null. What rounding leaves over goes to a document's last item.
+    """
+    from .extract import breakdown
+    rows = found.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("orden", "codigo", "nombre", "importe_c", "origen"))).alias("x"), F.sum("importe_c").alias("s"), F.count_if(F.col("importe_c").isNull()).alias("sin"))
+    j = rows.join(headers.select("doc_id", "base_c", "total_c", "iva_tipo"), "doc_id", "left")
+    included = F.coalesce(F.abs(F.col("s") - F.col("total_c")) <= LINE_TOLERANCE, F.lit(True))
+    parts = F.when((F.col("sin") == 0) & F.col("iva_tipo").isNotNull(), breakdown(F.transform("x", lambda i: i["importe_c"]), F.col("iva_tipo"), included))
+    return (j.select("doc_id", F.posexplode("x").alias("p", "i"), parts.alias("b")).select("doc_id", "i.*", F.get("b", F.col("p")).alias("y"))
+            .select("doc_id", "orden", "codigo", "nombre", F.col("y.base").alias("base_c"), F.col("y.iva").alias("iva_c"), F.coalesce("y.importe", "importe_c").alias("importe_c"), "origen"))
+
+
+def parse(docs: DataFrame, text_col: str = "texto") -> tuple[DataFrame, DataFrame]:
+    """(headers, items) of texts (doc_id, text): the header's fields, and its items with base and VAT."""
+    from .extract import header
+    headers = header(docs, text_col)
+    return headers, with_base_and_vat(find_items(docs, headers, text_col), headers)
+
+
 def render(lineas: DataFrame, layout: str) -> DataFrame:
     """Texts of the items of each entry, in one of three layouts: blocks (name, code, prices), columns (names and codes, then a column of prices) or beside (name and price on a line)."""
     def euro(c: Column) -> Column:
