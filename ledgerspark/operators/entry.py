@@ -48,11 +48,11 @@ def decimals(cents: Column) -> Column:
     return F.when(cents.isNull(), F.lit("")).otherwise(F.concat(F.when(cents < 0, "-").otherwise(""), whole, F.lit("."), F.lpad((F.abs(cents) % 100).cast("string"), 2, "0")))
 
 
-def warnings(base: Column, vat: Column, total: Column, rate: Column, lines: Column) -> Column:
-    """Up to two warnings: the header doesn't add up or has an unknown rate; lines don't add up."""
-    head = F.when(~F.coalesce(money.header_adds_up(base, vat, total), F.lit(True)) | ~money.known_rate(rate), F.lit("La cabecera no cuadra"))
-    sums = F.when(~F.coalesce(money.lines_add_up(lines, total), F.lit(True)), F.lit("Las líneas no suman el total"))
-    return F.filter(F.array(head, sums), lambda w: w.isNotNull())
+def warnings(base: Column, vat: Column, total: Column, rate: Column) -> Column:
+    """Up to two warnings: base and VAT don't give the total; the rate isn't a legal one."""
+    head = F.when(~F.coalesce(money.header_adds_up(base, vat, total), F.lit(True)), F.concat(F.lit("Base e IVA ("), decimals(base + vat), F.lit(") no dan el total ("), decimals(total), F.lit(")")))
+    odd = F.when(~money.known_rate(rate), F.concat(F.lit("IVA "), rate.cast("string"), F.lit(" % no es un tipo legal")))
+    return F.filter(F.array(head, odd), lambda w: w.isNotNull())
 
 
 def line_rate(stored: Column, base: Column, vat: Column) -> Column:
@@ -204,10 +204,10 @@ def export_rows(entries: DataFrame, accounts: DataFrame) -> DataFrame:
 
 
 def name_variants(entries: DataFrame) -> DataFrame:
-    """(nif, emisor, n, ids) of ids with two spellings or more; ids are the entries of a spelling."""
-    rows = entries.where("nif_emisor is not null and emisor is not null").groupBy(F.col("nif_emisor").alias("nif"), "emisor").agg(F.count("*").alias("n"), F.sort_array(F.collect_list("id")).alias("ids"))
-    many = rows.groupBy("nif").agg(F.count("*").alias("formas")).where("formas > 1").select("nif")
-    return rows.join(many, "nif")
+    """(actividad_id, nif, emisor, n, ids) of a case file's tax ids with two spellings or more; ids are the entries of a spelling."""
+    rows = entries.where("nif_emisor is not null and emisor is not null").groupBy("actividad_id", F.col("nif_emisor").alias("nif"), "emisor").agg(F.count("*").alias("n"), F.sort_array(F.collect_list("id")).alias("ids"))
+    many = rows.groupBy("actividad_id", "nif").agg(F.count("*").alias("formas")).where("formas > 1").select("actividad_id", "nif")
+    return rows.join(many, ["actividad_id", "nif"])
 
 
 def next_code(names: DataFrame, prefix: str) -> DataFrame:
@@ -247,9 +247,9 @@ def placements(documents: DataFrame) -> DataFrame:
 
 
 def known_spelling(incoming: DataFrame, canonical: DataFrame) -> DataFrame:
-    """(id, emisor): the id's canonical spelling where there is one that is surely the same supplier, else the text's own. canonical has (nif, canonico)."""
+    """(id, emisor): the case file's canonical spelling of the tax id where there is one that is surely the same supplier, else the text's own. canonical has (actividad_id, nif, canonico)."""
     from .matching import jaro_winkler_column, supplier_score
-    j = incoming.join(canonical.select(F.col("nif").alias("cn"), "canonico"), F.col("nif") == F.col("cn"), "left")
+    j = incoming.join(canonical.select(F.col("actividad_id").alias("ca"), F.col("nif").alias("cn"), "canonico"), (F.col("nif") == F.col("cn")) & (F.col("actividad_id") == F.col("ca")), "left")
     jw = jaro_winkler_column(text.clean_name(F.col("emisor")), text.clean_name(F.col("canonico")))
     sure = F.coalesce(supplier_score(F.col("nif"), F.col("cn"), jw)["probabilidad"] >= schema.MENTION, F.lit(False))
     return j.select("id", F.when(F.col("canonico").isNotNull() & sure, F.col("canonico")).otherwise(F.col("emisor")).alias("emisor"))

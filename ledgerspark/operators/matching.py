@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from .. import schema
 from ..functions import nif, text
+from ..session import checkpoint
 
 
 def keyed(entries: DataFrame) -> DataFrame:
@@ -91,6 +92,60 @@ def perceptual_pairs(hashes: DataFrame, most: int = 10, bits: int = 64, bands: i
             .select(F.col("a.id").alias("id"), F.col("b.id").alias("otro_id"), d.alias("distancia")).distinct())
 
 
+#: Chunks of a long hash of four words, and bits of each: three to a word.
+CHUNKS, CHUNK_BITS = 12, (22, 21, 21)
+
+
+def hash_words(h: Column) -> Column:
+    """Four longs of a 256-bit hash of 64 hexadecimal digits; null for other texts."""
+    words = F.array(*[F.conv(F.substring(h, 16 * i + 1, 16), 16, -10).cast("bigint") for i in range(4)])
+    return F.when(h.rlike("^[0-9a-fA-F]{64}$"), words)
+
+
+def distance_256(a: Column, b: Column) -> Column:
+    """Differing bits of two arrays of four longs."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+
+
+def picture_pairs(hashes: DataFrame, most: int = 10) -> DataFrame:
+    """(a, b, distancia) of different 256-bit hashes at most `most` (10 or less) bits apart, a and b being the smallest ids that have them; hashes has (id, h), h hexadecimal.
+
+    Ten differing bits leave two of twelve chunks equal. So hashes that are near share one of 66 pairs of chunks (42 bits and more), and meet by an equi-join on
+    it; equal hashes are one row, and each pair is kept at its first pair of equal chunks only, so none is made twice.
+    """
+    if most > CHUNKS - 2:
+        raise ValueError("so many bits may differ in all pairs of chunks")
+    known = hashes.select("id", F.lower("h").alias("h"), hash_words(F.col("h")).alias("w")).where("w is not null").groupBy("h").agg(F.min("id").alias("id"), F.first("w").alias("w"))
+    parts = []
+    for word in range(4):
+        low = 0
+        for bits in CHUNK_BITS:
+            parts.append(F.shiftrightunsigned(F.get("w", F.lit(word)), low).bitwiseAND(F.lit((1 << bits) - 1)))
+            low += bits
+    rows = checkpoint(known.select("id", "w", F.array(*parts).alias("c")))
+    pairs = [(i, j) for i in range(CHUNKS) for j in range(i + 1, CHUNKS)]
+    keys = F.array(*[F.struct(F.lit(k).alias("k"), F.col("c")[i].alias("x"), F.col("c")[j].alias("y")) for k, (i, j) in enumerate(pairs)])
+    each = rows.select("id", "w", "c", F.explode(keys).alias("k"))
+    a, b = each.alias("a"), each.alias("b")
+    equal = F.zip_with("a.c", "b.c", lambda x, y: x == y)
+    first = F.array_position(equal, True)
+    second = F.array_position(F.slice(equal, first.cast("int") + 1, F.lit(CHUNKS)), True) + first
+    own = F.element_at(F.array(*[F.array(F.lit(i + 1), F.lit(j + 1)) for i, j in pairs]), F.col("a.k.k") + 1)
+    d = distance_256(F.col("a.w"), F.col("b.w"))
+    return (a.join(b, (F.col("a.k") == F.col("b.k")) & (F.col("a.id") < F.col("b.id")) & (d <= most) & (own == F.array(first.cast("int"), second.cast("int"))))
+            .select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), d.alias("distancia")))
+
+
+def picture_duplicates(hashes: DataFrame, most: int = 10) -> DataFrame:
+    """(id, otro_id) of each id whose picture hash is at most `most` bits from an earlier id's: the smallest such id. All ids of equal hashes have one answer, so they are met once."""
+    known = hashes.select("id", F.lower("h").alias("h")).where(hash_words(F.col("h")).isNotNull())
+    groups = checkpoint(known.groupBy("h").agg(F.min("id").alias("g")))
+    pairs = picture_pairs(hashes, most)
+    lowest = pairs.select(F.col("b").alias("g"), F.col("a").alias("o")).groupBy("g").agg(F.min("o").alias("o"))  # a < b: the smaller representative
+    best = groups.join(lowest, "g", "left").select("h", F.least("g", F.coalesce("o", "g")).alias("otro_id"))
+    return known.join(best, "h").where("otro_id < id").select("id", "otro_id")
+
+
 #: The searches of the cascade in their order: level, motive, and the days around a date in which an original is looked for.
 SEARCHES = ((2, "clave fiscal", 0), (2, "número, fecha y total", 0), (3, "NIF y total cercanos", 3), (3, "emisor y total cercanos", 3))
 
@@ -137,11 +192,16 @@ def state_from_hit(entries: DataFrame, hits: DataFrame) -> DataFrame:
     return j.select("id", state.alias("estado_nuevo"), F.col("otro_id").alias("apunta_a"), F.col("nivel").cast("int").alias("nivel"))
 
 
-def twin_candidates(entries: DataFrame) -> DataFrame:
-    """(id, otro_id, prioridad) of entries a user may merge: equal total within 3 days and equal id (1), else equal issuer key (2)."""
+def twin_candidates(entries: DataFrame, hashes: DataFrame | None = None) -> DataFrame:
+    """(id, otro_id, prioridad) of entries a user may merge: equal total within 3 days and equal id (1), else equal issuer key (2), else pictures alike (3).
+
+    hashes has (id, otro_id) of `picture_duplicates`."""
     rows = keyed(entries).where("estado != 'duplicado'")
     both = interval_pairs(rows, ["actividad_id", "nif", "total_c"]).withColumn("p", F.lit(1)).unionByName(
         interval_pairs(rows, ["actividad_id", "emisor_norm", "total_c"]).withColumn("p", F.lit(2)))
+    if hashes is not None:
+        free = rows.select("id")
+        both = both.unionByName(hashes.join(free, "id").join(free.withColumnRenamed("id", "otro_id"), "otro_id").select("id", "otro_id", F.lit(3).alias("p")))
     return both.groupBy("id", "otro_id").agg(F.min("p").alias("prioridad"))
 
 
@@ -284,12 +344,13 @@ def apply_scan(entries: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def canonical_names(entries: DataFrame) -> DataFrame:
-    """(nif, canonico, n_formas) of ids spelled in at least two ways: the spelling of the most frequent clean name with most lower
-    case letters, then the shortest, then the first by order."""
-    rows = entries.where("nif_emisor is not null and emisor is not null").select(nif.normalize(F.col("nif_emisor")).alias("nif"), "emisor").distinct()
+    """(actividad_id, nif, canonico, n_formas) of a case file's tax ids spelled in at least two ways: the spelling of the most frequent clean name with
+    most lower case letters, then the shortest, then the first by order. One case file's spellings say nothing about another's."""
+    rows = entries.where("nif_emisor is not null and emisor is not null").select("actividad_id", nif.normalize(F.col("nif_emisor")).alias("nif"), "emisor").distinct()
     rows = rows.withColumn("limpio", text.clean_name(F.col("emisor")))
-    groups = rows.groupBy("nif", "limpio").agg(F.count("*").alias("n"), F.min(F.struct(-F.length(F.regexp_replace("emisor", r"[^\p{Ll}]", "")), F.length("emisor"), "emisor")).alias("mejor"))
-    return groups.groupBy("nif").agg(F.min(F.struct(-F.col("n"), "limpio", F.col("mejor.emisor").alias("e"))).alias("g"), F.sum("n").alias("n_formas")).where("n_formas > 1").select("nif", F.col("g.e").alias("canonico"), "n_formas")
+    groups = rows.groupBy("actividad_id", "nif", "limpio").agg(F.count("*").alias("n"), F.min(F.struct(-F.length(F.regexp_replace("emisor", r"[^\p{Ll}]", "")), F.length("emisor"), "emisor")).alias("mejor"))
+    best = groups.groupBy("actividad_id", "nif").agg(F.min(F.struct(-F.col("n"), "limpio", F.col("mejor.emisor").alias("e"))).alias("g"), F.sum("n").alias("n_formas"))
+    return best.where("n_formas > 1").select("actividad_id", "nif", F.col("g.e").alias("canonico"), "n_formas")
 
 
 # Entity resolution: documents become canonical invoices.
@@ -371,7 +432,7 @@ def orphan_edges(edges: DataFrame, documents: DataFrame, invoices: DataFrame) ->
 def sync_names(entries: DataFrame) -> DataFrame:
     """(id, antes, despues) of entries whose spelling is not their id's canonical one and is surely the same supplier."""
     names = canonical_names(entries)
-    rows = entries.where("emisor is not null and nif_emisor is not null").select("id", "emisor", nif.normalize(F.col("nif_emisor")).alias("nif")).join(names, "nif").where("emisor != canonico")
+    rows = entries.where("emisor is not null and nif_emisor is not null").select("id", "actividad_id", "emisor", nif.normalize(F.col("nif_emisor")).alias("nif")).join(names, ["actividad_id", "nif"]).where("emisor != canonico")
     same = jaro_winkler_column(text.clean_name(F.col("emisor")), text.clean_name(F.col("canonico")))
     return rows.withColumn("s", supplier_score(F.col("nif"), F.col("nif"), same)).where(F.col("s.probabilidad") >= schema.MENTION).select("id", F.col("emisor").alias("antes"), F.col("canonico").alias("despues"))
 

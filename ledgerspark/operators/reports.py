@@ -260,6 +260,7 @@ def first_seen_labels(rows: DataFrame, label: Column, position: Column) -> DataF
 
 
 def natural_key(x: Column) -> Column:
-    """Sort key without case and accents in which numbers compare by value: every run of digits padded to 12."""
+    """Sort key without case and accents in which numbers compare by value: a run of digits is its length without leading zeros, in four places, and then itself."""
     parts = F.regexp_extract_all(text.plain(x), F.lit(r"(\d+|\D+)"), F.lit(1))
-    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike("^[0-9]"), F.lpad(p, 12, "0")).otherwise(p)), "")
+    number = lambda p: F.concat(F.lpad(F.length(F.ltrim(p, F.lit("0"))).cast("string"), 4, "0"), F.ltrim(p, F.lit("0")))
+    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike("^[0-9]"), number(p)).otherwise(p)), "")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import schema
+from ..session import checkpoint
 from ..functions import money, nif
 from ..functions.text import slug
 
@@ -223,12 +224,29 @@ def upsert_accounts(system: DataFrame, user: DataFrame) -> DataFrame:
 
 
 def new_codes(names: DataFrame, existing: DataFrame, size: int = 24) -> DataFrame:
-    """(nombre, codigo) of internal account codes; equal ones, also those in `existing` (codigo), get a number from 2 on."""
+    """(nombre, codigo) of internal account codes, all different and none in `existing` (codigo).
+
+    A code is the name's base; where that is taken, by an existing code or an earlier name, the base and the smallest free number from 2 on.
+    Each round gives the names of a base its free numbers in order of names, and of names that met at one code (of bases that are each other's
+    numbered form) the first keeps it; the others go on to the next round.
+    """
     base = F.concat(F.col("prefijo"), F.lit("."), F.substring(slug(F.col("nombre")), 1, size))
-    rows = names.select("nombre", base.alias("b"))
-    taken = existing.select(F.regexp_replace("codigo", "[0-9]+$", "").alias("b")).groupBy("b").agg(F.count("*").alias("ya"))
-    r = F.row_number().over(Window.partitionBy("b").orderBy("nombre")) + F.coalesce("ya", F.lit(0))
-    return rows.join(taken, "b", "left").select("nombre", F.when(r == 1, F.col("b")).otherwise(F.concat("b", r.cast("string"))).alias("codigo"))
+    left = checkpoint(names.select("nombre", base.alias("b")).distinct())
+    taken, done = checkpoint(existing.select("codigo").distinct()), None
+    while left.limit(1).count():
+        want = left.withColumn("r", F.row_number().over(Window.partitionBy("b").orderBy("nombre")))
+        stem = lambda c: F.regexp_replace(c, "[0-9]+$", "")
+        used = taken.groupBy(stem("codigo").alias("s")).agg(F.count("*").alias("t"))
+        many = left.groupBy("b").agg(F.count("*").alias("k")).join(used, stem("b") == F.col("s"), "left")
+        free = many.select("b", F.explode(F.sequence(F.lit(1), (F.col("k") + F.coalesce("t", F.lit(0))).cast("int"))).alias("n"))
+        free = free.select("b", "n", F.when(F.col("n") == 1, F.col("b")).otherwise(F.concat("b", F.col("n").cast("string"))).alias("codigo")).join(taken, "codigo", "left_anti")
+        free = free.withColumn("r", F.row_number().over(Window.partitionBy("b").orderBy("n")))
+        got = want.join(free, ["b", "r"]).groupBy("codigo").agg(F.min(F.struct("n", "nombre")).alias("x")).select(F.col("x.nombre").alias("nombre"), "codigo")
+        got = checkpoint(got)
+        done = got if done is None else done.union(got)
+        taken = checkpoint(taken.union(got.select("codigo")))
+        left = checkpoint(left.join(got.select("nombre"), "nombre", "left_anti"))
+    return names.select("nombre", F.lit("").alias("codigo")).limit(0) if done is None else done
 
 
 def without_lines(entries: DataFrame, lines: DataFrame) -> DataFrame:

@@ -46,10 +46,10 @@ def _(l):
     return entry.first_entry(l.asientos)
 
 
-@query("name_variants", """with v as (select nif_emisor as nif, emisor, count(*) as n, string_agg(id::varchar, ',' order by id) as ids from asientos where nif_emisor is not null and emisor is not null group by all)
-select * from v where nif in (select nif from v group by nif having count(*) > 1)""")
+@query("name_variants", """with v as (select actividad_id, nif_emisor as nif, emisor, count(*) as n, string_agg(id::varchar, ',' order by id) as ids from asientos where nif_emisor is not null and emisor is not null group by all)
+select * from v where (actividad_id, nif) in (select (actividad_id, nif) from v group by actividad_id, nif having count(*) > 1)""")
 def _(l):
-    return entry.name_variants(l.asientos).select("nif", "emisor", "n", F.array_join(F.transform("ids", lambda x: x.cast("string")), ",").alias("ids"))
+    return entry.name_variants(l.asientos).select("actividad_id", "nif", "emisor", "n", F.array_join(F.transform("ids", lambda x: x.cast("string")), ",").alias("ids"))
 
 
 @query("box_override", f"""with o as (select codigo, case when length(codigo) % 2 = 0 then 'mejoras' when length(codigo) % 3 = 0 then ' ' when length(codigo) % 5 = 0 then 'nada' end as ob from cuentas)
@@ -116,12 +116,12 @@ def _(l):
     return entry.latest_audit(l.table("orders").select((F.col("o_orderkey") % 97).alias("asiento_id"), F.col("o_orderkey").alias("audit_id")))
 
 
-@query("field_texts", f"""select id, case when emisor is not null and numero_factura is not null then emisor || ' · ' || numero_factura when emisor is not null then emisor else 'f' || id || '.pdf' end as descripcion, abs(base_c + iva_c - total_c) > 2 or not coalesce(iva_tipo in (21, 10, 4, 0), true) as aviso, fecha, {DEC('-total_c')} as importe,
+@query("field_texts", f"""select id, case when emisor is not null and numero_factura is not null then emisor || ' · ' || numero_factura when emisor is not null then emisor else 'f' || id || '.pdf' end as descripcion, (case when abs(base_c + iva_c - total_c) > 2 then 1 else 0 end) + (case when id % 9 = 0 then 1 else 0 end) as avisos, fecha, {DEC('-total_c')} as importe,
 case when id % 3 = 0 then 800 when id % 50 >= 40 then 750 when id % 50 > 0 then 350 else 50 end as conf_m from asientos""")
 def _(l):
     i = F.col("id")
-    w = entry.warnings(F.col("base_c"), F.col("iva_c"), F.col("total_c"), F.col("iva_tipo"), F.col("total_c"))
-    return l.asientos.select("id", entry.description(F.col("emisor"), F.col("numero_factura"), F.concat(F.lit("f"), i.cast("string"), F.lit(".pdf"))).alias("descripcion"), (F.size(w) == 1).alias("aviso"),
+    w = entry.warnings(F.col("base_c"), F.col("iva_c"), F.col("total_c"), F.when(i % 9 == 0, 17).otherwise(F.col("iva_tipo")))
+    return l.asientos.select("id", entry.description(F.col("emisor"), F.col("numero_factura"), F.concat(F.lit("f"), i.cast("string"), F.lit(".pdf"))).alias("descripcion"), F.size(w).alias("avisos"),
                              entry.iso_date(F.concat(F.date_format("fecha", "yyyy-MM-dd"), F.lit("T00:00")))["fecha"].alias("fecha"), entry.decimals(-F.col("total_c")).alias("importe"),
                              entry.ocr_confidence(F.when(i % 3 == 0, "modelo").otherwise("rapid"), (i % 50).cast("int")).alias("conf_m"))
 

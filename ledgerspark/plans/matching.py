@@ -85,6 +85,29 @@ def _(l):
     return matching.perceptual_pairs(_sign_bits(l), most=18, bands=19)
 
 
+#: Picture hashes: of four entries in a row three are near the first, by their first hexadecimal digits; every seventh hash is the one of an entry far away.
+PICTURES = """p as (select id, case when id % 7 = 0 then sha256('copia ' || (id % 1000)) else repeat('f', (id % 4)::int) || substr(sha256((id // 4)::varchar), (id % 4 + 1)::int) end as h, case when id % 7 = 0 then 'c' || (id % 1000) else (id // 4)::varchar end as g from asientos),
+d as (select a.id, b.id as otro_id, (select sum(bit_count(xor(('0x' || substr(a.h, i, 8))::bigint, ('0x' || substr(b.h, i, 8))::bigint))) from (values (1), (9), (17), (25), (33), (41), (49), (57)) t(i)) as bits from p a join p b on a.g = b.g and b.id < a.id),
+im as (select id, min(otro_id) as otro_id from d where bits <= 10 group by id)"""
+
+
+def _pictures(l):
+    i = F.col("id")
+    n = (i % 4).cast("int")
+    near = F.concat(F.repeat(F.lit("f"), n), F.substring(F.sha2(F.floor(i / 4).cast("string"), 256), n + 1, F.lit(64)))
+    return l.asientos.select("id", F.when(i % 7 == 0, F.sha2(F.concat(F.lit("copia "), (i % 1000).cast("string")), 256)).otherwise(near).alias("h"))
+
+
+@query("dup_pictures", f"with {PICTURES} select * from im")
+def _(l):
+    return matching.picture_duplicates(_pictures(l))
+
+
+@query("dup_cascade_pictures", f"""with {K}, {HITS}, {PICTURES} select id, nivel, otro_id, motivo from c union all select id, 3, otro_id, 'imagen parecida' from im where id not in (select id from c)""")
+def _(l):
+    return matching.cascade(l.asientos, matching.picture_duplicates(_pictures(l)))
+
+
 EDGES = """e as (select id as edge_id, case when id % 10 = 0 then 'otro' else 'documento' end as origen_tipo, case when id % 101 = 0 then -id else id end as origen_id, 'factura' as destino_tipo,
 case when id % 103 = 0 then -factura_id - 1 else factura_id end as destino_id, case when id % 5 = 0 then 'continuacion' when id % 7 = 0 then 'conflicto' else 'evidencia' end as tipo from asientos)"""
 
@@ -162,10 +185,10 @@ def _(l):
     return matching.apply_scan(a, matching.invoice_pairs(a.withColumn("factura_id", F.col("id"))))
 
 
-@query("canonical_names", f"""with {K}, d as (select distinct nif, emisor, {CLEAN} as limpio from k where nif is not null and emisor is not null),
-g as (select nif, limpio, count(*) as n from d group by all), o as (select d.*, g.n, row_number() over (partition by d.nif order by g.n desc, d.limpio, length(regexp_replace(emisor, '[^\\p{{Ll}}]', '', 'g')) desc, length(emisor), emisor) as r,
-count(*) over (partition by d.nif) as n_formas from d join g on d.nif = g.nif and d.limpio = g.limpio)
-select nif, emisor as canonico, n_formas from o where r = 1 and n_formas > 1""")
+@query("canonical_names", f"""with {K}, d as (select distinct actividad_id, nif, emisor, {CLEAN} as limpio from k where nif is not null and emisor is not null),
+g as (select actividad_id, nif, limpio, count(*) as n from d group by all), o as (select d.*, g.n, row_number() over (partition by d.actividad_id, d.nif order by g.n desc, d.limpio, length(regexp_replace(emisor, '[^\\p{{Ll}}]', '', 'g')) desc, length(emisor), emisor) as r,
+count(*) over (partition by d.actividad_id, d.nif) as n_formas from d join g on d.actividad_id = g.actividad_id and d.nif = g.nif and d.limpio = g.limpio)
+select actividad_id, nif, emisor as canonico, n_formas from o where r = 1 and n_formas > 1""")
 def _(l):
     return matching.canonical_names(l.asientos)
 
@@ -335,8 +358,14 @@ def _(l):
     return rules.upsert_accounts(l.cuentas, mine)
 
 
-@query("slug_codes", """with n as (select distinct p_name as nombre from part), b as (select nombre, 'CI.GAS.' || substr(regexp_replace(upper(nombre), '[^A-Z0-9]+', '', 'g'), 1, 4) as b from n), r as (select *, row_number() over (partition by b order by nombre) as r from b)
-select nombre, case when r = 1 then b else b || r::varchar end as codigo from r""", "")
+@query("slug_codes", """with recursive n as (select distinct p_name as nombre from part), b as (select nombre, 'CI.GAS.' || substr(regexp_replace(upper(nombre), '[^A-Z0-9]+', '', 'g'), 1, 4) as b from n),
+e as (select distinct b as codigo from b where ascii(substr(b, 9, 1)) % 3 = 0 union select distinct b || '3' from b where ascii(substr(b, 9, 1)) % 3 <> 2),
+w as (select *, row_number() over (partition by b order by nombre) as r from b), m as (select b, max(r) + 2 as k from w group by b),
+f as (select b, n, case when n = 1 then b else b || n end as codigo from m, unnest(range(1, k + 1)) t(n)), g as (select *, row_number() over (partition by b order by n) as r from f where codigo not in (select codigo from e))
+select w.nombre, g.codigo from w join g on w.b = g.b and w.r = g.r""", "")
 def _(l):
     names = l.table("part").select(F.col("p_name").alias("nombre")).distinct().withColumn("prefijo", F.lit("CI.GAS"))
-    return rules.new_codes(names, l.spark.createDataFrame([], "codigo string"), size=4)
+    base = names.select(F.concat(F.lit("CI.GAS."), F.substring(rules.slug(F.col("nombre")), 1, 4)).alias("b")).distinct()
+    c = F.ascii(F.substring("b", 9, 1)) % 3
+    existing = base.where(c == 0).select(F.col("b").alias("codigo")).union(base.where(c != 2).select(F.concat("b", F.lit("3"))))
+    return rules.new_codes(names, existing, size=4)

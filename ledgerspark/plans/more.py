@@ -10,10 +10,10 @@ from .matching import CLEAN, K
 from .registry import query
 
 
-@query("name_sync", f"""with {K}, d as (select distinct nif, emisor, {CLEAN} as limpio from k where nif is not null and emisor is not null),
-g as (select nif, limpio, count(*) as n from d group by all), o as (select d.*, g.n, row_number() over (partition by d.nif order by g.n desc, d.limpio, length(regexp_replace(emisor, '[^\\p{{Ll}}]', '', 'g')) desc, length(emisor), emisor) as r,
-count(*) over (partition by d.nif) as n_formas from d join g on d.nif = g.nif and d.limpio = g.limpio), c as (select nif, emisor as canonico, limpio as cl from o where r = 1 and n_formas > 1),
-j as (select id, emisor, canonico, jaro_winkler_similarity({CLEAN}, cl) as jw from k join c on k.nif = c.nif where emisor is not null and emisor <> canonico)
+@query("name_sync", f"""with {K}, d as (select distinct actividad_id, nif, emisor, {CLEAN} as limpio from k where nif is not null and emisor is not null),
+g as (select actividad_id, nif, limpio, count(*) as n from d group by all), o as (select d.*, g.n, row_number() over (partition by d.actividad_id, d.nif order by g.n desc, d.limpio, length(regexp_replace(emisor, '[^\\p{{Ll}}]', '', 'g')) desc, length(emisor), emisor) as r,
+count(*) over (partition by d.actividad_id, d.nif) as n_formas from d join g on d.actividad_id = g.actividad_id and d.nif = g.nif and d.limpio = g.limpio), c as (select actividad_id, nif, emisor as canonico, limpio as cl from o where r = 1 and n_formas > 1),
+j as (select id, emisor, canonico, jaro_winkler_similarity({CLEAN}, cl) as jw from k join c on k.actividad_id = c.actividad_id and k.nif = c.nif where emisor is not null and emisor <> canonico)
 select id, emisor as antes, canonico as despues from j where jw >= 0.70""")
 def _(l):
     return matching.sync_names(l.asientos)

@@ -1,11 +1,13 @@
 """Reports, matching, rules and extraction on small facts, and plans."""
 
 import datetime
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from ledgerspark import schema
+from ledgerspark.operators import entry as entries_of
 from ledgerspark.operators import evals, extract, matching, reports, rules
 from ledgerspark.sources import io
 
@@ -198,3 +200,57 @@ def test_line_items_in_columns_and_blocks(spark):
                    (2, 1, "10110884", "TUBO RIGIDO 1M", 241, "bloque"), (2, 2, "10539431", "CODO 40MM", 22, "bloque")]
     rates = items.block_prices(items.kinds(docs.where("doc_id = 2"))).collect()
     assert {r.iva_tipo for r in rates} == {21}
+
+
+def test_new_codes_are_unique(spark):
+    names = spark.createDataFrame([(n, "CI.GAS") for n in ("Piso", "PISO", "Piso 2", "piso  2", "Otro")], "nombre string, prefijo string")
+    for existing in ([], ["CI.GAS.PISO2"], ["CI.GAS.PISO", "CI.GAS.PISO3", "CI.GAS.PISO22"]):
+        got = [r.codigo for r in rules.new_codes(names, spark.createDataFrame([(c,) for c in existing], "codigo string")).collect()]
+        assert len(got) == 5 and len(set(got) | set(existing)) == 5 + len(existing)
+    one = rules.new_codes(spark.createDataFrame([("Piso 2", "CI.GAS")], "nombre string, prefijo string"), spark.createDataFrame([("CI.GAS.PISO2",)], "codigo string"))
+    assert one.first().codigo == "CI.GAS.PISO22"
+
+
+def test_names_stay_in_their_case_file(spark):
+    rows = spark.createDataFrame([(1, 1, "B1", "ACME"), (2, 1, "B1", "Acme"), (3, 2, "B1", "Acme Norte"), (4, 2, "B1", "ACME NORTE")], "id long, actividad_id long, nif_emisor string, emisor string")
+    got = {r.actividad_id: r.canonico for r in matching.canonical_names(rows).collect()}
+    assert got == {1: "Acme", 2: "Acme Norte"}
+    known = entries_of.known_spelling(rows.select("id", "actividad_id", F.col("nif_emisor").alias("nif"), "emisor"), matching.canonical_names(rows).where("actividad_id = 1"))
+    assert {r.id: r.emisor for r in known.collect()} == {1: "Acme", 2: "Acme", 3: "Acme Norte", 4: "ACME NORTE"}
+
+
+def test_two_warnings(spark):
+    w = spark.range(1).select(entries_of.warnings(F.lit(100), F.lit(21), F.lit(200), F.lit(17)).alias("a"), entries_of.warnings(F.lit(100), F.lit(21), F.lit(121), F.lit(21)).alias("b"), entries_of.warnings(F.lit(None).cast("long"), F.lit(21), F.lit(121), F.lit(None).cast("int")).alias("c")).first()
+    assert len(w.a) == 2 and "1.21" in w.a[0] and "17" in w.a[1] and w.b == w.c == []
+
+
+def test_natural_order_of_long_numbers(spark):
+    keys = ["a9", "a10", "a999999999999", "a9999999999999", "a12345678901234567890", "b1", "á010x", "a10y"]
+    got = [r.k for r in spark.createDataFrame([(k,) for k in reversed(keys)], "k string").orderBy(reports.natural_key(F.col("k")), "k").collect()]
+    assert got == ["a9", "a10", "á010x", "a10y", "a999999999999", "a9999999999999", "a12345678901234567890", "b1"]
+
+
+def test_near_pictures_by_brute_force(spark):
+    rng = random.Random(3)
+    hashes = [rng.getrandbits(256) for _ in range(40)] + [0, 2**256 - 1]
+    for h in list(hashes):
+        for bits in (1, 4, 9, 10, 11):
+            x = h
+            for b in rng.sample(range(256), bits):
+                x ^= 1 << b
+            hashes.append(x)
+    hashes += [hashes[0]] * 5
+    rng.shuffle(hashes)
+    rows = [(i, f"{h:064x}") for i, h in enumerate(hashes)]
+    df = spark.createDataFrame(rows + [(900, None), (901, "zz"), (902, "f" * 63)], "id long, h string").repartition(3)
+    want = {}
+    for i, x in enumerate(hashes):
+        near = [j for j in range(i) if (x ^ hashes[j]).bit_count() <= 10]
+        if near:
+            want[i] = min(near)
+    assert {r.id: r.otro_id for r in matching.picture_duplicates(df).collect()} == want
+    one = {h: min(j for j, y in enumerate(hashes) if y == h) for h in hashes}
+    pairs = {(min(a, b), max(a, b)): (x ^ y).bit_count() for x, a in one.items() for y, b in one.items() if x != y and (x ^ y).bit_count() <= 10}
+    got = matching.picture_pairs(df).collect()
+    assert {(r.a, r.b): r.distancia for r in got} == pairs and len(got) == len(pairs)
+    assert "NestedLoop" not in matching.picture_pairs(df)._jdf.queryExecution().executedPlan().toString()
