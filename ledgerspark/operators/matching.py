@@ -371,41 +371,101 @@ def totals_compatible(a: Column, b: Column) -> Column:
 ER_SCHEMA = "doc_id long, factura_id long, relacion string, estado_er string"
 
 
+def in_order(rows: pd.DataFrame) -> pd.DataFrame:
+    """The step itself, document after document: joins the first invoice of its supplier with a compatible total, those not in conflict
+    first; with only incompatible ones it opens an invoice and all are in conflict; else it opens one."""
+    invoices: list[dict] = []
+    out = []
+    for r in rows.sort_values("id").to_dict("records"):
+        blank = lambda x: x is None or x != x
+        mine = [i for i in invoices if (i["nif"] == r["nif"] if not blank(i["nif"]) and not blank(r["nif"]) else i["emisor"] == r["emisor_norm"])]
+        fits = [i for i in mine if blank(i["total"]) or blank(r["total_c"]) or abs(i["total"] - r["total_c"]) <= schema.HEADER_TOLERANCE]
+        fits.sort(key=lambda i: (i["estado"] == "conflicto", i["id"]))
+        if fits:
+            hit = fits[0]
+            for k, c in (("nif", "nif"), ("total", "total_c")):
+                if blank(hit[k]):
+                    hit[k] = r[c]
+            out.append((r["id"], hit, "continuacion" if (r["pagina"] or 1) > 1 else "evidencia"))
+            continue
+        new = {"id": r["id"], "nif": r["nif"], "emisor": r["emisor_norm"], "total": r["total_c"], "estado": "propuesta"}
+        if mine:
+            new["estado"] = "conflicto"
+            for i in mine:
+                i["estado"] = "conflicto"
+        invoices.append(new)
+        out.append((r["id"], new, "evidencia"))
+    return pd.DataFrame([(d, i["id"], k, i["estado"]) for d, i, k in out], columns=["doc_id", "factura_id", "relacion", "estado_er"])
+
+
+
+def suppliers(docs: DataFrame) -> DataFrame:
+    """docs with `clave`: one supplier's documents of a number, where every two of them are of one supplier; null where that isn't so.
+
+    Two documents are of one supplier if their ids are equal, or, where one has none, their issuer keys. A key is the id where no document
+    without id has one of its issuers; the issuer where none of its documents has an id, or all have the same or none and that id has no other issuer.
+    """
+    n = ["actividad_id", "numero"]
+    e = F.coalesce("emisor_norm", F.lit(""))
+    rows = docs.withColumn("_e", e)
+    issuers = rows.groupBy(*n, "_e").agg(F.count_if(F.col("nif").isNull()).alias("sin"), F.min("nif").alias("n1"), F.max("nif").alias("n2"))
+    pairs = rows.where("nif is not null").select(*n, "nif", "_e").distinct().join(issuers, [*n, "_e"])
+    ids = pairs.groupBy(*n, "nif").agg(F.max("sin").alias("sueltos"), F.count("*").alias("emisores"), F.max(F.when(F.col("n1") == F.col("n2"), 0).otherwise(1)).alias("otros"))
+    apart = F.col("sueltos") == 0
+    alone = (F.col("emisores") == 1) & (F.col("otros") == 0)
+    by_id = ids.select(*n, "nif", apart.alias("apart"), alone.alias("alone"))
+    # issuers of documents without id: free of ids, or with the one id that is theirs alone
+    by_issuer = issuers.join(by_id.select(*n, F.col("nif").alias("n1"), F.col("alone").alias("suyo")), [*n, "n1"], "left").select(*n, "_e", (F.col("n1").isNull() | F.coalesce("suyo", F.lit(False))).alias("fine"))
+    j = rows.join(by_id, [*n, "nif"], "left").join(by_issuer, [*n, "_e"])
+    key = F.when(F.col("nif").isNotNull() & F.col("apart"), F.concat(F.lit("n"), "nif")).when(F.coalesce("alone", F.col("nif").isNull()) & F.col("fine"), F.concat(F.lit("e"), "_e"))
+    return j.select(*docs.columns, key.alias("clave"))
+
+
+def total_centres(totals: DataFrame) -> DataFrame:
+    """(clave, total_c, centro) for (clave, total_c, primero): the total of the invoice that a total's documents join.
+
+    In order of `primero` a total joins the first earlier centre within the tolerance, else becomes one. Each round makes centres of
+    the totals that come first among the open ones around them and closes all around those, so rounds are few, and a supplier's totals are spread over tasks.
+    """
+    around = F.explode(F.sequence(F.lit(-schema.HEADER_TOLERANCE), F.lit(schema.HEADER_TOLERANCE)))
+    near = lambda df, name: df.select("clave", (F.col("total_c") + F.col("d")).alias("total_c"), F.col("primero").alias(name), F.col("total_c").alias("de"))
+    left, centres = checkpoint(totals.select("clave", "total_c", "primero")), None
+    while left.limit(1).count():
+        lowest = near(left.withColumn("d", around), "p").groupBy("clave", "total_c").agg(F.min("p").alias("p"))
+        new = checkpoint(left.join(lowest, ["clave", "total_c"]).where("p = primero").select("clave", "total_c", "primero"))
+        centres = new if centres is None else checkpoint(centres.union(new))
+        left = checkpoint(left.join(near(new.withColumn("d", around), "p").select("clave", "total_c").distinct(), ["clave", "total_c"], "left_anti"))
+    if centres is None:
+        return totals.select("clave", "total_c", F.col("total_c").alias("centro"))
+    best = near(centres.withColumn("d", around), "p").groupBy("clave", "total_c").agg(F.min_by("de", "p").alias("centro"))
+    return totals.select("clave", "total_c").join(best, ["clave", "total_c"])
+
+
 def cluster(docs: DataFrame) -> DataFrame:
-    """(doc_id, factura_id, relacion, estado_er) in order of arrival (id) within a case file's number.
+    """(doc_id, factura_id, relacion, estado_er) as `in_order` gives them in order of arrival (id) within a case file's number.
+
+    docs has (id, actividad_id, numero, nif, emisor_norm, total_c, pagina). Documents without number always open an invoice.
 
-    docs has (id, actividad_id, numero, nif, emisor_norm, total_c, pagina). A document joins the first invoice of its number and
-    issuer with a compatible total, those not in conflict first; with only incompatible ones it opens an invoice and all are in
-    conflict; else it opens one. Documents without number always open one and need no group. The step depends on order, so a
-    number's documents are worked off one after the other; a number has few documents, and its state is its invoices only.
+    Where all documents of a number and supplier are of one supplier with each other (`suppliers`), nothing is worked off in order: documents of one total
+    share an invoice, invoices are the centres of totals, those without total join the supplier's first invoice, and more than one are in conflict. So a
+    placeholder number of millions of documents makes joins and aggregations by total. The others, where a document without id stands between ids,
+    depend on order in more than totals; they are worked off by number, one after the other.
     """
-    def step(rows: pd.DataFrame) -> pd.DataFrame:
-        invoices: list[dict] = []
-        out = []
-        for r in rows.sort_values("id").to_dict("records"):
-            blank = lambda x: x is None or x != x
-            mine = [i for i in invoices if (i["nif"] == r["nif"] if not blank(i["nif"]) and not blank(r["nif"]) else i["emisor"] == r["emisor_norm"])]
-            fits = [i for i in mine if blank(i["total"]) or blank(r["total_c"]) or abs(i["total"] - r["total_c"]) <= schema.HEADER_TOLERANCE]
-            fits.sort(key=lambda i: (i["estado"] == "conflicto", i["id"]))
-            if fits:
-                hit = fits[0]
-                for k, c in (("nif", "nif"), ("total", "total_c")):
-                    if blank(hit[k]):
-                        hit[k] = r[c]
-                out.append((r["id"], hit, "continuacion" if (r["pagina"] or 1) > 1 else "evidencia"))
-                continue
-            new = {"id": r["id"], "nif": r["nif"], "emisor": r["emisor_norm"], "total": r["total_c"], "estado": "propuesta"}
-            if mine:
-                new["estado"] = "conflicto"
-                for i in mine:
-                    i["estado"] = "conflicto"
-            invoices.append(new)
-            out.append((r["id"], new, "evidencia"))
-        return pd.DataFrame([(d, i["id"], k, i["estado"]) for d, i, k in out], columns=["doc_id", "factura_id", "relacion", "estado_er"])
-
-    numbered = docs.where("numero is not null").groupBy("actividad_id", "numero").applyInPandas(step, ER_SCHEMA)
+    rows = checkpoint(suppliers(docs.where("numero is not null")).withColumn("clave", F.when(F.col("clave").isNotNull(), F.struct("actividad_id", "numero", "clave"))))
+    plain = rows.where("clave is not null")
+    mixed = rows.where("clave is null").drop("clave").groupBy("actividad_id", "numero").applyInPandas(in_order, ER_SCHEMA)
+    totals = checkpoint(plain.where("total_c is not null").groupBy("clave", "total_c").agg(F.min("id").alias("primero")))
+    joined = checkpoint(total_centres(totals))
+    opened = joined.where("total_c = centro").join(totals, ["clave", "total_c"]).select("clave", "centro", "primero")
+    first = plain.groupBy("clave").agg(F.min("id").alias("antes")).join(opened.groupBy("clave").agg(F.count("*").alias("n"), F.min("primero").alias("uno")), "clave", "left")
+    first = checkpoint(first)
+    of_total = joined.join(opened, ["clave", "centro"]).join(first.select("clave", "antes", "uno"), "clave").select("clave", "total_c", F.when(F.col("primero") == F.col("uno"), F.col("antes")).otherwise(F.col("primero")).alias("f_"))
+    done = plain.join(first.select("clave", "antes", "n"), "clave").join(of_total, ["clave", "total_c"], "left")
+    invoice = F.coalesce("f_", "antes")
+    done = done.select(F.col("id").alias("doc_id"), invoice.alias("factura_id"), F.when((invoice != F.col("id")) & (F.coalesce("pagina", F.lit(1)) > 1), "continuacion").otherwise("evidencia").alias("relacion"),
+                       F.when(F.coalesce("n", F.lit(1)) > 1, "conflicto").otherwise("propuesta").alias("estado_er"))
     alone = docs.where("numero is null").select(F.col("id").alias("doc_id"), F.col("id").alias("factura_id"), F.lit("evidencia").alias("relacion"), F.lit("propuesta").alias("estado_er"))
-    return numbered.unionByName(alone)
+    return mixed.unionByName(done).unionByName(alone)
 
 
 def cluster_compatible(entries: DataFrame) -> DataFrame:

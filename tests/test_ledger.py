@@ -254,3 +254,40 @@ def test_near_pictures_by_brute_force(spark):
     got = matching.picture_pairs(df).collect()
     assert {(r.a, r.b): r.distancia for r in got} == pairs and len(got) == len(pairs)
     assert "NestedLoop" not in matching.picture_pairs(df)._jdf.queryExecution().executedPlan().toString()
+
+
+ER = "id long, actividad_id long, numero string, nif string, emisor_norm string, total_c long, pagina int"
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_clusters_equal_the_step_in_order(spark, seed):
+    """Suppliers with one id, none, or both; issuers with several ids; close totals; totals that are missing, also at first."""
+    rng = random.Random(seed)
+    suppliers = [("A", "X"), ("A", "Y"), ("B", "X2"), (None, "X2"), (None, "Z"), ("C", "W"), (None, "W"), ("D", "W") if seed % 2 else ("C", "W"), (None, None), ("E", None)]
+    rows = [(i, 1 + i % 2, rng.choice(["S/N", "7", None]), *rng.choice(suppliers), rng.choice([None, *range(1000, 1014), 5000, 9000]), rng.choice([1, 2, None])) for i in range(300)]
+    df = spark.createDataFrame(rows, ER).repartition(3)
+    want = df.where("numero is not null").groupBy("actividad_id", "numero").applyInPandas(matching.in_order, matching.ER_SCHEMA).collect()
+    want += [(r[0], r[0], "evidencia", "propuesta") for r in rows if r[2] is None]
+    assert sorted(map(tuple, matching.cluster(df).collect())) == sorted(map(tuple, want))
+    plain = matching.suppliers(df.where("numero is not null"))
+    assert plain.where("clave is not null").count() > 100
+    if seed % 2:
+        assert {r.emisor_norm for r in plain.where("clave is null").collect()} == {"W"}
+    else:
+        assert plain.where("clave is null").count() == 0
+
+
+def test_a_placeholder_number_is_spread_over_tasks(spark):
+    """100,000 documents of one number and supplier with 40,000 totals: no task of the grouped step, same result as by hand."""
+    df = spark.range(100_000).select("id", F.lit(1).cast("long").alias("actividad_id"), F.lit("SN").alias("numero"), F.lit("A").alias("nif"), F.lit("X").alias("emisor_norm"), (F.col("id") * 7919 % 40_000).alias("total_c"), F.lit(1).alias("pagina"))
+    got = matching.cluster(df)
+    centre, want = {}, {}
+    for i in range(40_000):
+        t = i * 7919 % 40_000
+        near = [centre[x] for x in range(t - 2, t + 3) if x in centre]
+        if not near:
+            centre[t] = i
+        want[t] = min(near, default=i)
+    by = {r.doc_id: r.factura_id for r in got.collect()}
+    assert len(by) == 100_000 and all(by[i] == want[i * 7919 % 40_000] for i in range(100_000))
+    assert matching.suppliers(df).where("clave is null").count() == 0
