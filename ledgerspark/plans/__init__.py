@@ -2,7 +2,7 @@
 
 
 def queries():
-    from . import edits, entry, matching, more, registry, reports, scalars  # noqa: F401  they register themselves
+    from . import edits, entry, ingest, matching, more, registry, reports, scalars  # noqa: F401  they register themselves
     return dict(registry.QUERIES)
 
 

@@ -7,6 +7,7 @@ import tempfile
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _shipped: set[str] = set()
 
@@ -28,12 +29,31 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(sc.applicationId)
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """df written to the folder that spark.checkpoint.dir names, and read from there; a session on one machine without one gets a folder of its own."""
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names, one level down; a session on one machine without it gets a folder of its own."""
+    sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         shared = sc.getConf().get("spark.checkpoint.dir")
         if not shared and not sc.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="checkpoint"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """df written to the shared folder, and read from there."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def numbered(df: DataFrame, name: str, *order: str) -> DataFrame:
+    """df with a column of consecutive numbers from 1 in the given order: sorted by ranges, of which the driver sees one count each."""
+    spark = df.sparkSession
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    ranged = checkpoint(df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id()))
+    shifts, before = [], 0
+    for r in sorted(ranged.groupBy("_part").agg(F.count("*").alias("n"), F.min("_at").alias("first")).collect(), key=lambda r: r["_part"]):
+        shifts.append((r["_part"], before + 1 - r["first"]))
+        before += r["n"]
+    table = F.broadcast(spark.createDataFrame(shifts, "_part int, _shift long"))
+    return ranged.join(table, "_part").withColumn(name, F.col("_at") + F.col("_shift")).drop("_part", "_at", "_shift")
