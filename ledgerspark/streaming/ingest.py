@@ -24,6 +24,8 @@ def daily_counts(events: DataFrame, delay: str = "1 hour") -> DataFrame:
             .select(F.col("w.start").alias("dia"), "event_type", "n", "v"))
 
 
+#: Stands for the case file of documents without case file or number.
+LOOSE = -1
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -52,6 +54,10 @@ class SupplierInvoices(StatefulProcessor):
         self.first = handle.getValueState("primera", "factura long, con_total boolean, n long", ttlDurationMs=self.ttl)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        if key[0] == LOOSE:
+            for batch in rows:
+                yield pd.DataFrame({"doc_id": batch["doc_id"], "factura_id": batch["doc_id"], "conflicto": False})
+            return
         first, valued, n = self.first.get() if self.first.exists() else (None, False, 0)
         out = []
         for batch in rows:
@@ -87,10 +93,11 @@ def resolve(docs: DataFrame, keep: str | None = None) -> DataFrame:
     """
     keyed_state(docs.sparkSession)
     who = F.coalesce(*[F.col(c).cast("string") for c in ("nif", "emisor_norm") if c in docs.columns], F.lit(""))
-    known = "actividad_id is not null and numero is not null"
-    kept = docs.where(known).withColumn("quien", who).groupBy("actividad_id", "numero", "quien").transformWithStateInPandas(
+    known = F.col("actividad_id").isNotNull() & F.col("numero").isNotNull()
+    # those without are dealt by id, and leave no state
+    rows = docs.withColumns({"_a": F.when(known, F.col("actividad_id")).otherwise(LOOSE), "_n": F.when(known, F.col("numero")).otherwise(""), "quien": F.when(known, who).otherwise(F.pmod("doc_id", F.lit(1024)).cast("string"))})
+    return rows.groupBy("_a", "_n", "quien").transformWithStateInPandas(
         SupplierInvoices(_ttl(keep)), "doc_id long, factura_id long, conflicto boolean", "Append", "ProcessingTime" if keep else "None")
-    return kept.union(docs.where(f"not ({known})").select(F.col("doc_id").cast("long"), F.col("doc_id").cast("long"), F.lit(False)))
 
 
 class FirstOfKey(StatefulProcessor):
