@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import money
 from .reports import live, low_confidence
 
 
@@ -84,3 +85,24 @@ def visible_totals(entries: DataFrame, f: Facets) -> DataFrame:
     s = lambda cond, c: F.coalesce(F.sum(F.when(cond, F.col(c))), F.lit(0))
     return rows.groupBy("actividad_id", "ejercicio").agg(F.count_if(shown).alias("n_visibles"), s(shown & single, "total_c").alias("total_c"), s(shown & single, "base_c").alias("base_c"),
                                                          s(shown & single, "iva_c").alias("iva_c"), s(single, "total_c").alias("libro_c"))
+
+
+def range_insights(entries: DataFrame, ranges: DataFrame, k: int = 6) -> dict[str, DataFrame]:
+    """Insights of every named range (rango, desde, hasta, both inclusive) and case file at once: kpis, meses, proveedores (the k largest), iva.
+
+    Entries become daily sums first; a range becomes its days, and both meet by an equi-join on the date, so no range is compared with
+    entries outside it and a new range reads nothing anew. Undated entries are in no range; a range without entries has no rows.
+    """
+    days = ranges.select("rango", F.explode(F.sequence("desde", "hasta")).alias("fecha")).distinct()
+    rows = entries.where(live() & F.col("fecha").isNotNull())
+    kind = lambda name, alias: F.coalesce(F.sum(F.when(F.col("tipo") == name, F.col("total_c"))), F.lit(0)).alias(alias)
+    add = lambda *cs: [F.sum(c).alias(c) for c in cs]
+    daily = rows.groupBy("actividad_id", "fecha").agg(F.count("*").alias("n"), kind("gasto", "gasto_c"), kind("ingreso", "ingreso_c"), kind("mejora", "mejora_c")).join(days, "fecha")
+    kpis = daily.groupBy("rango", "actividad_id").agg(*add("n", "gasto_c", "ingreso_c", "mejora_c")).withColumn("resultado_c", F.col("ingreso_c") - F.col("gasto_c"))
+    months = daily.groupBy("rango", "actividad_id", F.year("fecha").alias("ano"), F.month("fecha").alias("mes")).agg(*add("gasto_c", "ingreso_c"))
+    key = F.coalesce(F.nullif(F.lower(F.trim("emisor")), F.lit("")), F.lit("sin emisor"))
+    bought = rows.where("tipo = 'gasto' and total_c > 0").groupBy("actividad_id", "fecha", key.alias("clave")).agg(*add("total_c")).join(days, "fecha").groupBy("rango", "actividad_id", "clave").agg(*add("total_c"))
+    top = bought.withColumn("puesto", F.row_number().over(Window.partitionBy("rango", "actividad_id").orderBy(F.col("total_c").desc(), "clave"))).where(F.col("puesto") <= k)
+    taxed = rows.where(F.col("tipo").isin("gasto", "mejora")).groupBy("actividad_id", "fecha", money.vat_bucket(F.col("iva_tipo")).alias("tramo")).agg(F.count("*").alias("n"), *add("base_c", "iva_c", "total_c"))
+    vat = taxed.join(days, "fecha").groupBy("rango", "actividad_id", "tramo").agg(*add("n", "base_c", "iva_c", "total_c"))
+    return {"kpis": kpis, "meses": months, "proveedores": top, "iva": vat}

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import money, nif, text
+from ..session import checkpoint
 
 FIELDS = ("emisor", "nif_emisor", "nif_receptor", "numero", "fecha", "base", "iva_cuota", "total")
 MONEY = ("base", "iva_cuota", "total")
@@ -71,17 +74,16 @@ def votes(first: DataFrame, second: DataFrame) -> DataFrame:
 
     The readings meet once, a row a document; only then do fields become rows."""
     told = "texto" in first.columns and "texto" in second.columns
-    keep = ["doc_id", *FIELDS, *(["texto"] if told else [])]
+    keep = ["doc_id", *FIELDS, *([money.all_amounts(F.coalesce("texto", F.lit(""))).alias("en_texto")] if told else [])]
     one, two = first.select(*keep).alias("x"), second.select(*keep).alias("y")
     met = one.join(two, F.col("x.doc_id") == F.col("y.doc_id"), "full_outer")
     of = lambda side, c: F.coalesce(F.col(f"{side}.{c}").cast("string"), F.lit(""))
-    both = F.concat_ws("\n", of("x", "texto"), of("y", "texto")) if told else None
-    here = lambda v: F.coalesce(F.array_contains(money.all_amounts(of("x", "texto")), money.parse_amount(v)) & F.array_contains(money.all_amounts(of("y", "texto")), money.parse_amount(v)), F.lit(False))
+    here = lambda v: F.coalesce(F.array_contains("x.en_texto", money.parse_amount(v)) & F.array_contains("y.en_texto", money.parse_amount(v)), F.lit(False))
 
     def field(c: str) -> Column:
         x, y = of("x", c), of("y", c)
         known = F.lit("")
-        if both is not None and c in MONEY:
+        if told and c in MONEY:
             known = F.when(here(x) & ~here(y), x).when(here(y) & ~here(x), y).otherwise("")
         return F.struct(F.lit(c).alias("campo"), x.alias("uno"), y.alias("dos"), known.alias("escrito"))
 
@@ -110,3 +112,51 @@ def recommendation(v: DataFrame) -> DataFrame:
 def wide(v: DataFrame) -> DataFrame:
     """Consensus of the critical fields, one row a document."""
     return v.groupBy("doc_id").pivot("campo", list(CRITICAL)).agg(F.max("consenso"))
+
+
+def field_in_text(field: Column, gold: Column, read: Column) -> Column:
+    """Whether a reader's raw text holds a gold field: ids and numbers without signs between their characters; dates (ISO) in any of five
+    spellings, amounts with a comma or a point, others as tokens. Null gold is not held, null text holds nothing."""
+    squeezed = F.contains(text.compact(read), text.compact(gold)) & (text.compact(gold) != "")
+    y, m, d = (F.get(F.split(gold, "-"), F.lit(i)) for i in range(3))
+    bare = lambda x: F.regexp_replace(x, "^0+(?=.)", "")
+    dates = [F.concat_ws("/", d, m, y), F.concat_ws("/", bare(d), bare(m), y), F.concat_ws("-", d, m, y), F.concat_ws(".", d, m, y), gold]
+    amounts = [F.replace(gold, F.lit("."), F.lit(",")), F.replace(gold, F.lit(","), F.lit("."))]
+    held = lambda spellings: reduce(lambda a, b: a | b, [text.token_in_text(x, read)["hit"] for x in spellings])
+    found = F.when(F.startswith(field, F.lit("nif_")) | (field == "numero"), squeezed).when(field == "fecha", held(dates)).when(field.isin(*MONEY), held(amounts)).otherwise(text.token_in_text(gold, read)["hit"])
+    return F.when(gold.isNull(), F.lit(False)).otherwise(F.coalesce(found, F.lit(False)))
+
+
+def raw_recall(gold: DataFrame, texts: DataFrame) -> DataFrame:
+    """(case_id, n, leidos, recall_m): how many of a case's gold fields (case_id, campo, valor) its raw text (case_id, text) holds. A case without text has none."""
+    j = gold.join(texts.select("case_id", "text"), "case_id", "left").withColumn("ok", field_in_text(F.col("campo"), F.col("valor"), F.col("text")))
+    out = j.groupBy("case_id").agg(F.count("*").alias("n"), F.count_if("ok").alias("leidos"))
+    return out.withColumn("recall_m", F.floor(F.col("leidos") * 1000 / F.col("n")).cast("bigint"))
+
+
+def engine_status(runs: DataFrame, known: tuple[str, ...]) -> DataFrame:
+    """(motor, disponible, motivo) of all known engines, by their runs (motor, estado, motivo): an engine without runs, or with none but unavailable ones, isn't there."""
+    names = runs.sparkSession.createDataFrame([(k,) for k in known], "motor string")
+    got = runs.groupBy(F.col("motor").alias("m")).agg(F.bool_or(F.col("estado") != "unavailable").alias("d"), F.min(F.when(F.col("estado") == "unavailable", F.col("motivo"))).alias("r"))
+    j = names.join(got, F.col("motor") == F.col("m"), "left")
+    ok = F.coalesce("d", F.lit(False))
+    return j.select("motor", ok.alias("disponible"), F.when(~ok, F.coalesce("r", F.lit("sin ejecuciones"))).alias("motivo"))
+
+
+#: Characters of a reading's text that its sheet shows.
+SHOWN = 2500
+
+
+def dual_sheets(first: DataFrame, second: DataFrame) -> dict[str, DataFrame]:
+    """The sheets of an audit of two readers, by name; both have (doc_id, the compared fields, texto, motor, ms).
+
+    Resumen: recommendation, counts, consensus of the critical fields, times. Campos: all votes. Discrepancias: those that aren't agreed on.
+    Textos_OCR: both readings, cut for show.
+    """
+    v = checkpoint(votes(first, second))
+    time = lambda df, name: df.select(F.col("doc_id").alias(f"{name}_d"), F.col("ms").alias(f"{name}_ms"), F.col("texto").isNotNull().alias(f"{name}_ok"))
+    top = recommendation(v).join(wide(v), "doc_id")
+    top = top.join(time(first, "uno"), F.col("doc_id") == F.col("uno_d"), "left").join(time(second, "dos"), F.col("doc_id") == F.col("dos_d"), "left").drop("uno_d", "dos_d")
+    read = first.select("doc_id", "motor", "ms", "texto").unionByName(second.select("doc_id", "motor", "ms", "texto"))
+    return {"Resumen": top, "Campos": v, "Discrepancias": v.where("estado != 'acuerdo'"),
+            "Textos_OCR": read.select("doc_id", "motor", "ms", F.length(F.coalesce("texto", F.lit(""))).alias("caracteres"), F.substring(F.coalesce("texto", F.lit("")), 1, SHOWN).alias("texto"))}

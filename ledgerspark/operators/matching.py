@@ -482,6 +482,11 @@ def enrich(invoices: DataFrame, docs: DataFrame, columns: list[str]) -> DataFram
     return j.select(*[F.coalesce(F.col(c), F.col(f"_{c}")).alias(c) if c in columns else F.col(c) for c in invoices.columns])
 
 
+def invoice_states(invoices: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(id, estado_er) of the wanted (id) invoices that exist; each once."""
+    return invoices.select("id", "estado_er").join(wanted.select("id").distinct(), "id", "left_semi")
+
+
 def orphan_edges(edges: DataFrame, documents: DataFrame, invoices: DataFrame) -> DataFrame:
     """Edges with an endpoint that doesn't exist. edges has (edge_id, origen_tipo, origen_id, destino_tipo, destino_id)."""
     ends = edges.select("edge_id", F.explode(F.array(F.struct(F.col("origen_tipo").alias("t"), F.col("origen_id").alias("i")), F.struct(F.col("destino_tipo").alias("t"), F.col("destino_id").alias("i")))).alias("e"))

@@ -151,13 +151,17 @@ def headline(entries: DataFrame) -> DataFrame:
                     .when(F.col("ultimo").isNotNull(), F.concat(F.lit("Hasta mes "), F.col("ultimo").cast("string"))).otherwise(F.lit("")).alias("frase"))
 
 
-def notices(entries: DataFrame) -> DataFrame:
-    """What a year's report has to say first: pending, duplicates, no income."""
-    k = kpis(entries)
-    return k.select(*SLICE, F.array_join(F.filter(F.array(
-        F.when(F.col("n_pendientes") > 0, F.concat(F.col("n_pendientes").cast("string"), F.lit(" por revisar"))),
-        F.when(F.col("ingresos_c") == 0, F.lit("sin ingresos")),
-        F.when(F.col("n_duplicados") > 0, F.concat(F.col("n_duplicados").cast("string"), F.lit(" duplicados")))), lambda x: x.isNotNull()), "; ").alias("aviso"))
+def notices(entries: DataFrame, conflicts: DataFrame | None = None, shown: int = 5) -> DataFrame:
+    """What a year's report has to say first: pending, no income, duplicates, invoices in conflict (factura_id), and the case file's undated entries by their first ids."""
+    k = kpis(entries, conflicts)
+    n = lambda c, one, many: F.when(F.col(c) == 1, F.lit(f"1 {one}")).when(F.col(c) > 1, F.concat(F.col(c).cast("string"), F.lit(f" {many}")))
+    told = [n("n_pendientes", "asiento por revisar", "asientos por revisar"), F.when(F.col("ingresos_c") <= 0, F.lit("ejercicio sin ingresos")), n("n_duplicados", "duplicado fuera de los totales", "duplicados fuera de los totales")]
+    if conflicts is not None:
+        told.append(n("n_conflictos", "conflicto de agrupación", "conflictos de agrupación"))
+    rest = F.col("sin") - shown
+    told.append(F.when(F.col("sin") > 0, F.concat(F.col("sin").cast("string"), F.lit(" sin fecha: "), "primeros", F.when(rest > 0, F.concat(F.lit(" y "), rest.cast("string"), F.lit(" más"))).otherwise(""))))
+    first = undated_summary(entries, shown).select("actividad_id", F.col("n").alias("sin"), F.col("ids").alias("primeros"))
+    return k.join(first, "actividad_id", "left").select(*SLICE, F.array_join(F.filter(F.array(*told), lambda x: x.isNotNull()), "; ").alias("aviso"))
 
 
 def undated(entries: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import evals, extract, matching, reports, rules
+from . import scalars
 from .matching import CLEAN, K
 from .registry import query
 
@@ -87,3 +88,52 @@ def _(l):
 def _(l):
     reads = l.lineas.select(F.col("asiento_id").alias("doc_id"), F.col("posicion").alias("orden"), F.col("iva_c").alias("hueco_c"))
     return extract.better_reading(reads)
+
+
+@query("raw_recall", """select id as case_id, 4::bigint as n, (case when id % 5 = 0 then 3 else 4 end)::bigint as leidos, (case when id % 5 = 0 then 750 else 1000 end)::bigint as recall_m
+from asientos where numero_factura is not null and fecha is not null and nif_emisor is not null and iva_tipo is not null and base_c + iva_c = total_c""")
+def _(l):
+    a, i = l.asientos, F.col("id")
+    f = lambda name, value: F.struct(F.lit(name).alias("campo"), value.alias("valor"))
+    fields = F.array(f("numero", F.concat("numero_factura", F.when(i % 5 == 0, "-97X").otherwise(""))), f("nif_emisor", F.lower("nif_emisor")), f("fecha", F.col("fecha").cast("string")), f("total", F.format_string("%d.%02d", F.floor(F.col("total_c") / 100).cast("bigint"), (F.col("total_c") % 100).cast("int"))))
+    texts = extract.render(a).select(i.alias("case_id"), F.col("texto").alias("text"))
+    gold = a.select(i.alias("case_id"), F.explode(fields).alias("f")).select("case_id", "f.*").join(texts.select("case_id"), "case_id", "left_semi")
+    return evals.raw_recall(gold, texts)
+
+
+@query("engine_status", """with r as (select 'm' || (id % 3) as motor, case when id % 3 = 2 or id % 7 = 0 then 'unavailable' else 'ok' end as estado, 'fallo ' || (id % 7) as motivo from asientos)
+select k.motor, coalesce(bool_or(estado <> 'unavailable'), false) as disponible, case when not coalesce(bool_or(estado <> 'unavailable'), false) then coalesce(min(motivo) filter (where estado = 'unavailable'), 'sin ejecuciones') end as motivo from (values ('m0'), ('m1'), ('m2'), ('m3')) k(motor) left join r on k.motor = r.motor group by 1""")
+def _(l):
+    i = F.col("id")
+    runs = l.asientos.select(F.concat(F.lit("m"), (i % 3).cast("string")).alias("motor"), F.when((i % 3 == 2) | (i % 7 == 0), "unavailable").otherwise("ok").alias("estado"), F.concat(F.lit("fallo "), (i % 7).cast("string")).alias("motivo"))
+    return evals.engine_status(runs, ("m0", "m1", "m2", "m3"))
+
+
+@query("invoice_states", "select distinct factura_id as id, case when factura_id % 9 = 0 then 'conflicto' else 'propuesta' end as estado_er from asientos where factura_id in (select factura_id from asientos where id % 4 = 0)")
+def _(l):
+    invoices = l.asientos.select(F.col("factura_id").alias("id"), F.when(F.col("factura_id") % 9 == 0, "conflicto").otherwise("propuesta").alias("estado_er")).distinct()
+    return matching.invoice_states(invoices, l.asientos.where("id % 4 = 0").select(F.col("factura_id").alias("id")))
+
+
+def _dual(l):
+    one, two = scalars._reads(l)
+    told = lambda df, motor: df.withColumns({"texto": F.when(F.col("doc_id") % 8 != 0, F.repeat(F.lit("texto "), (F.col("doc_id") % 900).cast("int"))), "motor": F.lit(motor), "ms": (F.col("doc_id") % 700).cast("int")})
+    return evals.dual_sheets(told(one, "vision"), told(two, "rapid"))
+
+
+@query("dual_summary", f"""with {scalars.VOTES}, w as (select doc_id, max(consenso) filter (where campo = 'nif_emisor') as nif_emisor, max(consenso) filter (where campo = 'numero') as numero, max(consenso) filter (where campo = 'fecha') as fecha, max(consenso) filter (where campo = 'total') as total,
+count(*) filter (where estado = 'acuerdo') as acuerdos, count(*) filter (where estado = 'conflicto') as conflictos, count(*) filter (where estado not in ('acuerdo', 'conflicto')) as huecos,
+case when bool_or(estado = 'conflicto' and campo in ('nif_emisor', 'numero', 'fecha', 'total')) then 'revisar' when bool_or(estado = 'conflicto' or (estado = 'vacio' and campo in ('nif_emisor', 'numero', 'fecha', 'total'))) then 'revisar_menor' else 'consenso' end as recomendacion from lc group by 1)
+select w.*, (doc_id % 700)::int as uno_ms, doc_id % 8 <> 0 as uno_ok, (doc_id % 700)::int as dos_ms, doc_id % 8 <> 0 as dos_ok from w""")
+def _(l):
+    return _dual(l)["Resumen"]
+
+
+@query("dual_differences", f"with {scalars.VOTES} select * from lc where estado <> 'acuerdo'")
+def _(l):
+    return _dual(l)["Discrepancias"]
+
+
+@query("dual_texts", """select id as doc_id, motor, (id % 700)::int as ms, case when id % 8 <> 0 then 6 * (id % 900) else 0 end::int as caracteres, case when id % 8 <> 0 then substr(repeat('texto ', (id % 900)::int), 1, 2500) else '' end as texto from asientos, (values ('vision'), ('rapid')) m(motor)""")
+def _(l):
+    return _dual(l)["Textos_OCR"]

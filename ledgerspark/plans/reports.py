@@ -136,10 +136,13 @@ def _(l):
     return reports.headline(l.asientos)
 
 
-@query("notices", f"""with k as ({KPIS}) select actividad_id, ejercicio, concat_ws('; ', case when n_pendientes > 0 then n_pendientes || ' por revisar' end, case when ingresos_c = 0 then 'sin ingresos' end,
-case when n_duplicados > 0 then n_duplicados || ' duplicados' end) as aviso from k""")
+@query("notices", f"""with k as ({KPIS}), c as (select actividad_id, ejercicio, count(distinct factura_id) as nc from asientos where ejercicio is not null and factura_id % 9 = 0 group by all),
+u as (select actividad_id, count(*) as sin, string_agg(id::varchar, ',' order by id) filter (where r <= 5) as ids from (select *, row_number() over (partition by actividad_id order by id) as r from asientos where {LIVE} and fecha is null) group by 1)
+select k.actividad_id, k.ejercicio, concat_ws('; ', case when n_pendientes = 1 then '1 asiento por revisar' when n_pendientes > 1 then n_pendientes || ' asientos por revisar' end, case when ingresos_c <= 0 then 'ejercicio sin ingresos' end,
+case when n_duplicados = 1 then '1 duplicado fuera de los totales' when n_duplicados > 1 then n_duplicados || ' duplicados fuera de los totales' end, case when nc = 1 then '1 conflicto de agrupación' when nc > 1 then nc || ' conflictos de agrupación' end,
+case when sin > 0 then sin || ' sin fecha: ' || ids || case when sin > 5 then ' y ' || (sin - 5) || ' más' else '' end end) as aviso from k left join c on k.actividad_id = c.actividad_id and k.ejercicio = c.ejercicio left join u on k.actividad_id = u.actividad_id""")
 def _(l):
-    return reports.notices(l.asientos)
+    return reports.notices(l.asientos, l.asientos.where("factura_id % 9 = 0"))
 
 
 @query("undated_live", f"select id, actividad_id, emisor, total_c, estado from asientos where {LIVE} and fecha is null")
@@ -252,6 +255,45 @@ def _(l):
     return l.asientos.where(reports.live() & book.in_range("1998-01-01", "1998-03-31")).groupBy("actividad_id").agg(one("gasto", "gasto_c"), one("ingreso", "ingreso_c"), one("mejora", "mejora_c"))
 
 
+RANGES = """y as (select distinct ejercicio as y from asientos where ejercicio is not null), p as (select y || ' T' || q as rango, make_date(y, 3 * q - 2, 1) as desde, (make_date(y, 3 * q - 2, 1) + interval 3 month - interval 1 day)::date as hasta from y, (values (1), (2), (3), (4)) t(q)
+union all select y || ' año', make_date(y, 1, 1), make_date(y, 12, 31) from y union all select 'cruzado ' || y, make_date(y, 11, 15), make_date(y + 1, 2, 14) from y)"""
+
+
+def _presets(l):
+    """Quarters and years of the ledger, and ranges over two years."""
+    y = l.asientos.where("ejercicio is not null").select(F.col("ejercicio").cast("int").alias("y")).distinct()
+    text = F.col("y").cast("string")
+    quarters = [F.struct(F.concat(text, F.lit(f" T{q}")).alias("rango"), F.make_date("y", F.lit(3 * q - 2), F.lit(1)).alias("desde"), F.last_day(F.make_date("y", F.lit(3 * q), F.lit(1))).alias("hasta")) for q in range(1, 5)]
+    others = [F.struct(F.concat(text, F.lit(" año")).alias("rango"), F.make_date("y", F.lit(1), F.lit(1)).alias("desde"), F.make_date("y", F.lit(12), F.lit(31)).alias("hasta")),
+              F.struct(F.concat(F.lit("cruzado "), text).alias("rango"), F.make_date("y", F.lit(11), F.lit(15)).alias("desde"), F.make_date(F.col("y") + 1, F.lit(2), F.lit(14)).alias("hasta"))]
+    return y.select(F.explode(F.array(*quarters, *others)).alias("r")).select("r.*")
+
+
+IN_RANGE = f"r as (select rango, a.* from asientos a join p on fecha between desde and hasta where {LIVE})"
+
+
+@query("ranges_kpis", f"""with {RANGES}, {IN_RANGE} select rango, actividad_id, count(*) as n, {s("tipo = 'gasto'")} as gasto_c, {s("tipo = 'ingreso'")} as ingreso_c, {s("tipo = 'mejora'")} as mejora_c, {s("tipo = 'ingreso'")} - {s("tipo = 'gasto'")} as resultado_c from r group by all""")
+def _(l):
+    return book.range_insights(l.asientos, _presets(l))["kpis"]
+
+
+@query("ranges_months", f"""with {RANGES}, {IN_RANGE} select rango, actividad_id, year(fecha)::int as ano, month(fecha)::int as mes, {s("tipo = 'gasto'")} as gasto_c, {s("tipo = 'ingreso'")} as ingreso_c from r group by all""")
+def _(l):
+    return book.range_insights(l.asientos, _presets(l))["meses"]
+
+
+@query("ranges_suppliers", f"""with {RANGES}, {IN_RANGE}, g as (select rango, actividad_id, coalesce(nullif(lower(trim(emisor)), ''), 'sin emisor') as clave, sum(total_c)::bigint as total_c from r where tipo = 'gasto' and total_c > 0 group by all),
+k as (select *, row_number() over (partition by rango, actividad_id order by total_c desc, clave)::int as puesto from g) select * from k where puesto <= 6""")
+def _(l):
+    return book.range_insights(l.asientos, _presets(l))["proveedores"]
+
+
+@query("ranges_vat", f"""with {RANGES}, {IN_RANGE} select rango, actividad_id, coalesce(case when iva_tipo in (21, 10, 4, 0) then iva_tipo::varchar when iva_tipo is not null then 'otros' end, 'sin') as tramo, count(*) as n, sum(base_c)::bigint as base_c, sum(iva_c)::bigint as iva_c, sum(total_c)::bigint as total_c
+from r where tipo in ('gasto', 'mejora') group by all""")
+def _(l):
+    return book.range_insights(l.asientos, _presets(l))["iva"]
+
+
 @query("low_confidence", f"select id, {LOW} as baja, {CLASS} as clase, round_even(least(conf_ocr_m, conf_clase_m) / 10.0, 0)::int as pct from asientos")
 def _(l):
     return l.asientos.select("id", reports.low_confidence().alias("baja"), book.confidence_class().alias("clase"), F.bround(F.least("conf_ocr_m", "conf_clase_m") / 10.0).cast("int").alias("pct"))

@@ -291,3 +291,11 @@ def test_a_placeholder_number_is_spread_over_tasks(spark):
     by = {r.doc_id: r.factura_id for r in got.collect()}
     assert len(by) == 100_000 and all(by[i] == want[i * 7919 % 40_000] for i in range(100_000))
     assert matching.suppliers(df).where("clave is null").count() == 0
+
+
+@pytest.mark.parametrize("field, gold, text, want", [("fecha", "2024-03-05", "el 5/3/2024", True), ("fecha", "2024-03-05", "05.03.2024", True), ("fecha", "2024-03-05", "05-03-2024", True), ("fecha", "2024-03-05", "17/11/1999", False), ("fecha", "2024-03-05", None, False),
+                                                     ("total", "1234.50", "TOTAL 1.234,50 EUR", True), ("total", "12.50", "12,50", True), ("total", "12.50", "13,50", False), ("nif_emisor", "b-1234567 4", "NIF: B12345674", True), ("numero", "F-1/2", "nº F12", True),
+                                                     ("numero", "--", "x", False), ("emisor", "Iberdrola Clientes", "IBERDROLA CL1ENTES SAU", True), ("emisor", "Iberdrola", "Endesa", False), ("emisor", None, "Endesa", False)])
+def test_field_in_text(spark, field, gold, text, want):
+    df = spark.createDataFrame([(field, gold, text)], "f string, g string, t string")
+    assert df.select(evals.field_in_text(F.col("f"), F.col("g"), F.col("t")).alias("x")).first().x is want
