@@ -116,14 +116,17 @@ def width(size: int) -> str:
     return "<u2" if size <= 65536 else "<u4"
 
 
-def pack(ranks: np.ndarray) -> tuple[bytes, bytes]:
-    """Control and data bytes of a document's ranks."""
-    r = np.zeros(-(-len(ranks) // 4) * 4, "<u4")
-    r[:len(ranks)] = ranks
-    extra = (r > 0xFF).astype(np.uint8) + (r > 0xFFFF) + (r > 0xFFFFFF)
-    codes = extra.reshape(-1, 4)
+def pack(docs: list[np.ndarray]) -> list[tuple[bytes, bytes]]:
+    """Control and data bytes of each document's ranks; the documents are worked off together."""
+    of = np.concatenate(([0], np.cumsum([-(-len(d) // 4) for d in docs]))).astype(np.int64)
+    r = np.zeros(4 * int(of[-1]), "<u4")
+    for d, at in zip(docs, (4 * of).tolist()):
+        r[at:at + len(d)] = d
+    codes = ((r > 0xFF).astype(np.uint8) + (r > 0xFFFF) + (r > 0xFFFFFF)).reshape(-1, 4)
     control = codes[:, 0] | codes[:, 1] << 2 | codes[:, 2] << 4 | codes[:, 3] << 6
-    return control.tobytes(), r.view(np.uint8).reshape(-1, 16)[STORED[control]].tobytes()
+    data = r.view(np.uint8).reshape(-1, 16)[STORED[control]].tobytes()
+    ends, of, control = np.concatenate(([0], np.cumsum(STORED_BYTES[control])))[of].tolist(), of.tolist(), control.tobytes()
+    return [(control[of[i]:of[i + 1]], data[ends[i]:ends[i + 1]]) for i in range(len(docs))]
 
 
 def unpack(control: np.ndarray, data: np.ndarray, step: int = 1 << 16) -> np.ndarray:
@@ -254,9 +257,11 @@ def write(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", te
 
     def encode(batches):
         for b in batches:
-            packed = [pack(rank_of[np.frombuffer(x.as_buffer(), kind)]) for x in b.column(3)]
-            yield pa.RecordBatch.from_arrays([pa.array(_ranges(bounds, b.column(0), b.column(1)), pa.int32()), *(b.column(i) for i in range(3)), *(pa.array([p[i] for p in packed], pa.binary()) for i in range(2))],
-                                             ["range", "doc_id", "row", "n", "control", "data"])
+            for at in range(0, b.num_rows, 64):
+                part = b.slice(at, 64)
+                packed = pack([rank_of[np.frombuffer(x, kind)] for x in part.column(3).to_pylist()])
+                yield pa.RecordBatch.from_arrays([pa.array(_ranges(bounds, part.column(0), part.column(1)), pa.int32()), *(part.column(i) for i in range(3)), *(pa.array([p[i] for p in packed], pa.binary()) for i in range(2))],
+                                                 ["range", "doc_id", "row", "n", "control", "data"])
 
     def blocks(batches):
         held, full, at, now = [], 0, 0, None

@@ -49,19 +49,20 @@ def test_word_ids_are_the_library_s():
 
 
 def test_coding_round_trip_by_hand_and_by_chance():
-    control, data = tokenids.pack(np.array([5, 256, 70000, 2**24, 0], "<u4"))
+    (control, data), *rest = tokenids.pack([np.array([5, 256, 70000, 2**24, 0], "<u4"), np.array([], "<u4"), np.array([300], "<u4")])
+    assert rest == [(b"", b""), (b"\x01", b"\x2c\x01\0\0\0")] and tokenids.pack([]) == []
     assert control == bytes([0b11100100, 0]) and data == bytes([5, 0, 1, 0x70, 0x11, 1, 0, 0, 0, 1, 0, 0, 0, 0])
     rng = np.random.default_rng(1)
     for n in (0, 1, 3, 4, 5, 1000, 70001):
         r = (rng.integers(0, 2**32, n, dtype=np.uint64) >> rng.integers(0, 32, n, dtype=np.uint64)).astype("<u4")
-        c, d = (np.frombuffer(x, np.uint8) for x in tokenids.pack(r))
+        c, d = (np.frombuffer(x, np.uint8) for x in tokenids.pack([r])[0])
         for step in (3, 1 << 16):
             assert (tokenids.unpack(c, d, step)[:n] == r).all()
 
 
 def test_blocks_tell_when_they_are_cut():
     order = np.arange(10, dtype="<u4")
-    b = tokenids.block([(3, 2, *tokenids.pack(np.array([1, 2]))), (None, 0, b"", b"")], 7) + b"\n"
+    b = tokenids.block([(3, 2, *tokenids.pack([np.array([1, 2])])[0]), (None, 0, b"", b"")], 7) + b"\n"
     assert [(d, s, x.tolist()) for d, s, x in tokenids.documents(b + b, order)] == [(3, 7, [1, 2]), (None, 9, [])] * 2
     for bad in (b[:-1], b[1:], b[:60]):
         with pytest.raises(Exception):
