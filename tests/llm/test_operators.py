@@ -267,15 +267,20 @@ def test_html_tree_by_brute_force(spark):
     own, want = html.Settings(), {}
     for host in ("h0", "h1", "h2"):
         seen = defaultdict(list)
-        for path, ts in (x for h, page in rows if h == host for x in html.nodes(html.blocks(page)).items()):
-            seen[path].append(("\n".join(ts), len(ts)))
+        for page in (page for h, page in rows if h == host):
+            found = html.blocks(page)
+            for path, ts in html.nodes(found).items():
+                texts = [t for p, t, _ in found if p == path] or ts
+                runs = {" ".join(t.split(" ")[i:i + own.words]) for t in texts for i in range(max(1, len(t.split(" ")) - own.words + 1))}
+                hashes = [(x - 2**64 if x >= 2**63 else x) for x in (xxhash.xxh64_intdigest(r) for r in runs)]
+                seen[path].append((*[min(x ^ int(salt) for x in hashes) for salt in html._salts(own.minima)], len(ts)))
         for path, xs in seen.items():
             part = []
-            for k in (0, 1):
+            for k in range(own.minima + 1):
                 c = np.array(list(Counter(x[k] for x in xs).values()), float)
                 part.append(1 - (c * np.log(c)).sum() / (c.sum() * np.log(c.sum())) if c.sum() > 1 else 1.0)
             m = len(xs)
-            want[host, path] = (m, (m * ((1 - own.share) * part[0] + own.share * part[1]) + own.prior) / (m + own.prior))
+            want[host, path] = (m, (m * ((1 - own.share) * np.mean(part[:-1]) + own.share * part[-1]) + own.prior) / (m + own.prior))
     assert set(got) == set(want) and all(got[k][0] == want[k][0] and abs(got[k][1] - want[k][1]) < 1e-9 for k in want)
     assert got["h0", "/body/section/h2"][1] < own.threshold < got["h0", "/body/section/p"][1]
 
@@ -296,6 +301,26 @@ def test_html_site_tree_drops_repeated_branches(spark):
     assert html.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_html_boilerplate_with_a_number_goes(spark):
+    """A footer of nine words whose date changes goes on pages without an article; texts of their own stay, also directly in the body."""
+    rng = np.random.default_rng(5)
+    own = ["Text " + " ".join(rng.choice([f"w{k}" for k in range(500)], 12)) for _ in range(40)]
+    page = "<body>{0}<div class=x1>Shop of many things in a street, updated {1}</div><div class=y><p>Own {0}</p></div></body>"
+    rows = [(i, f"http://c.example/{i}", page.format(own[i], i)) for i in range(40)]
+    rows += [(100 + i, f"http://d.example/{i}", f"<body><article><p>{own[i]}</p><div class=x1>Edition of a book that has many pages, {i}</div></article></body>") for i in range(40)]
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == f"{own[i]}\nOwn {own[i]}" for i in range(40))
+    assert all(got[100 + i] == f"{own[i]}\nEdition of a book that has many pages, {i}" for i in range(40))
+
+
+def test_html_names_in_an_article():
+    keep = ('<div class="related-work"><p>a</div><section id="search"><h2>b</h2></section><p class="side note">c</p><blockquote class="share">d</blockquote>'
+            '<div class="advertising-history">e2</div><section id="comments-on-the-law">e</section>')
+    gone = '<div class="share-buttons">x</div><div class="related-posts">x</div><section class="ad">x</section><div id="comments"><p>x</div><aside>x</aside>'
+    assert html.main_text(f"<article>{keep}{gone}<p>f</p></article><article class='comment'><p>reader</p></article>", (), html.Settings()) == "a\nb\nc\nd\ne2\ne\nf"
+    assert html.main_text("<article><p>a</p><article class='reply'>x</article><article><p>part</p></article></article>", (), html.Settings()) == "a\npart"
+
+
 # 6
 
 def slow_fingerprint(text, k):
