@@ -68,25 +68,26 @@ def fit(rows: np.ndarray, labels: np.ndarray, s: Settings) -> np.ndarray:
     return w
 
 
-def strength(sites: list, s: Settings) -> float:
-    """Beta prior's weight in rows, by the method of moments from [sites, sum n, sum n*r, sum n*r*r, sum n*n, sum n*r*(1-r)].
+def strength(moments: list, s: Settings) -> float:
+    """Beta prior's weight in rows, by the method of moments from [sites less parents, rows, spread, scale, sum n*r*(1-r)] of all parents.
 
-    Differences between sites beyond what their own spread explains make it small, so sites are believed;
+    Differences between the sites of a parent beyond what their own spread explains make it small, so sites are believed;
     else it is large, so they are shrunk to their parent.
     """
-    k, n, nr, nrr, nn, inner = (float(v or 0) for v in sites)
-    if k < 2 or n <= 0:
+    free, n, spread, scale, inner = (float(v or 0) for v in moments)
+    if free < 1 or n <= 0:
         return s.strength[1]
-    rate = nr / n
-    spread = nrr - n * rate * rate  # sum of n * (r - rate)^2
     noise = inner / n  # variance of one row within its site
-    between = (spread - (k - 1) * noise) / max(n - nn / n, 1e-9)
+    between = (spread - free * noise) / max(scale, 1e-9)
     return float(np.clip(noise / between if between > 0 else s.strength[1], *s.strength))
 
 
-def _moments(table: DataFrame) -> list:
+def _moments(table: DataFrame, *parent: str) -> list:
+    """What `strength` asks for: each site is measured against the rate of the parent that it is shrunk to, and sums are over parents."""
     r = F.col("s") / F.col("n")
-    return list(table.agg(F.count("*"), F.sum("n"), F.sum("s"), F.sum(F.col("s") * r), F.sum(F.col("n") * F.col("n")), F.sum("v")).first())
+    by = table.groupBy(*parent).agg((F.count("*") - 1).alias("free"), F.sum("n").alias("rows"), (F.sum(F.col("s") * r) - F.sum("s") * F.sum("s") / F.sum("n")).alias("spread"),
+                                    (F.sum("n") - F.sum(F.col("n") * F.col("n")) / F.sum("n")).alias("scale"), F.sum("v").alias("inner"))
+    return list(by.agg(*[F.sum(c) for c in ("free", "rows", "spread", "scale", "inner")]).first())
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", host: Column | None = None,
@@ -97,12 +98,13 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
        hash of their id; it gives each document's probability of being good.
     2. The probabilities of all rows are summed by host and path (partial sums before the shuffle, so a
        site of any size is no task's burden). Hosts are shrunk to the global rate and paths to their
-       host's posterior, by weights that the method of moments finds from all sites.
+       host's posterior, by weights that the method of moments finds from all sites, each measured against its own parent.
     3. A document's log odds and the shift of its site from the global rate are added. The document itself
        is left out of its site's sum.
 
     Null hosts and paths are sites of their own. Null and empty texts get what the regression gives their
-    features. Labels for unknown ids and null labels are ignored; a repeated label counts once. Without
+    features. Labels for unknown ids and null labels are ignored; a repeated label counts once, and so does
+    an id that several rows have (the one with the smallest features). Without
     labels of both kinds all rows get the smoothed rate. Very long texts are read whole, repeated rows are returned each. An empty
     table gives an empty result; other columns are ignored, whatever their names.
     """
@@ -115,10 +117,10 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     total = marks.count()
     if total > s.sample:
         marks = marks.where(F.pmod(F.xxhash64("lid"), F.lit(1 << 30)) < int(s.sample / total * (1 << 30)))
-    marks = marks.limit(2 * s.sample)  # the hash takes about s.sample rows; this only bounds the driver's memory
+    marks = marks.orderBy(F.pmod(F.xxhash64("lid"), F.lit(1 << 30)), "lid").limit(s.sample)  # the hash leaves about as many; so it's that many at most
     # the features of labelled rows only: the small side decides which texts are looked at
     got = (docs.select(F.col(id_col).cast("long").alias("lid"), F.col(text_col).alias("t")).join(F.broadcast(marks), "lid")
-           .select("y", F.array(*features(F.col("t"))).alias("x")).limit(4 * s.sample).toPandas())
+           .select("lid", "y", F.array(*features(F.col("t"))).alias("x")).groupBy("lid").agg(F.min("y").alias("y"), F.min("x").alias("x")).toPandas().sort_values("lid"))
     x = np.array(got["x"].tolist(), float).reshape(len(got), len(FEATURES))
     w = fit(x, (got["y"].to_numpy(float) > 0).astype(float), s)
     logit = F.lit(float(w[-1]))
@@ -129,10 +131,9 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     paths = scored.groupBy("host", "path").agg(F.count("*").cast("double").alias("n"), F.sum("p").alias("s"), F.sum(F.col("p") * (1 - F.col("p"))).alias("v"))
     paths = checkpoint(paths)
     hosts = checkpoint(paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("v").alias("v")))
-    of_hosts, of_paths = _moments(hosts), _moments(paths)
-    n = float(of_hosts[1] or 0)
-    rate = float(np.clip(float(of_hosts[2] or 0) / n if n else 0.5, 1e-4, 1 - 1e-4))
-    a, b = strength(of_hosts, s), strength(of_paths, s)
+    n, good = (float(v or 0) for v in hosts.agg(F.sum("n"), F.sum("s")).first())
+    rate = float(np.clip(good / n if n else 0.5, 1e-4, 1 - 1e-4))
+    a, b = strength(_moments(hosts), s), strength(_moments(paths, "host"), s)
     sites = (paths.select("host", "path", F.col("n").alias("pn"), F.col("s").alias("ps"))
              .join(hosts.select(F.col("host").alias("h"), F.col("n").alias("hn"), F.col("s").alias("hs")), F.col("host").eqNullSafe(F.col("h")))
              .select(F.col("host").alias("h"), F.col("path").alias("q"), "pn", "ps", "hn", "hs"))

@@ -76,11 +76,15 @@ def test_quality_posteriors_by_brute_force(spark, docs):
         by = defaultdict(list)
         for r in rows:
             by[r[:1] if level == 0 else r[:2]].append(r[2])
-        n, rate = len(rows), np.mean([r[2] for r in rows])
-        noise = sum(p * (1 - p) for r in rows for p in (r[2],)) / n
-        spread = sum(len(x) * (np.mean(x) - rate) ** 2 for x in by.values())
-        between = (spread - (len(by) - 1) * noise) / max(n - sum(len(x) ** 2 for x in by.values()) / n, 1e-9)
-        return by, float(np.clip(noise / between if between > 0 else s.strength[1], *s.strength)) if len(by) > 1 else s.strength[1]
+        parents = defaultdict(list)
+        for key, x in by.items():
+            parents[key[:level]].append(x)
+        noise = sum(p * (1 - p) for r in rows for p in (r[2],)) / len(rows)
+        spread = sum(len(x) * (np.mean(x) - np.mean(sum(xs, []))) ** 2 for xs in parents.values() for x in xs)
+        scale = sum(sum(map(len, xs)) - sum(len(x) ** 2 for x in xs) / sum(map(len, xs)) for xs in parents.values())
+        free = len(by) - len(parents)
+        between = (spread - free * noise) / max(scale, 1e-9)
+        return by, float(np.clip(noise / between if between > 0 else s.strength[1], *s.strength)) if free else s.strength[1]
 
     (hosts, a), (paths, b) = strength(0), strength(1)
     rate, odds = np.mean([r[2] for r in rows]), lambda x: np.log(np.clip(x, 1e-4, 1 - 1e-4) / (1 - np.clip(x, 1e-4, 1 - 1e-4)))
@@ -91,6 +95,26 @@ def test_quality_posteriors_by_brute_force(spark, docs):
         assert np.allclose((r.host_posterior, r.path_posterior, r.quality), (host, path, good), rtol=1e-6) and r.keep == (good >= s.threshold)
 
 
+def test_quality_paths_are_measured_against_their_host(spark):
+    """Ten hosts that differ, each with ten paths of exactly its rate: hosts are believed, paths shrunk as far as may be."""
+    own = quality.Settings()
+    rate = lambda h: 0.05 + 0.1 * h
+    paths = spark.createDataFrame([(f"h{h}", f"p{q}", 50.0, 50 * rate(h), 50 * rate(h) * (1 - rate(h))) for h in range(10) for q in range(10)], "host string, path string, n double, s double, v double")
+    hosts = paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("v").alias("v"))
+    assert quality.strength(quality._moments(paths, "host"), own) == own.strength[1]
+    assert quality.strength(quality._moments(hosts), own) < 5
+    lone = paths.where("path = 'p0'")
+    assert quality.strength(quality._moments(lone, "host"), own) == own.strength[1]  # no host tells anything about its paths
+
+
+def test_quality_fit_takes_its_sample_by_hash(spark, docs):
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    twice = docs.union(docs)
+    s = quality.Settings(sample=20)
+    one, two = (sorted(map(tuple, quality.classify(d, x, settings=s).select("doc_id", F.round("document_score", 9)).distinct().collect())) for d, x in ((docs, labels), (twice, labels.union(labels).repartition(5))))
+    assert one == two
+
+
 def test_quality_hard_rows(spark, hard, empty):
     labels = spark.createDataFrame([(4, 1), (4, 1), (9, 0), (None, 1), (5, None), (99, 1)], "doc_id long, quality int")
     assert quality.classify(hard, labels, host=F.col("source")).count() == len(HARD)
