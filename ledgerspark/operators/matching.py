@@ -6,6 +6,8 @@ keys is never written as one join, since that would compare all pairs.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from difflib import SequenceMatcher
 from functools import reduce
 from math import log2
 
@@ -244,6 +246,29 @@ def jaro_winkler_column(a: Column, b: Column) -> Column:
     return F.pandas_udf(run, T.DoubleType())(a, b)
 
 
+def block_ratio(a: str, b: str) -> float:
+    """Share of two texts' characters that lie in common blocks: the longest one, then those left and right of it."""
+    return SequenceMatcher(None, a, b).ratio()
+
+
+def name_ratio_column(a: Column, b: Column) -> Column:
+    """Similarity of clean names by `block_ratio`, as they stand or with their words sorted, whichever is more; null and empty names are like nothing.
+
+    A pair of names that a batch has again is compared once.
+    """
+    def run(x: pd.Series, y: pd.Series, x_sorted: pd.Series, y_sorted: pd.Series) -> pd.Series:
+        known: dict = {}
+        for key in zip(x, y, x_sorted, y_sorted):
+            if key not in known:
+                known[key] = max(block_ratio(key[0], key[1]), block_ratio(key[2], key[3])) if key[0] and key[1] else 0.0
+        return pd.Series([known[key] for key in zip(x, y, x_sorted, y_sorted)], dtype="float64")
+
+    def words(c: Column) -> Column:
+        return F.array_join(F.array_sort(F.split(c, " ")), " ")
+
+    return F.pandas_udf(run, T.DoubleType())(a, b, words(a), words(b))
+
+
 def bits(levels: list[tuple[float, float]], conditions: list[Column], null: Column) -> Column:
     """Weight in bits of the first condition that holds, else of the last level; null values weigh nothing."""
     out = F.when(null, F.lit(0.0))
@@ -292,14 +317,14 @@ def block_pairs(rows: DataFrame, rules: list) -> DataFrame:
     return reduce(DataFrame.union, [pairs(k) for k in rules]).distinct()
 
 
-def supplier_pairs(entries: DataFrame) -> DataFrame:
-    """(id_a, id_b, nif_a, nif_b, jw) of different suppliers (tax id and clean name, named by their first entry) that share the id or
+def supplier_pairs(entries: DataFrame, similar: Callable[[Column, Column], Column] = jaro_winkler_column) -> DataFrame:
+    """(id_a, id_b, nif_a, nif_b, jw), jw being the similarity of the names, of different suppliers (tax id and clean name, named by their first entry) that share the id or
     the name's first word."""
     rows = keyed(entries).select("id", "nif", text.clean_name(F.col("emisor")).alias("nombre")).where("nombre != ''")
     known = rows.groupBy("nif", "nombre").agg(F.min("id").alias("id")).withColumn("palabra", F.split("nombre", " ")[0])
     l, r = known.alias("l"), known.alias("r")
     both = block_pairs(known, [["nif"], ["palabra"]]).join(l, F.col("a") == F.col("l.id")).join(r, F.col("b") == F.col("r.id"))
-    return both.select(F.col("a").alias("id_a"), F.col("b").alias("id_b"), F.col("l.nif").alias("nif_a"), F.col("r.nif").alias("nif_b"), jaro_winkler_column(F.col("l.nombre"), F.col("r.nombre")).alias("jw"))
+    return both.select(F.col("a").alias("id_a"), F.col("b").alias("id_b"), F.col("l.nif").alias("nif_a"), F.col("r.nif").alias("nif_b"), similar(F.col("l.nombre"), F.col("r.nombre")).alias("jw"))
 
 
 def invoice_pairs(entries: DataFrame, least: float = schema.MENTION, scope: str | None = "actividad_id", linked: DataFrame | None = None) -> DataFrame:

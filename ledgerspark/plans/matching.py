@@ -154,14 +154,27 @@ def _(l):
     return matching.invoice_pairs(l.asientos.withColumn("factura_id", F.col("id"))).select("id_a", "id_b", F.round("peso", 6).alias("peso"), F.round("probabilidad", 6).alias("probabilidad"))
 
 
+def blocks_sql(pairs: str) -> str:
+    """Common table expressions up to `ratios` (id, ratio) for names x, y of a table of pairs: the longest common block is looked for in all parts, step by step."""
+    best = """list_max(flatten(list_transform(range(1, length(a) + 1), lambda i: list_transform(range(1, length(a) - i + 2), lambda n: case when contains(b, substr(a, i, n)) then {'n': n, 'i': -i} end))))"""
+    return f"""names as (select distinct x, y from {pairs}), jobs as (select row_number() over () as job, x, y from names),
+ways as (select job, 0 as way, x as a, y as b from jobs union all select job, 1, array_to_string(list_sort(string_split(x, ' ')), ' '), array_to_string(list_sort(string_split(y, ' ')), ' ') from jobs),
+parts as (with recursive parts as (select job, way, a, b, 0 as n from ways
+ union all select job, way, e.a, e.b, e.n from (select job, way, unnest([{{'a': substr(a, 1, -m.i - 1), 'b': substr(b, 1, strpos(b, substr(a, -m.i, m.n)) - 1), 'n': m.n}},
+  {{'a': substr(a, -m.i + m.n), 'b': substr(b, strpos(b, substr(a, -m.i, m.n)) + m.n), 'n': 0}}]) as e
+  from (select job, way, a, b, {best} as m from parts where a <> '' and b <> '') where m is not null)) select * from parts),
+sums as (select job, way, sum(n) as n from parts group by all),
+ratios as (select u.id, max(2.0 * sums.n / (length(u.x) + length(u.y)))::double as ratio from {pairs} u join jobs on u.x = jobs.x and u.y = jobs.y join sums using (job) group by u.id)"""
+
+
 _SB = log2(schema.SUPPLIER_PRIOR / (1 - schema.SUPPLIER_PRIOR))
 SUPPLIERS = f"""s as (select nif, {CLEAN} as nombre, min(id) as id from k where {CLEAN} <> '' group by all), p as (select a.id as id_a, b.id as id_b from s a join s b on a.nif = b.nif and a.id < b.id
 union select a.id, b.id from s a join s b on split_part(a.nombre, ' ', 1) = split_part(b.nombre, ' ', 1) and a.id < b.id),
 t as (select id_a, id_b, a.nif as nif_a, b.nif as nif_b, jaro_winkler_similarity(a.nombre, b.nombre) as jw from p join s a on id_a = a.id join s b on id_b = b.id)"""
 
 
-def _scored(l, by_hand):
-    d = matching.supplier_pairs(l.asientos).withColumn("s", matching.supplier_score(F.col("nif_a"), F.col("nif_b"), F.col("jw"), by_hand))
+def _scored(l, by_hand, similar=matching.jaro_winkler_column):
+    d = matching.supplier_pairs(l.asientos, similar).withColumn("s", matching.supplier_score(F.col("nif_a"), F.col("nif_b"), F.col("jw"), by_hand))
     return d.select("id_a", "id_b", F.round("s.peso", 6).alias("peso"), F.round("s.probabilidad", 6).alias("probabilidad"), "s.banda")
 
 
@@ -178,6 +191,13 @@ def _(l):
     return _scored(l, True)
 
 
+@query("supplier_score_ratio", f"""with {K}, {SUPPLIERS}, u as (select id_a * 1000000000 + id_b as id, id_a, id_b, a.nif as nif_a, b.nif as nif_b, a.nombre as x, b.nombre as y from p join s a on id_a = a.id join s b on id_b = b.id),
+{blocks_sql('u')}, w as (select id_a, id_b, (-8.0 + case when nif_a is null or nif_b is null then 0 when nif_a = nif_b then 18 else -18 end
+ + case when ratio >= 0.95 then 10 when ratio >= 0.85 then 8 when ratio >= 0.70 then 5 else -8 end)::double as peso from u join ratios using (id)) {_BAND}""")
+def _(l):
+    return _scored(l, True, matching.name_ratio_column)
+
+
 @query("scan_applied", f"""with {K}, {PAIRS}, q as (select * from w where 1 / (1 + pow(2.0, -peso)) >= 0.9), s as (select id_a as id, id_b as o, peso from q union all select id_b, id_a, peso from q),
 t as (select id, o, row_number() over (partition by id order by 1 / (1 + pow(2.0, -peso)) desc, o) as n from s) select t.id, o as apunta_a from t join asientos a on t.id = a.id where n = 1 and estado <> 'duplicado' and not validado""")
 def _(l):

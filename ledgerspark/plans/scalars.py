@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import money, nif, text
 from ..operators import evals, extract, items
-from .matching import CIF_OK
+from .matching import CIF_OK, blocks_sql
 from .registry import query
 
 _N = "regexp_replace(upper(coalesce(nif_emisor, '')), '[\\s.\\-]', '', 'g')"
@@ -103,6 +103,14 @@ def _(l):
     return a.join(b, F.col("b.p_partkey") == F.col("a.p_partkey") + 1).select(F.col("a.p_partkey").alias("id"), F.round(text.similarity(F.col("a.p_name"), F.col("b.p_name")), 6).alias("similitud"))
 
 
+@query("name_ratio", f"with u as (select a.p_partkey as id, a.p_name as x, b.p_name as y from part a join part b on b.p_partkey = a.p_partkey + 1), {blocks_sql('u')} select id, round(ratio, 6) as ratio from ratios", "")
+def _(l):
+    from ..operators.matching import name_ratio_column
+
+    a, b = l.table("part").alias("a"), l.table("part").alias("b")
+    return a.join(b, F.col("b.p_partkey") == F.col("a.p_partkey") + 1).select(F.col("a.p_partkey").alias("id"), F.round(name_ratio_column(F.col("a.p_name"), F.col("b.p_name")), 6).alias("ratio"))
+
+
 @query("jaro_winkler", "select a.p_partkey as id, round(jaro_winkler_similarity(a.p_name, b.p_name), 6) as jw from part a join part b on b.p_partkey = a.p_partkey + 1", "")
 def _(l):
     from ..operators.matching import jaro_winkler_column

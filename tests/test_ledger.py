@@ -93,6 +93,24 @@ def test_scorers_differ_where_documented(spark):
     assert (s(True), s(False)) == ("revisar", "rechazar")
 
 
+def test_name_ratio_by_brute_force(spark):
+    """The longest common block (first in a, then in b), then the same left and right of it; words as they stand or sorted."""
+    def common(a, b):
+        n, i, j = max(((n, -i, -b.find(a[i:i + n])) for i in range(len(a)) for n in range(1, len(a) - i + 1) if a[i:i + n] in b), default=(0, 0, 0))
+        return n + common(a[:-i], b[:-j]) + common(a[-i + n:], b[-j + n:]) if n else 0
+
+    def ratio(a, b):
+        ordered = lambda x: " ".join(sorted(x.split(" ")))
+        return max(2 * common(x, y) / (len(x) + len(y)) for x, y in ((a, b), (ordered(a), ordered(b)))) if a and b else 0.0
+
+    rng = random.Random(3)
+    names = ["", None, "ferreteria lopez", "lopez ferreteria", "ñandú azul", "a"] + ["".join(rng.choice("aab c") for _ in range(rng.randint(1, 14))) for _ in range(300)]
+    pairs = [(i, rng.choice(names), rng.choice(names)) for i in range(3000)] + [(-1, "ferreteria lopez", "lopez ferreteria")]
+    rows = spark.createDataFrame(pairs, "id long, a string, b string")
+    got = {r.id: r.r for r in rows.select("id", matching.name_ratio_column(F.col("a"), F.col("b")).alias("r")).collect()}
+    assert got[-1] == 1.0 and all(abs(got[i] - ratio(a, b)) < 1e-12 for i, a, b in pairs)
+
+
 def test_jaro_winkler():
     assert matching.jaro_winkler("", "") == 0.0 and round(matching.jaro_winkler("martha", "marhta"), 4) == 0.9611
 
