@@ -111,18 +111,44 @@ def column_runs(lines: DataFrame) -> DataFrame:
     return out.select("doc_id", "tramo", "desde", F.size("importes").alias("n"), F.aggregate("importes", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("suma_c"), "importes", "con_cabecera")
 
 
-def column_prices(lines: DataFrame, headers: DataFrame) -> DataFrame:
+def run_parts(runs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(doc_id, importes, suma_c, desde) of the stretches of runs that are as long as wanted, which has (doc_id, n), and shorter than the run.
+
+    A stretch's sum is the difference of two prefix sums, which meet by their places, so the work is linear in the prices.
+    """
+    longer = runs.join(wanted.select("doc_id", F.col("n").cast("int").alias("largo")).distinct(), "doc_id").where("largo > 1 and largo < n")
+    place = ["doc_id", "tramo", "largo"]
+    up_to = F.sum("importe_c").over(Window.partitionBy(*place).orderBy("i"))
+    sums = longer.select(*place, "desde", F.posexplode("importes").alias("i", "importe_c")).select(*place, "desde", "i", "importe_c", up_to.alias("hasta"))
+    start = sums.select(*place, (F.col("i") + F.col("largo") - 1).alias("i"), F.col("i").alias("primero"), (F.col("hasta") - F.col("importe_c")).alias("antes"))
+    parts = sums.select(*place, "desde", "i", "hasta").join(start, [*place, "i"]).join(longer.select(*place, "importes"), place)
+    return parts.select("doc_id", F.slice("importes", F.col("primero") + 1, F.col("largo")).alias("importes"), (F.col("hasta") - F.col("antes")).alias("suma_c"),
+                        (F.col("desde") + F.col("primero")).cast("bigint").alias("desde"))
+
+
+def column_prices(lines: DataFrame, headers: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
     """(doc_id, importes, suma_c) of the prices that stand in columns; headers has (doc_id, base_c, total_c).
 
     All runs below a price head together if they add up to the total; else the single run that adds up to the total, or to
-    the base, the longest first.
+    the base, the longest first. wanted has (doc_id, n), numbers of prices looked for: columns of such a length come first, and they
+    may be a stretch of a run, where no line sets two columns apart, unless its amounts are all the header's own.
     """
     runs = column_runs(lines)
     joined = (runs.where("con_cabecera").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("desde", "importes"))).alias("partes"), F.sum("suma_c").alias("suma_c"))
               .select("doc_id", F.flatten(F.transform("partes", lambda x: x["importes"])).alias("importes"), "suma_c", F.lit(0).cast("bigint").alias("desde")))
-    every = joined.unionByName(runs.select("doc_id", "importes", "suma_c", "desde")).join(headers.select("doc_id", "base_c", "total_c"), "doc_id")
+    every = joined.unionByName(runs.select("doc_id", "importes", "suma_c", "desde")).withColumn("parte", F.lit(False))
+    if wanted is not None:
+        every = every.unionByName(run_parts(runs, wanted).withColumn("parte", F.lit(True)))
+    every = every.join(headers.select("doc_id", "base_c", "total_c"), "doc_id")
+    own = F.forall("importes", lambda x: F.coalesce(x.isin(F.col("base_c"), F.col("total_c")) | (x == F.col("total_c") - F.col("base_c")), F.lit(False)))
+    every = every.where(~(F.col("parte") & own))
+    if wanted is None:
+        every = every.withColumn("querido", F.lit(False))
+    else:
+        lengths = wanted.select("doc_id", F.col("n").cast("int").alias("largo")).groupBy("doc_id").agg(F.collect_set("largo").alias("largos"))
+        every = every.join(lengths, "doc_id", "left").withColumn("querido", F.coalesce(F.array_contains("largos", F.size("importes")), F.lit(False)))
     rank = F.when(F.abs(F.col("suma_c") - F.col("total_c")) <= LINE_TOLERANCE, 0).when(F.abs(F.col("suma_c") - F.col("base_c")) <= LINE_TOLERANCE, 1)
-    best = Window.partitionBy("doc_id").orderBy("rango", F.size("importes").desc(), "desde")
+    best = Window.partitionBy("doc_id").orderBy(F.col("querido").desc(), "rango", F.size("importes").desc(), "parte", "desde")
     return every.withColumn("rango", rank).where("rango is not null").withColumn("r", F.row_number().over(best)).where("r = 1").select("doc_id", "importes", "suma_c")
 
 
@@ -156,7 +182,7 @@ def find_items(docs: DataFrame, headers: DataFrame, text_col: str = "texto") ->
     """(doc_id, orden, codigo, nombre, importe_c, origen) of each document's items, by the first way that adds up.
 
     docs has (doc_id, text), headers (doc_id, base_c, iva_c, total_c). Ways, in order: names with codes priced by their blocks or
-    by a column of as many prices (the one whose sum is the total, else the base); names with an index of their own likewise;
+    by a column of as many prices (the one whose sum is the total, else the base; it may touch another column); names with an index of their own likewise;
     names with amounts beside or below them, without those that are only the header's. Where no sum fits, names with codes
     or an index come without amounts. Documents without any have no rows; null texts are empty.
     """
@@ -165,7 +191,8 @@ def find_items(docs: DataFrame, headers: DataFrame, text_col: str = "texto") ->
     codes = reference_pairs(region)
     numbered = numbered_lines(region)
     blocks = block_prices(lines)
-    columns = column_prices(lines, headers).select("doc_id", "importes")
+    counted = codes.groupBy("doc_id").count().union(numbered.groupBy("doc_id").count()).toDF("doc_id", "n")
+    columns = column_prices(lines, headers, counted).select("doc_id", "importes")
 
     def priced(items: DataFrame, rank: int) -> DataFrame:
         n = F.count("*").over(Window.partitionBy("doc_id"))
@@ -183,7 +210,7 @@ def find_items(docs: DataFrame, headers: DataFrame, text_col: str = "texto") ->
     sums = (every.groupBy("doc_id", "rango").agg(F.sum("importe_c").alias("s"), F.count("*").alias("n"), F.count("importe_c").alias("k"))
             .join(headers.select("doc_id", "base_c", "total_c"), "doc_id", "left"))
     near = lambda c: F.coalesce(F.abs(F.col("s") - F.col(c)) <= LINE_TOLERANCE, F.lit(False))
-    merit = F.when(near("total_c") & (F.col("k") == F.col("n")), 0).when(near("base_c") & (F.col("k") == F.col("n")), 1).when(F.col("k") == 0, 2)
+    merit = F.when(near("total_c") & (F.col("k") == F.col("n")), 0).when(near("base_c") & (F.col("k") == F.col("n")), 1).when(F.col("rango") >= 100, 2)
     best = (sums.withColumn("merito", merit).where("merito is not null")
             .withColumn("r", F.row_number().over(Window.partitionBy("doc_id").orderBy("merito", "rango"))).where("r = 1").select("doc_id", "rango"))
     return every.join(best, ["doc_id", "rango"]).select("doc_id", "orden", "codigo", "nombre", "importe_c", "origen")
@@ -211,16 +238,18 @@ def parse(docs: DataFrame, text_col: str = "texto") -> tuple[DataFrame, DataFram
 
 
 def render(lineas: DataFrame, layout: str) -> DataFrame:
-    """Texts of the items of each entry, in one of three layouts: blocks (name, code, prices), columns (names and codes, then a column of prices) or beside (name and price on a line)."""
+    """Texts of the items of each entry, in one of four layouts: blocks (name, code, prices), columns (names and codes, then a column of prices), glued (the same with a column of quantities right above the prices and no head) or beside (name and price on a line)."""
     def euro(c: Column) -> Column:
         return F.replace(money.format_euro(c), F.lit(" €"), F.lit(""))
 
     name = F.concat(F.lit("Articulo "), F.translate(F.col("posicion").cast("string"), "0123456789", "abcdefghij"))
     total = F.col("base_c") + F.col("iva_c")
     part = {"blocks": F.concat_ws("\n", name, "codigo", F.lit("UNID."), euro(F.col("base_c")), euro(total)),
-            "columns": F.concat_ws("\n", F.col("posicion").cast("string"), name, "codigo"), "beside": F.concat(name, F.lit("   "), euro(total))}[layout]
+            "columns": F.concat_ws("\n", F.col("posicion").cast("string"), name, "codigo"), "glued": F.concat_ws("\n", F.col("posicion").cast("string"), name, "codigo"), "beside": F.concat(name, F.lit("   "), euro(total))}[layout]
     docs = (lineas.groupBy("asiento_id").agg(F.sort_array(F.collect_list(F.struct("posicion", part.alias("t"), euro(total).alias("e")))).alias("x"), F.sum(total).alias("total_c"), F.sum("base_c").alias("base_c")))
     foot = F.concat(F.lit("Total SI (EUR)\n"), euro(F.col("base_c")), F.lit("\nTotal TTI (EUR)\n"), euro(F.col("total_c")))
     body = F.array_join(F.transform("x", lambda y: y["t"]), "\n")
     prices = F.concat(F.lit("\nImporte\nTTI (EUR)\n"), F.array_join(F.transform("x", lambda y: y["e"]), "\n")) if layout == "columns" else F.lit("")
+    if layout == "glued":
+        prices = F.concat(F.lit("\n"), F.array_join(F.concat(F.transform("x", lambda y: F.lit("1,00")), F.transform("x", lambda y: y["e"])), "\n"))
     return docs.select(F.col("asiento_id").alias("doc_id"), F.concat(F.lit("Designacion y Referencia articulo\n"), body, prices, F.lit("\n"), foot).alias("texto"), "base_c", (F.col("total_c") - F.col("base_c")).alias("iva_c"), "total_c")

@@ -223,6 +223,12 @@ def _(l):
     return items.find_items(docs, docs)
 
 
+@query("find_items_glued", f"{NAMED}, base_c + iva_c as importe_c, case when count(*) over (partition by asiento_id) = 1 then 'bloque' else 'columna' end as origen from lineas", "lineas")
+def _(l):
+    docs = items.render(l.lineas, "glued")
+    return items.find_items(docs, docs)
+
+
 @query("find_items_beside", """select asiento_id as doc_id, posicion::int as orden, null::varchar as codigo, 'Articulo ' || translate(posicion::varchar, '0123456789', 'abcdefghij') as nombre, base_c + iva_c as importe_c, 'linea' as origen from lineas
 where asiento_id in (select asiento_id from lineas group by 1 having count(*) > 1)""", "lineas")
 def _(l):

@@ -1,6 +1,7 @@
 """Header fields and items of invoice texts in many layouts."""
 
 import datetime
+import random
 
 import pytest
 
@@ -61,3 +62,27 @@ def test_items_come_with_base_and_vat(spark):
     got = sorted((r["doc_id"], r["orden"], r["nombre"], r["base_c"], r["iva_c"], r["importe_c"]) for r in found.collect())
     assert got == [(1, 1, "LAMPARA", 1000, 210, 1210), (1, 2, "CABLE", 100, 21, 121), (2, 1, "LAMPARA", 1000, 210, 1210), (2, 2, "CABLE", 100, 21, 121)]
     assert headers.count() == 4
+
+
+def test_columns_that_touch(spark):
+    """Quantities right above prices: the stretch with as many prices as names and the right sum is the column; a footer's own amounts never are."""
+    head = "Designacion y Referencia articulo\n"
+    text = head + "1\nTaladro percutor\n12345678\n2\nSierra de mano\n23456789\n3\nCinta metrica\n34567890\n2,00\n1,00\n3,00\n60,50\n12,10\n48,40\nTotal TTI (EUR)\n121,00"
+    foot = head + "1\nTaladro percutor\n12345678\n2\nSierra de mano\n23456789\n7,00\n100,00\n21,00\n121,00\nTotal"
+    docs = spark.createDataFrame([(1, text, 10000, 2100, 12100), (2, foot, 10000, 2100, 12100), (3, None, None, None, None)], "doc_id long, texto string, base_c long, iva_c long, total_c long")
+    got = {}
+    for r in items.find_items(docs, docs).orderBy("doc_id", "orden").collect():
+        got.setdefault(r.doc_id, []).append((r.nombre, r.codigo, r.importe_c, r.origen))
+    assert [x[1:] for x in got[1]] == [("12345678", 6050, "columna"), ("23456789", 1210, "columna"), ("34567890", 4840, "columna")]
+    assert all(x[3] != "columna" for x in got.get(2, [])) and 3 not in got
+    assert [r.importes for r in items.column_prices(items.kinds(docs), docs).where("doc_id = 1").collect()] == [[12100]]  # of whole runs only the total itself fits
+
+
+def test_stretches_by_brute_force(spark):
+    rng = random.Random(8)
+    rows = [(d, t, 100 * d, [rng.randint(-3, 5) for _ in range(rng.randint(1, 12))]) for d in range(40) for t in range(2)]
+    runs = spark.createDataFrame([(d, t, at, len(x), x) for d, t, at, x in rows], "doc_id long, tramo int, desde int, n int, importes array<long>")
+    want_n = [(d, n) for d in range(40) for n in {rng.randint(0, 6), rng.randint(1, 4)}]
+    got = sorted((r.doc_id, r.desde, list(r.importes), r.suma_c) for r in items.run_parts(runs, spark.createDataFrame(want_n, "doc_id long, n long")).collect())
+    want = sorted((d, at + i, x[i:i + n], sum(x[i:i + n])) for d, t, at, x in rows for e, n in want_n if e == d and 1 < n < len(x) for i in range(len(x) - n + 1))
+    assert got == want
