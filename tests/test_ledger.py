@@ -274,6 +274,15 @@ def test_near_pictures_by_brute_force(spark):
     assert "NestedLoop" not in matching.picture_pairs(df)._jdf.queryExecution().executedPlan().toString()
 
 
+def test_near_pictures_move_few_bytes(spark):
+    """A search moves 24 keys of each different hash, with an id and the rest of a word: not 66 with the whole hash and its chunks."""
+    rows = [(i, "ab" * 31 + f"{i:02x}") for i in range(4)]
+    found = matching.picture_pairs(spark.createDataFrame(rows, "id long, h string"))
+    assert len(found.collect()) == 6
+    each = next(e for e in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Generate explode" in e)
+    assert each.count("rest") == 24
+
+
 ER = "id long, actividad_id long, numero string, nif string, emisor_norm string, total_c long, pagina int"
 
 
