@@ -5,6 +5,8 @@ A document's lines are one window partition; their number follows the document,
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +19,8 @@ FOOTER_WORDS = ("total", "base", "iva", "igic", "ipsi", "nif", "cif", "fecha", "
 PRICE_HEADS = ("tti", "tii", "ti (eur)")
 ARTICLE_HEADS = ("designacion", "designación", "referencia art")
 
+THREE_LETTERS = r"\p{L}[^\p{L}]*\p{L}[^\p{L}]*\p{L}"
+
 #: Lines below a name on which its code is looked for.
 LOOK_AHEAD = 3
 #: The largest number of pieces that a unit price and a line price next to each other are tried with.
@@ -28,16 +32,16 @@ def _doc():
 
 
 def _starts(line: Column, words: tuple[str, ...]) -> Column:
-    return F.exists(F.array(*[F.lit(w) for w in words]), lambda w: F.startswith(line, w))
+    return reduce(lambda x, y: x | y, [F.startswith(line, F.lit(w)) for w in words])
 
 
 def _first_word(line: Column, words: tuple[str, ...]) -> Column:
     """Whether a line begins with one of the words, and the word ends there."""
-    return F.exists(F.array(*[F.lit(w) for w in words]), lambda w: F.startswith(line, w) & ~F.substring(line, F.length(w) + 1, F.lit(1)).rlike(r"[\p{L}0-9]"))
+    return line.rlike(rf"^(?:{'|'.join(words)})(?![\p{{L}}0-9])")
 
 
 def _holds(line: Column, words: tuple[str, ...]) -> Column:
-    return F.exists(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(line, w))
+    return reduce(lambda x, y: x | y, [F.contains(line, F.lit(w)) for w in words])
 
 
 def kinds(docs: DataFrame, text_col: str = "texto") -> DataFrame:
@@ -48,14 +52,15 @@ def kinds(docs: DataFrame, text_col: str = "texto") -> DataFrame:
     name, its amount at its end or none) or otra.
     """
     rows = docs.select("doc_id", F.posexplode(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")).alias("pos", "raw")).select("doc_id", "pos", F.trim("raw").alias("linea")).where("linea != ''")
-    low, line = F.lower("linea"), F.col("linea")
-    amounts = money.all_amounts(line)
+    line, low, amounts, name = F.col("linea"), F.col("_bajo"), F.col("_importes"), F.col("_nombre")
     bare = F.trim(F.regexp_replace(line, r"[-\d.,€]+|EUR", ""))
-    name = F.trim(F.regexp_replace(F.regexp_replace(line, r"\s+-?[\d.]*\d[.,]\d{2}\s*(?:€|EUR)?$", ""), r"^\d{1,2}[.)]?\s+(?=\D{3})", ""))
+    named = F.trim(F.regexp_replace(F.regexp_replace(line, r"\s+-?[\d.]*\d[.,]\d{2}\s*(?:€|EUR)?$", ""), r"^\d{1,2}[.)]?\s+(?=\D{3})", ""))
+    # columns of their own, so that each is worked out once a line, and only where the line can have one
+    rows = rows.withColumns({"_bajo": F.lower("linea"), "_importes": F.when(line.rlike(r"\d[.,]\d{2}"), money.all_amounts(line)), "_nombre": F.when(line.rlike(THREE_LETTERS), named)})
     kind = (F.when((F.size(amounts) == 1) & (bare == ""), "precio").when(line.rlike(r"^(?:\d{1,2}\.?\s+)?\d{7,8}[.,:;]?$"), "codigo")
             .when(line.rlike(r"^(?:[1-9]|[1-3]\d|40)$"), "indice").when(_starts(low, ARTICLE_HEADS), "articulos")
             .when(_holds(low, PRICE_HEADS) & ~F.contains(low, F.lit("total")), "cabecera").when(_first_word(low, FOOTER_WORDS), "pie")
-            .when(F.length(F.regexp_replace(name, r"[^\p{L}]", "")) >= 3, "nombre").otherwise("otra"))
+            .when(name.rlike(THREE_LETTERS), "nombre").otherwise("otra"))
     out = rows.withColumn("clase", kind)
     return out.select("doc_id", "pos", "linea", "clase", F.when(F.col("clase").isin("precio", "nombre"), F.try_element_at(amounts, F.lit(-1))).alias("importe_c"),
                       F.when(F.col("clase") == "codigo", F.regexp_extract(line, r"(\d{7,8})[.,:;]?$", 1)).alias("codigo"), F.when(F.col("clase") == "nombre", name).alias("nombre"))

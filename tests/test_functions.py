@@ -63,3 +63,13 @@ def test_tokens(spark):
 def test_hamming(spark):
     assert one(spark, text.hamming_hex(F.col("a"), F.col("b")), a="00000000000000ff", b="8000000000000000") == 9
     assert one(spark, text.hamming_hex(F.col("a"), F.col("b")), a="ff", b="8000000000000000") == 999
+
+
+def test_amounts_of_a_text_are_the_spelled_ones(spark):
+    texts = ["a 1.234,56 b -7,00 c 1,234.56 d 12.50", "00000000000000000012,34", "99999999999999,99 100000000000000,00 -99999999999999.99", "9" * 30 + ",00", "1.2,3 1,2.34 12,345", "", None, "-0,00", "١,٢٣"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    spelled = F.transform(F.regexp_extract_all(F.coalesce("t", F.lit("")), F.lit(r"(?<![\d.,])(-?(?:\d{1,3}(?:\.\d{3})+,\d{2}|\d{1,3}(?:,\d{3})+\.\d{2}|\d+[.,]\d{2}))(?![\d.,])"), F.lit(1)), money.parse_amount)
+    assert all(r.a == r.b for r in df.select(money.all_amounts(F.col("t")).alias("a"), spelled.alias("b")).collect())
+    # digits alone are cents: no regular expression is left inside the function over a text's amounts
+    plan = df.select(money.all_amounts(F.col("t")))._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambdafunction" in plan and "regexp_replace" not in plan.lower()
