@@ -275,7 +275,7 @@ def near_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return sizes.where(F.col("shared") >= similarity * (F.col("na") + F.col("nb") - F.col("shared"))).select("a", "b")
 
     found = links(distinct.select("k1", F.col("fp").alias("sketch"), F.explode("bands").alias("band")),
-                  lambda keys: sets(keys).select("k1", F.explode("hashes").alias("h")), alike, similarity, BROADCAST, lambda x: F.bit_count(x) <= RADIUS)
+                  lambda keys: sets(keys).select("k1", F.col("hashes").alias("raw")), alike, similarity, BROADCAST, lambda x: F.bit_count(x) <= RADIUS)
     shared = signed.groupBy("id").agg(F.min("k1").alias("a"), F.collect_set("k1").alias("ks")).where(F.size("ks") > 1).select("a", F.explode("ks").alias("b"))
     roots = components(found.union(shared))
     named = distinct.select("k1", "id").join(roots, F.col("k1") == F.col("node"), "left").withColumn("root", F.coalesce("root", "k1"))

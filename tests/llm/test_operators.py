@@ -528,6 +528,28 @@ def test_links_in_a_bucket_whose_shingles_are_all_frequent(spark):
     assert sorted(common.components(found).collect()) == sorted(common.components(every).collect())
 
 
+def test_links_in_large_bands_meet_by_what_is_rare_there(spark):
+    # two bands; what is common to all of one is what single members of the other have of their own, so over both bands nothing is rare
+    rng = np.random.default_rng(11)
+    base, sets = [range(0, 60), range(60, 120)], {}
+    for i in range(240):
+        own = rng.choice(list(base[1 - i % 2]), int(rng.choice([4, 20])), replace=False).tolist()
+        sets[i] = frozenset(rng.choice(list(base[i % 2]), 50, replace=False).tolist() + own) if i < 200 or i % 4 < 2 else sets[i - 2] ^ {0, 61}
+    likeness = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in sets for b in sets if a < b}
+    asked = []
+
+    def alike(pairs):
+        asked.append([(r.a, r.b) for r in pairs.collect()])
+        return spark.createDataFrame([p for p in asked[-1] if likeness[p] >= 0.8], "a long, b long")
+
+    raw = spark.createDataFrame([(k, ",".join(map(str, x))) for k, x in sets.items()], "k1 long, raw string")
+    banded = spark.createDataFrame([(k, k % 2, 0) for k in sets], "k1 long, band long, sketch long")
+    found = common.links(banded, lambda keys: raw.join(keys, "k1", "left_semi"), alike, 0.8, 1000, lambda x: x == 0, lambda c: F.split(c, ",").cast("array<long>"))
+    every = spark.createDataFrame([p for p, x in likeness.items() if x >= 0.8 and (p[1] - p[0]) % 2 == 0], "a long, b long")
+    assert sorted(common.components(found).collect()) == sorted(common.components(every).collect())
+    assert sum(map(len, asked)) < sum((b - a) % 2 == 0 for a, b in likeness) / 2
+
+
 def test_lines_dedup_keeps_columns(hard):
     out = lines.dedup(hard)
     assert out.columns == hard.columns
