@@ -33,9 +33,9 @@ def _(l):
 @query("nif_find_in_text", f"select id, case when nif_emisor is not null and {CIF_OK} then nif_emisor else '' end as encontrados, case when nif_emisor is not null and {CIF_OK} then nif_emisor end as emisor, null::varchar as receptor from asientos")
 def _(l):
     t = F.concat_ws(" ", F.lit("Proveedor NIF:"), F.lower("nif_emisor"), F.lit("y otra vez"), F.col("nif_emisor"), F.lit("no B1234567, ni 123"))
-    ids = nif.find_all(t)
-    both = nif.issuer_and_receiver(ids)
-    return l.asientos.select("id", F.array_join(ids, ",").alias("encontrados"), both["emisor"].alias("emisor"), both["receptor"].alias("receptor"))
+    # each step is a column that the next one reads, so that a text is searched once
+    found = l.asientos.select("id", nif.find_all(t).alias("ids")).withColumn("ambos", nif.issuer_and_receiver(F.col("ids")))
+    return found.select("id", F.array_join("ids", ",").alias("encontrados"), "ambos.emisor", "ambos.receptor")
 
 
 _EURO = "case when {c} < 0 then '-' else '' end || replace(replace(replace(format('{{:,.2f}}', abs({c}) / 100.0), ',', '_'), '.', ','), '_', '.') || ' €'"

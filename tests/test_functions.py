@@ -73,3 +73,9 @@ def test_amounts_of_a_text_are_the_spelled_ones(spark):
     # digits alone are cents: no regular expression is left inside the function over a text's amounts
     plan = df.select(money.all_amounts(F.col("t")))._jdf.queryExecution().optimizedPlan().toString()
     assert "lambdafunction" in plan and "regexp_replace" not in plan.lower()
+
+
+def test_ids_are_normalised_once(spark):
+    plan = lambda c: spark.range(1).select(c.alias("x"))._jdf.queryExecution().optimizedPlan().toString()
+    text = F.concat(F.lit("NIF b-1234567-4 "), F.col("id").cast("string"))
+    assert plan(nif.is_valid(text)).lower().count("regexp_replace") == 1 and plan(nif.find_all(text)).lower().count("regexp_replace") == 1
