@@ -100,13 +100,17 @@ def votes(first: DataFrame, second: DataFrame) -> DataFrame:
     return j.withColumn("consenso", out).drop("escrito")
 
 
-def recommendation(v: DataFrame) -> DataFrame:
-    """Per document: to be checked if a critical field is open, checked lightly if another is, else the consensus; and the counts of states."""
+def _recommended() -> list[Column]:
     n = lambda *s: F.count_if(F.col("estado").isin(*s))
     open_ = F.col("estado") == "conflicto"
     crit = F.col("campo").isin(*CRITICAL)
-    return v.groupBy("doc_id").agg(n("acuerdo").alias("acuerdos"), n("conflicto").alias("conflictos"), n("vacio", "solo_uno", "solo_dos").alias("huecos"),
-                                   F.when(F.bool_or(crit & open_), "revisar").when(F.bool_or(open_ | (crit & (F.col("estado") == "vacio"))), "revisar_menor").otherwise("consenso").alias("recomendacion"))
+    return [n("acuerdo").alias("acuerdos"), n("conflicto").alias("conflictos"), n("vacio", "solo_uno", "solo_dos").alias("huecos"),
+            F.when(F.bool_or(crit & open_), "revisar").when(F.bool_or(open_ | (crit & (F.col("estado") == "vacio"))), "revisar_menor").otherwise("consenso").alias("recomendacion")]
+
+
+def recommendation(v: DataFrame) -> DataFrame:
+    """Per document: to be checked if a critical field is open, checked lightly if another is, else the consensus; and the counts of states."""
+    return v.groupBy("doc_id").agg(*_recommended())
 
 
 def wide(v: DataFrame) -> DataFrame:
@@ -147,6 +151,24 @@ def engine_status(runs: DataFrame, known: tuple[str, ...]) -> DataFrame:
 SHOWN = 2500
 
 
+def dual_summary(v: DataFrame, first: DataFrame, second: DataFrame) -> DataFrame:
+    """Recommendation, counts, consensus of the critical fields and times of each document of the votes, in one aggregation."""
+    time = lambda df, name: df.select(F.col("doc_id").alias(f"{name}_d"), F.col("ms").alias(f"{name}_ms"), F.col("texto").isNotNull().alias(f"{name}_ok"))
+    critical = [F.max(F.when(F.col("campo") == c, F.col("consenso"))).alias(c) for c in CRITICAL]
+    top = v.where("doc_id is not null").groupBy("doc_id").agg(*_recommended(), *critical)
+    return top.join(time(first, "uno"), F.col("doc_id") == F.col("uno_d"), "left").join(time(second, "dos"), F.col("doc_id") == F.col("dos_d"), "left").drop("uno_d", "dos_d")
+
+
+def dual_differences(v: DataFrame) -> DataFrame:
+    return v.where("estado != 'acuerdo'")
+
+
+def dual_texts(first: DataFrame, second: DataFrame) -> DataFrame:
+    """Both readings, cut for show."""
+    read = first.select("doc_id", "motor", "ms", "texto").unionByName(second.select("doc_id", "motor", "ms", "texto"))
+    return read.select("doc_id", "motor", "ms", F.length(F.coalesce("texto", F.lit(""))).alias("caracteres"), F.substring(F.coalesce("texto", F.lit("")), 1, SHOWN).alias("texto"))
+
+
 def dual_sheets(first: DataFrame, second: DataFrame) -> dict[str, DataFrame]:
     """The sheets of an audit of two readers, by name; both have (doc_id, the compared fields, texto, motor, ms).
 
@@ -154,9 +176,4 @@ def dual_sheets(first: DataFrame, second: DataFrame) -> dict[str, DataFrame]:
     Textos_OCR: both readings, cut for show.
     """
     v = checkpoint(votes(first, second))
-    time = lambda df, name: df.select(F.col("doc_id").alias(f"{name}_d"), F.col("ms").alias(f"{name}_ms"), F.col("texto").isNotNull().alias(f"{name}_ok"))
-    top = recommendation(v).join(wide(v), "doc_id")
-    top = top.join(time(first, "uno"), F.col("doc_id") == F.col("uno_d"), "left").join(time(second, "dos"), F.col("doc_id") == F.col("dos_d"), "left").drop("uno_d", "dos_d")
-    read = first.select("doc_id", "motor", "ms", "texto").unionByName(second.select("doc_id", "motor", "ms", "texto"))
-    return {"Resumen": top, "Campos": v, "Discrepancias": v.where("estado != 'acuerdo'"),
-            "Textos_OCR": read.select("doc_id", "motor", "ms", F.length(F.coalesce("texto", F.lit(""))).alias("caracteres"), F.substring(F.coalesce("texto", F.lit("")), 1, SHOWN).alias("texto"))}
+    return {"Resumen": dual_summary(v, first, second), "Campos": v, "Discrepancias": dual_differences(v), "Textos_OCR": dual_texts(first, second)}

@@ -79,3 +79,10 @@ def test_ids_are_normalised_once(spark):
     plan = lambda c: spark.range(1).select(c.alias("x"))._jdf.queryExecution().optimizedPlan().toString()
     text = F.concat(F.lit("NIF b-1234567-4 "), F.col("id").cast("string"))
     assert plan(nif.is_valid(text)).lower().count("regexp_replace") == 1 and plan(nif.find_all(text)).lower().count("regexp_replace") == 1
+
+
+def test_texts_of_two_readers_need_no_votes(spark):
+    from ledgerspark.operators import evals
+    r = spark.createDataFrame([(1, "a", 5, "x" * 3000), (2, "a", 6, None)], "doc_id long, motor string, ms int, texto string")
+    got = evals.dual_texts(r, r.limit(0))  # the compared fields aren't even there
+    assert sorted((x.doc_id, x.caracteres, len(x.texto)) for x in got.collect()) == [(1, 3000, evals.SHOWN), (2, 0, 0)]
