@@ -16,8 +16,8 @@ from tokenizers import Tokenizer
 
 from .common import checkpoint, ship
 
-#: Words whose ids a worker remembers, about 200 bytes each; forgotten when full.
-REMEMBERED = 700_000
+#: Words whose ids a worker remembers, about 200 bytes each (40 MB, for every core of an executor); forgotten when full.
+REMEMBERED = 200_000
 #: Characters of a word that is remembered at most; a text with a longer one goes to the tokenizer whole.
 WORD = 64
 _RUN = re.compile(r" (?:\s|$)")

@@ -215,3 +215,17 @@ def test_resampling_of_hard_rows(spark, hard, empty):
     assert resample.resample(empty, target).collect() == []
     none = resample.resample(docs, target.limit(0), s).collect()
     assert Counter((r["doc_id"], r["weight"]) for r in none) == Counter((o[0], o[2]) for o in drawn_by_hand([(r["doc_id"], r["text"]) for r in docs.collect()], [], s)[0])
+
+
+def test_packing_remembers_a_bounded_number_of_words():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+    from ledgerspark.llm import packing
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    ids, plain = packing.Ids(path), Tokenizer.from_file(path)
+    texts = [" ".join(f"{k:x}q{i:x}" for i in range(2000)) for k in range(150)]
+    for k, t in enumerate(texts):
+        got = ids.encode([t])[0]
+        assert len(ids.memory) <= 202_000  # 40 MB a core
+        if k % 30 == 0 or k in (100, 101):
+            assert got == np.array(plain.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
