@@ -57,7 +57,8 @@ def pattern_hits(rows: DataFrame, patterns: DataFrame) -> DataFrame:
     """(id, por_patron) of rows (id, actividad_id, blob): their case file's first pattern (smallest rule id) that occurs in the text.
 
     patterns has (regla_id, actividad_id, patron, cuenta_codigo, tipo_cuenta). Texts and patterns meet in an equi-join by the
-    pattern's last TAIL characters, or the whole of a shorter one; so the list of patterns may be of any size.
+    pattern's last TAIL characters, or the whole of a shorter one; so the list of patterns may be of any size. Parts of texts
+    go without their text; it comes back by id for those that meet a pattern.
     """
     known = patterns.select(F.col("actividad_id").alias("pa"), "patron", F.least(F.length("patron"), F.lit(TAIL)).alias("n"), F.struct("regla_id", "cuenta_codigo", "tipo_cuenta").alias("s"))
     known = known.groupBy("pa", "patron", "n").agg(F.min("s").alias("s")).withColumn("cola", F.expr("right(patron, n)"))
@@ -67,8 +68,9 @@ def pattern_hits(rows: DataFrame, patterns: DataFrame) -> DataFrame:
         return F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("blob") - (n - 1))), lambda i: F.substring(F.col("blob"), i, F.lit(n)))
 
     grams = F.flatten(F.array(*map(parts, sizes))) if sizes else F.array(F.lit(""))
-    spread = rows.select("id", "actividad_id", "blob", F.explode(F.array_distinct(grams)).alias("cola"))
-    hits = spread.join(known.drop("n"), (F.col("actividad_id") == F.col("pa")) & (spread["cola"] == known["cola"])).where(F.contains("blob", "patron"))
+    spread = rows.select("id", "actividad_id", F.explode(F.array_distinct(grams)).alias("cola"))
+    met = spread.join(known.drop("n"), (F.col("actividad_id") == F.col("pa")) & (spread["cola"] == known["cola"])).select("id", "patron", "s")
+    hits = met.join(rows.select("id", "blob"), "id").where(F.contains("blob", "patron"))
     return hits.groupBy("id").agg(F.min("s").alias("por_patron"))
 
 
@@ -77,13 +79,13 @@ def classify(rows: DataFrame, rules: DataFrame, accounts: DataFrame) -> DataFram
 
     A learned rule for the id wins, then the first learned pattern (smallest rule id) that occurs, then the fixed rules of
     the regime. rules has (regla_id, actividad_id, nif_emisor, patron, cuenta_codigo) with empty text for unused parts; both kinds
-    are equi-joins.
+    are equi-joins. Patterns are looked for only where no id decides.
     """
     known = rules.join(F.broadcast(accounts.select("codigo", F.col("tipo").alias("tipo_cuenta"))), F.col("cuenta_codigo") == F.col("codigo"))
     ids = known.where("nif_emisor != ''").groupBy(F.col("actividad_id").alias("ia"), F.col("nif_emisor").alias("in")).agg(
         F.min(F.struct("regla_id", "cuenta_codigo", "tipo_cuenta")).alias("por_nif"))
     by_id = rows.join(ids, (F.col("actividad_id") == F.col("ia")) & (F.col("nif") == F.col("in")), "left")
-    hits = pattern_hits(rows, known.where("patron != ''"))
+    hits = pattern_hits(by_id.where("por_nif is null").select("id", "actividad_id", "blob"), known.where("patron != ''"))
     j = by_id.join(hits.withColumnRenamed("id", "hid"), F.col("id") == F.col("hid"), "left")
 
     def learned(c: str, m: int) -> Column:

@@ -370,3 +370,16 @@ def test_cascade_by_brute_force_without_repeating_entries_by_day(spark):
     assert {tuple(r) for r in got.collect()} == want and len(want) > 60
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert "date_add" not in plan and "-3" not in "".join(x for x in plan.split("\n") if "Generate" in x)
+
+
+def test_patterns_are_looked_for_where_no_id_decides(spark, monkeypatch):
+    from ledgerspark import schema
+    from ledgerspark.operators import rules
+    code = schema.ACCOUNTS[0][0]
+    rows = spark.createDataFrame([(1, 1, "B1", "pago f2020-0001 de luz", True), (2, 1, "B9", "pago f2020-0001 de luz", True), (3, 2, "", "pago f2020-0001", True), (4, 1, "", "", True)], "id long, actividad_id long, nif string, blob string, propiedad boolean")
+    learned = spark.createDataFrame([(7, 1, "B1", "", code), (8, 1, "", "f2020-0001", code), (9, 1, "", "luz", code)], "regla_id long, actividad_id long, nif_emisor string, patron string, cuenta_codigo string")
+    asked, old = [], rules.pattern_hits
+    monkeypatch.setattr(rules, "pattern_hits", lambda r, p: asked.append(sorted(x.id for x in r.collect())) or old(r, p))
+    got = {r.id: (r.origen, r.confianza_m) for r in rules.classify(rows, learned, schema.accounts(spark)).collect()}
+    assert asked == [[2, 3, 4]]
+    assert got[1] == ("aprendida", 950) and got[2] == ("aprendida", 850) and got[3][0] != "aprendida" and got[4][0] != "aprendida"
