@@ -22,13 +22,26 @@ def token_scores(tokens: DataFrame, texts: DataFrame) -> DataFrame:
     return got.withColumn("recall_m", F.when(F.col("n") == 0, F.lit(1000)).otherwise(F.floor(F.col("hits") * 1000 / F.col("n"))).cast("bigint"))
 
 
+def _agree(field: str, a: Column, b: Column) -> Column:
+    """Whether two readings of the named field agree: amounts to a cent, ids normalised, numbers equal or one in the other, issuers by similarity of at least 0.72."""
+    if field in MONEY or field == "iva_tipo":
+        fits = F.abs(a.try_cast("double") - b.try_cast("double")) <= 0.0100001
+    elif field in ("nif_emisor", "nif_receptor"):
+        fits = (a == b) | (nif.normalize(a) == nif.normalize(b))
+    elif field == "numero":
+        na, nb = text.normalize_number(a), text.normalize_number(b)
+        fits = (na == nb) | F.contains(na, nb) | F.contains(nb, na)
+    elif field == "emisor":
+        fits = (a == b) | (text.similarity(text.compact(a), text.compact(b)) >= 0.72)
+    else:
+        fits = F.trim(a) == F.trim(b)
+    return F.coalesce(fits, F.lit(False))
+
+
 def field_equal(field: Column, a: Column, b: Column) -> Column:
-    """Whether two readings of a field agree: amounts to a cent, ids normalised, numbers equal or one in the other, issuers by similarity of at least 0.72."""
-    amount = field.isin(*MONEY, "iva_tipo")
-    na, nb = text.normalize_number(a), text.normalize_number(b)
-    close = F.abs(a.try_cast("double") - b.try_cast("double")) <= 0.0100001
-    return F.coalesce(F.when(amount, close).when(field.isin("nif_emisor", "nif_receptor"), nif.normalize(a) == nif.normalize(b))
-                      .when(field == "numero", (na == nb) | F.contains(na, nb) | F.contains(nb, na)).when(field == "emisor", text.similarity(text.compact(a), text.compact(b)) >= 0.72).otherwise(F.trim(a) == F.trim(b)), F.lit(False))
+    """Whether two readings of a field agree, by the field's kind."""
+    return (F.when(field.isin(*MONEY, "iva_tipo"), _agree("total", a, b)).when(field.isin("nif_emisor", "nif_receptor"), _agree("nif_emisor", a, b))
+            .when(field == "numero", _agree("numero", a, b)).when(field == "emisor", _agree("emisor", a, b)).otherwise(_agree("fecha", a, b)))
 
 
 def field_scores(gold: DataFrame, read: DataFrame) -> DataFrame:
@@ -78,26 +91,29 @@ def votes(first: DataFrame, second: DataFrame) -> DataFrame:
     one, two = first.select(*keep).alias("x"), second.select(*keep).alias("y")
     met = one.join(two, F.col("x.doc_id") == F.col("y.doc_id"), "full_outer")
     of = lambda side, c: F.coalesce(F.col(f"{side}.{c}").cast("string"), F.lit(""))
-    here = lambda v: F.coalesce(F.array_contains("x.en_texto", money.parse_amount(v)) & F.array_contains("y.en_texto", money.parse_amount(v)), F.lit(False))
+    here = lambda v: F.coalesce(F.array_contains("en_x", money.parse_amount(v)) & F.array_contains("en_y", money.parse_amount(v)), F.lit(False))
+
+    def state(c: str) -> Column:
+        x, y = F.col(f"{c}_x"), F.col(f"{c}_y")
+        return F.when((x == "") & (y == ""), "vacio").when(y == "", "solo_uno").when(x == "", "solo_dos").when(_agree(c, x, y), "acuerdo").otherwise("conflicto")
+
+    def tie(c: str, x: Column, y: Column) -> Column:
+        if c in ("nif_emisor", "nif_receptor"):
+            return F.when(nif.is_valid(x) & ~nif.is_valid(y), x).when(nif.is_valid(y) & ~nif.is_valid(x), y).otherwise("")
+        if c == "numero":
+            nx, ny = F.length(text.compact(x)), F.length(text.compact(y))
+            return F.when(nx > ny, x).when(ny > nx, y).otherwise("")
+        return F.when(here(x) & ~here(y), x).when(here(y) & ~here(x), y).otherwise("") if told and c in MONEY else F.lit("")
 
     def field(c: str) -> Column:
-        x, y = of("x", c), of("y", c)
-        known = F.lit("")
-        if told and c in MONEY:
-            known = F.when(here(x) & ~here(y), x).when(here(y) & ~here(x), y).otherwise("")
-        return F.struct(F.lit(c).alias("campo"), x.alias("uno"), y.alias("dos"), known.alias("escrito"))
-
-    j = met.select(F.coalesce("x.doc_id", "y.doc_id").alias("doc_id"), F.explode(F.array(*map(field, FIELDS))).alias("f")).select("doc_id", "f.*")
-    x, y = F.col("uno"), F.col("dos")
-    state = (F.when((x == "") & (y == ""), "vacio").when(y == "", "solo_uno").when(x == "", "solo_dos").when(field_equal(F.col("campo"), x, y), "acuerdo").otherwise("conflicto"))
-    j = j.withColumn("estado", state)
-    ids = F.col("campo").isin("nif_emisor", "nif_receptor")
-    nx, ny = F.length(text.compact(x)), F.length(text.compact(y))
-    tie = (F.when(ids & nif.is_valid(x) & ~nif.is_valid(y), x).when(ids & nif.is_valid(y) & ~nif.is_valid(x), y)
-           .when((F.col("campo") == "numero") & (nx > ny), x).when((F.col("campo") == "numero") & (ny > nx), y).otherwise(F.col("escrito")))
-    agreed = F.when(F.length(y) > F.length(x), y).otherwise(x)
-    out = F.when(F.col("estado") == "acuerdo", agreed).when(F.col("estado") == "solo_uno", x).when(F.col("estado") == "solo_dos", y).when(F.col("estado") == "conflicto", tie).otherwise(F.lit(""))
-    return j.withColumn("consenso", out).drop("escrito")
+        x, y, s = F.col(f"{c}_x"), F.col(f"{c}_y"), F.col(f"{c}_s")
+        out = F.when(s == "acuerdo", F.when(F.length(y) > F.length(x), y).otherwise(x)).when(s == "solo_uno", x).when(s == "solo_dos", y).when(s == "conflicto", tie(c, x, y)).otherwise("")
+        return F.struct(F.lit(c).alias("campo"), x.alias("uno"), y.alias("dos"), s.alias("estado"), out.alias("consenso"))
+
+    # a field's test is its own, so no row passes those of the others
+    j = met.select(F.coalesce("x.doc_id", "y.doc_id").alias("doc_id"), *([F.col(f"{t}.en_texto").alias(f"en_{t}") for t in "xy"] if told else []), *[of(t, c).alias(f"{c}_{t}") for c in FIELDS for t in "xy"])
+    j = j.withColumns({f"{c}_s": state(c) for c in FIELDS})
+    return j.select("doc_id", F.explode(F.array(*map(field, FIELDS))).alias("f")).select("doc_id", "f.*")
 
 
 def _recommended() -> list[Column]:
