@@ -181,7 +181,7 @@ def _(l):
     return out.select("asiento_id", (F.col("p") + 1).alias("linea"), F.col("s.base").alias("base"), F.col("s.importe").alias("importe"))
 
 
-@query("item_lines", """select asiento_id, row_number() over (partition by asiento_id order by posicion)::int as linea, codigo, base_c as importe from lineas where posicion <= 40""", "lineas")
+@query("item_lines", """select asiento_id, row_number() over (partition by asiento_id order by posicion)::int as linea, codigo, base_c as importe from lineas""", "lineas")
 def _(l):
     line = F.concat(F.col("codigo"), F.lit(" Articulo "), F.translate(F.col("posicion").cast("string"), "0123456789", "abcdefghij"), F.lit("\n"), F.replace(money.format_euro(F.col("base_c")), F.lit(" €"), F.lit("")))
     docs = l.lineas.groupBy("asiento_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("posicion", line.alias("t")))), lambda s: s["t"]), "\n").alias("t"))

@@ -4,6 +4,7 @@ import datetime
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from ledgerspark.operators import extract, items
 
@@ -86,3 +87,11 @@ def test_stretches_by_brute_force(spark):
     got = sorted((r.doc_id, r.desde, list(r.importes), r.suma_c) for r in items.run_parts(runs, spark.createDataFrame(want_n, "doc_id long, n long")).collect())
     want = sorted((d, at + i, x[i:i + n], sum(x[i:i + n])) for d, t, at, x in rows for e, n in want_n if e == d and 1 < n < len(x) for i in range(len(x) - n + 1))
     assert got == want
+
+
+def test_all_items_of_a_long_text(spark):
+    """A text has as many items as it names, also more than 40."""
+    text = "\n".join(f"Articulo {chr(97 + i // 26)}{chr(97 + i % 26)}\n{i + 1},00" for i in range(130))
+    df = spark.createDataFrame([(text,)], "t string").select(extract.items(F.col("t")).alias("i"))
+    got = [(x.posicion, x.importe_c) for x in df.first().i]
+    assert got == [(i + 1, 100 * (i + 1)) for i in range(130)]
