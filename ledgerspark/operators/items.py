@@ -1,5 +1,6 @@
 """Line items of invoice texts, relationally: a row for each line of text, its kind, and windows over a document's lines.
 
+Where all ways are tried, the same is done a document at a time by `itemtext`, in one pass; a test holds that both agree.
 A document's lines are one window partition; their number follows the document, not the corpus. Amounts are cents.
 """
 
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import money
 from ..schema import LINE_TOLERANCE, VAT_RATES
+from ..session import ship
 
 # Words of lines that are no articles, and of the head over a column of prices or of articles.
 FOOTER_WORDS = ("total", "base", "iva", "igic", "ipsi", "nif", "cif", "fecha", "factura", "cliente", "pag", "pág", "pagina", "página", "original", "ticket", "cuota", "cambio", "visa",
@@ -189,36 +191,22 @@ def find_items(docs: DataFrame, headers: DataFrame, text_col: str = "texto") ->
     docs has (doc_id, text), headers (doc_id, base_c, iva_c, total_c). Ways, in order: names with codes priced by their blocks or
     by a column of as many prices (the one whose sum is the total, else the base; it may touch another column); names with an index of their own likewise;
     names with amounts beside or below them, without those that are only the header's. Where no sum fits, names with codes
-    or an index come without amounts. Documents without any have no rows; null texts are empty.
+    or an index come without amounts. Documents without any have no rows; null texts are empty. A document is worked off whole, in one pass
+    over its lines (`itemtext`); texts and headers in one table (the same DataFrame for both) need no join.
     """
-    lines = kinds(docs, text_col)
-    region = article_region(lines)
-    codes = reference_pairs(region)
-    numbered = numbered_lines(region)
-    blocks = block_prices(lines)
-    counted = codes.groupBy("doc_id").count().union(numbered.groupBy("doc_id").count()).toDF("doc_id", "n")
-    columns = column_prices(lines, headers, counted).select("doc_id", "importes")
-
-    def priced(items: DataFrame, rank: int) -> DataFrame:
-        n = F.count("*").over(Window.partitionBy("doc_id"))
-        at = F.row_number().over(Window.partitionBy("doc_id").orderBy("pos"))
-        with_block = items.join(blocks.select("doc_id", "pos", F.col("importe_c").alias("b")), ["doc_id", "pos"], "left").join(columns, "doc_id", "left")
-        with_block = with_block.withColumn("n", n).withColumn("at", at).withColumn("c", F.when(F.size("importes") == F.col("n"), F.try_element_at("importes", F.col("at"))))
-        rows = with_block.select("doc_id", "orden", "codigo", "nombre", "pos", F.explode(F.array(
-            F.struct(F.lit(rank).alias("rango"), F.lit("bloque").alias("origen"), F.col("b").alias("importe_c")),
-            F.struct(F.lit(rank + 1).alias("rango"), F.lit("columna").alias("origen"), F.col("c").alias("importe_c")),
-            F.struct(F.lit(rank + 100).alias("rango"), F.lit("nombre").alias("origen"), F.lit(None).cast("bigint").alias("importe_c")))).alias("p"))
-        return rows.select("doc_id", "orden", "codigo", "nombre", "p.importe_c", "p.rango", "p.origen")
-
-    beside = without_footer(trailing_amounts(region), headers).select("doc_id", "orden", "codigo", "nombre", "importe_c", F.lit(50).alias("rango"), F.lit("linea").alias("origen"))
-    every = priced(codes, 0).unionByName(priced(numbered, 10)).unionByName(beside)
-    sums = (every.groupBy("doc_id", "rango").agg(F.sum("importe_c").alias("s"), F.count("*").alias("n"), F.count("importe_c").alias("k"))
-            .join(headers.select("doc_id", "base_c", "total_c"), "doc_id", "left"))
-    near = lambda c: F.coalesce(F.abs(F.col("s") - F.col(c)) <= LINE_TOLERANCE, F.lit(False))
-    merit = F.when(near("total_c") & (F.col("k") == F.col("n")), 0).when(near("base_c") & (F.col("k") == F.col("n")), 1).when(F.col("rango") >= 100, 2)
-    best = (sums.withColumn("merito", merit).where("merito is not null")
-            .withColumn("r", F.row_number().over(Window.partitionBy("doc_id").orderBy("merito", "rango"))).where("r = 1").select("doc_id", "rango"))
-    return every.join(best, ["doc_id", "rango"]).select("doc_id", "orden", "codigo", "nombre", "importe_c", "origen")
+    from . import itemtext
+    ship(docs.sparkSession)
+    if headers is not docs:
+        docs = docs.select("doc_id", text_col).join(headers.select("doc_id", "base_c", "iva_c", "total_c"), "doc_id", "left")
+    found = itemtext.found_items(F.col(text_col), F.col("base_c"), F.col("iva_c"), F.col("total_c"))
+    return docs.where("doc_id is not null").select("doc_id", F.explode(found).alias("i")).select("doc_id", "i.*")
+
+
+def priced_codes(docs: DataFrame, text_col: str = "texto") -> DataFrame:
+    """(doc_id, orden, codigo, nombre, importe_c, iva_tipo): `reference_pairs` and `block_prices` of all lines of the texts, in one pass."""
+    from . import itemtext
+    ship(docs.sparkSession)
+    return docs.where("doc_id is not null").select("doc_id", F.explode(itemtext.block_items(F.col(text_col))).alias("i")).select("doc_id", "i.*")
 
 
 def with_base_and_vat(found: DataFrame, headers: DataFrame) -> DataFrame:

@@ -204,8 +204,7 @@ def _(l):
 
 @query("block_prices", "select asiento_id as doc_id, posicion::int as orden, base_c + iva_c as importe_c from lineas", "lineas")
 def _(l):
-    lines = items.kinds(items.render(l.lineas, "blocks"))
-    return items.reference_pairs(lines).join(items.block_prices(lines), ["doc_id", "pos"]).select("doc_id", "orden", "importe_c")
+    return items.priced_codes(items.render(l.lineas, "blocks")).select("doc_id", "orden", "importe_c")
 
 
 @query("column_runs", """with x as (select asiento_id as doc_id, count(*)::int as n, sum(base_c + iva_c)::bigint as suma_c, string_agg((base_c + iva_c)::varchar, ',' order by posicion) as importes from lineas group by 1) select * from x""", "lineas")

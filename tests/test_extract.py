@@ -95,3 +95,60 @@ def test_all_items_of_a_long_text(spark):
     df = spark.createDataFrame([(text,)], "t string").select(extract.items(F.col("t")).alias("i"))
     got = [(x.posicion, x.importe_c) for x in df.first().i]
     assert got == [(i + 1, 100 * (i + 1)) for i in range(130)]
+
+
+def by_windows(docs):
+    """`items.find_items` as joins and windows over lines: each way a table of its own."""
+    from pyspark.sql import Window
+    lines = items.kinds(docs)
+    region = items.article_region(lines)
+    codes, numbered, blocks = items.reference_pairs(region), items.numbered_lines(region), items.block_prices(lines)
+    counted = codes.groupBy("doc_id").count().union(numbered.groupBy("doc_id").count()).toDF("doc_id", "n")
+    columns = items.column_prices(lines, docs, counted).select("doc_id", "importes")
+
+    def priced(found, rank):
+        n, at = F.count("*").over(Window.partitionBy("doc_id")), F.row_number().over(Window.partitionBy("doc_id").orderBy("pos"))
+        rows = found.join(blocks.select("doc_id", "pos", F.col("importe_c").alias("b")), ["doc_id", "pos"], "left").join(columns, "doc_id", "left").withColumn("n", n).withColumn("at", at)
+        rows = rows.withColumn("c", F.when(F.size("importes") == F.col("n"), F.try_element_at("importes", F.col("at"))))
+        ways = [F.struct(F.lit(rank + k).alias("rango"), F.lit(o).alias("origen"), c.alias("importe_c")) for k, o, c in ((0, "bloque", F.col("b")), (1, "columna", F.col("c")), (100, "nombre", F.lit(None).cast("bigint")))]
+        return rows.select("doc_id", "orden", "codigo", "nombre", F.explode(F.array(*ways)).alias("p")).select("doc_id", "orden", "codigo", "nombre", "p.importe_c", "p.rango", "p.origen")
+
+    beside = items.without_footer(items.trailing_amounts(region), docs).select("doc_id", "orden", "codigo", "nombre", "importe_c", F.lit(50).alias("rango"), F.lit("linea").alias("origen"))
+    every = priced(codes, 0).unionByName(priced(numbered, 10)).unionByName(beside).localCheckpoint()
+    sums = every.groupBy("doc_id", "rango").agg(F.sum("importe_c").alias("s"), F.count("*").alias("n"), F.count("importe_c").alias("k")).join(docs, "doc_id")
+    near = lambda c: F.coalesce(F.abs(F.col("s") - F.col(c)) <= 5, F.lit(False)) & (F.col("k") == F.col("n"))
+    merit = F.when(near("total_c"), 0).when(near("base_c"), 1).when(F.col("rango") >= 100, 2)
+    best = sums.withColumn("m", merit).where("m is not null").groupBy("doc_id").agg(F.min_by("rango", F.struct("m", "rango")).alias("rango"))
+    return every.join(best, ["doc_id", "rango"]).select("doc_id", "orden", "codigo", "nombre", "importe_c", "origen")
+
+
+def random_text(rng):
+    """Lines of all kinds in any order, some with headers that fit a way's sum."""
+    word = lambda: rng.choice(["Mesa roble", "Cable", "Pagín ñandú", "Total", "IVA 21 %", "Modos de pago", "UNID.", "Тест линия", "½½½½", "a½b²c", "x1y", "Pagina2", "Razón social", "²³"])
+    price = lambda: rng.choice(["1,00", "2,00", "3,00", "21.00", "10,00", "-1,50", "1.234,56", "1,234.56", "12,00 €", "EUR 4,00", "0,00", "7,00\r", "1,2,3", "99999999999999999,00", "٣,٠٠"])
+    code = lambda: rng.choice(["1234567", "12345678", "1 1234567", "12. 12345678.", "12345678\r", "1234567 ", "123456789", "٣٣٣٣٣٣٣"])
+    kinds = [word, lambda: f"{word()} {price()}", lambda: f"{rng.randint(1, 45)} {word()} {price()}", price, price, price, code, code, lambda: str(rng.randint(0, 45)),
+             lambda: rng.choice(["Designacion", "TTI (EUR)", "Total TII", "ti (eur)", "", "  ", "\t", "4.", "40\r"])]
+    blocks = [lambda: "\n".join([word(), code(), price(), price()]), lambda: "\n".join([str(rng.randint(1, 41)), word(), code()]), lambda: "TTI (EUR)\n" + "\n".join(price() for _ in range(rng.randint(1, 5)))]
+    return "\n".join(rng.choice(kinds if rng.random() < 0.5 else blocks)() for _ in range(rng.randint(0, 14)))
+
+
+def test_one_pass_gives_the_rows_of_the_windows(spark):
+    rng = random.Random(5)
+    rows = [(d, random_text(rng), *(rng.choice([None, 0, rng.randint(0, 12) * 100]) for _ in range(3))) for d in range(1500)] + [(None, "Mesa\n1234567\n1,00", 100, 0, 100), (2000, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, texto string, base_c long, iva_c long, total_c long").repartition(4).localCheckpoint()
+    got = items.find_items(docs, docs).localCheckpoint()
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, by_windows(docs).collect()), key=repr)
+    assert {r.origen for r in got.collect()} == {"bloque", "columna", "nombre", "linea"}
+    apart = items.find_items(docs.select("doc_id", "texto"), docs.select("doc_id", "base_c", "iva_c", "total_c"))
+    assert sorted(map(tuple, apart.collect()), key=repr) == sorted(map(tuple, got.collect()), key=repr)
+    lines = items.kinds(docs)
+    pairs = items.reference_pairs(lines).join(items.block_prices(lines), ["doc_id", "pos"]).select("doc_id", "orden", "codigo", "nombre", "importe_c", "iva_tipo")
+    assert sorted(map(tuple, items.priced_codes(docs).collect()), key=repr) == sorted(map(tuple, pairs.collect()), key=repr)
+
+
+def test_items_in_one_pass_need_no_shuffle(spark):
+    docs = spark.createDataFrame([(1, "a", 1, 1, 1)], "doc_id long, texto string, base_c long, iva_c long, total_c long")
+    for df in (items.find_items(docs, docs), items.priced_codes(docs)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert not any(x in plan for x in ("Exchange", "Window", "Join", "Sort"))
