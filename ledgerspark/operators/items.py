@@ -232,14 +232,13 @@ def parse(docs: DataFrame, text_col: str = "texto") -> tuple[DataFrame, DataFram
 
 def render(lineas: DataFrame, layout: str) -> DataFrame:
     """Texts of the items of each entry, in one of four layouts: blocks (name, code, prices), columns (names and codes, then a column of prices), glued (the same with a column of quantities right above the prices and no head) or beside (name and price on a line)."""
-    def euro(c: Column) -> Column:
-        return F.replace(money.format_euro(c), F.lit(" €"), F.lit(""))
-
+    euro = money.spelled
     name = F.concat(F.lit("Articulo "), F.translate(F.col("posicion").cast("string"), "0123456789", "abcdefghij"))
     total = F.col("base_c") + F.col("iva_c")
     part = {"blocks": F.concat_ws("\n", name, "codigo", F.lit("UNID."), euro(F.col("base_c")), euro(total)),
             "columns": F.concat_ws("\n", F.col("posicion").cast("string"), name, "codigo"), "glued": F.concat_ws("\n", F.col("posicion").cast("string"), name, "codigo"), "beside": F.concat(name, F.lit("   "), euro(total))}[layout]
-    docs = (lineas.groupBy("asiento_id").agg(F.sort_array(F.collect_list(F.struct("posicion", part.alias("t"), euro(total).alias("e")))).alias("x"), F.sum(total).alias("total_c"), F.sum("base_c").alias("base_c")))
+    own = [euro(total).alias("e")] if layout in ("columns", "glued") else []
+    docs = (lineas.groupBy("asiento_id").agg(F.sort_array(F.collect_list(F.struct("posicion", part.alias("t"), *own))).alias("x"), F.sum(total).alias("total_c"), F.sum("base_c").alias("base_c")))
     foot = F.concat(F.lit("Total SI (EUR)\n"), euro(F.col("base_c")), F.lit("\nTotal TTI (EUR)\n"), euro(F.col("total_c")))
     body = F.array_join(F.transform("x", lambda y: y["t"]), "\n")
     prices = F.concat(F.lit("\nImporte\nTTI (EUR)\n"), F.array_join(F.transform("x", lambda y: y["e"]), "\n")) if layout == "columns" else F.lit("")

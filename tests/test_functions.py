@@ -1,6 +1,7 @@
 """Scalar functions on known facts."""
 
 import datetime
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -86,3 +87,11 @@ def test_texts_of_two_readers_need_no_votes(spark):
     r = spark.createDataFrame([(1, "a", 5, "x" * 3000), (2, "a", 6, None)], "doc_id long, motor string, ms int, texto string")
     got = evals.dual_texts(r, r.limit(0))  # the compared fields aren't even there
     assert sorted((x.doc_id, x.caracteres, len(x.texto)) for x in got.collect()) == [(1, 3000, evals.SHOWN), (2, 0, 0)]
+
+
+def test_amounts_spelled_without_a_number_format(spark):
+    rng = random.Random(3)
+    cents = [None, 0, 1, -1, 99, 100, -100, 99999, 100000, -100001, 99999999, 100000000, -100000000, 10**15] + [rng.choice((1, -1)) * rng.randrange(10 ** rng.randint(1, 15)) for _ in range(3000)]
+    df = spark.createDataFrame([(c,) for c in cents], "c long")
+    assert df.where(F.concat(money.spelled(F.col("c")), F.lit(" €")) != F.coalesce(money.format_euro(F.col("c")), F.lit("?"))).where("c is not null").count() == 0
+    assert df.where("c is null").select(money.spelled(F.col("c"))).first()[0] == "—"
