@@ -110,7 +110,8 @@ def run(store: Snapshots, files: DataFrame, actividad_id: int, accounts: DataFra
     state = state.select(F.col("id").alias("sid"), F.when(apart, "pendiente").otherwise(F.col("estado_nuevo")).alias("e_"), F.when(~apart, F.col("apunta_a")).alias("d_"), F.when(~apart, F.col("nivel")).alias("n_"))
     new = new.join(state, F.col("id") == F.col("sid")).withColumns({"estado": F.col("e_"), "duplicado_de_id": F.col("d_"), "duplicado_nivel": F.col("n_").cast("bigint")}).drop("sid", "e_", "d_", "n_")
     new = checkpoint(new)
-    lines = items.with_base_and_vat(items.find_items(good.select(F.col("id").alias("doc_id"), "texto").join(new.select(F.col("id").alias("doc_id")), "doc_id", "left_semi"), parsed.withColumnRenamed("id", "doc_id")), parsed.withColumnRenamed("id", "doc_id"))
+    texts = parsed.join(new.select("id"), "id", "left_semi").withColumnRenamed("id", "doc_id")
+    lines = items.with_base_and_vat(items.find_items(texts, texts), texts)
     lines = lines.select(F.col("doc_id").alias("asiento_id"), F.col("orden").cast("bigint").alias("posicion"), "codigo", F.col("nombre").alias("descripcion"), "base_c", "iva_c", "importe_c")
 
     # where files belong, and what became of each

@@ -152,3 +152,11 @@ def test_items_in_one_pass_need_no_shuffle(spark):
     for df in (items.find_items(docs, docs), items.priced_codes(docs)):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert not any(x in plan for x in ("Exchange", "Window", "Join", "Sort"))
+
+
+def test_lines_without_labels_are_not_searched(spark):
+    """Numbers, pages and rates stand only on lines that hold a part of theirs; the plan of an ingest's items reads one table of texts."""
+    noise = "\n".join(f"Linea {i} con 071-001-5 y 3/x" for i in range(30))
+    df = spark.createDataFrame([(1, f"{noise}\nFactura 071-0012-553901\npag.\nPág. 1 / 2\nIVA 21 %"), (2, f"{noise}\nFactura nº 12/A\n2/3"), (3, f"{noise}\nx 071-0012-R12345")], "doc_id long, texto string")
+    got = [(r.numero, r.pagina, r.paginas, r.iva_tipo) for r in extract.header(df).orderBy("doc_id").collect()]
+    assert got == [("071-0012-553901", 1, 2, 21.0), ("12/A", None, None, None), ("071-0012-R12345", None, None, None)]
